@@ -29,10 +29,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mixed, partitions
 
@@ -358,7 +358,7 @@ def remove_repeats(docs: DataFrame, *keep: str) -> DataFrame:
     return out.select("doc_id", "kept", "spans", *[F.col("rest")[c].alias(c) for c in keep])
 
 
-@F.pandas_udf("string")
-def as_text(kept: pd.Series) -> pd.Series:
+def as_text(column: str):
     """Bytes as text; what is left of a character cut in two is dropped."""
-    return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+    decode = F.pandas_udf(lambda kept: kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore")), T.StringType(), F.PandasUDFType.SCALAR)
+    return decode(column)
