@@ -4,20 +4,24 @@ A position's rank for length 2n comes from its rank for n and that of the
 position n further on.  Ranks here are names: fingerprints of the pair of
 shorter ranks instead of places in a sorted list, so a document works out its own
 ranks at all lengths without asking others.  What has to be sorted among all
-documents are (rank, document) pairs, at two lengths:
+documents are (rank, document) pairs, at three growing lengths; what is unique
+or decided at one takes no part in the next.
 
-* length 16.  Of each 50-byte window only the least rank of its 16-byte strings
+* Length 16.  Of each 50-byte window only the least rank of its 16-byte strings
   is sorted.  Equal windows have equal least ranks, so a window whose least rank
-  is unique to one document is unique itself and takes no further part.
-* length 50, the threshold.  The remaining windows' ranks are sorted with their
-  documents; each rank's smallest document decides for all its windows.
+  is unique to one document is unique itself.
+* Length 50 to 84: runs, that is neighbouring windows with one least rank, as
+  one string.  A run that a smaller document has too is covered whole.  A least
+  rank with one kind of run only is decided by this.
+* Length 50, the threshold: single windows of the other runs, where copies begin
+  and end, each from the first document with the run alone.
 
 Pairs travel packed: one row holds the pairs that a batch of documents has for
 a bucket of ranks, each rank once for a batch.  So a string that a third of all
 documents share sends one pair from each batch and not one from each document,
-and no task holds more than a bucket or a batch.  Ranks of length 50 have 96 bits
-besides the bucket; one chance collision is expected in about 10^5 corpora of
-100 TB.  Exact copies of a whole text are found by digest beforehand.
+and no task holds more than a bucket or a batch.  Runs are told apart by 127
+bits, windows by 95 besides the bucket.  Exact copies of a whole text are found
+by digest beforehand.
 
 Null texts count as empty.  Documents with equal ids never remove from each
 other; a null id neither removes nor is removed from.  Texts under 50 bytes stay.
@@ -69,10 +73,16 @@ class Ranks:
         rest = INNER - step
         return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
-    def whole(self) -> np.ndarray:
-        """For each window its rank of length 50, by 16, 32 and 50."""
-        double = _pair(self.first[:-16], self.first[16:], 1)
-        return _pair(double[: len(double) - (WINDOW - 32)], double[WINDOW - 32 :], 2)
+    def _double(self, at: np.ndarray) -> np.ndarray:
+        return _pair(self.first[at], self.first[at + FIRST], 1)
+
+    def whole(self, at: np.ndarray) -> np.ndarray:
+        """The rank of length 50 of the windows at some positions, by 16 and 32."""
+        return _pair(self._double(at), self._double(at + WINDOW - 2 * FIRST), 2)
+
+    def run(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The rank of the string from one window to another that it overlaps."""
+        return _pair(self.whole(first) + (last - first).astype(np.uint64), self.whole(last), 3)
 
     def second(self, at: np.ndarray) -> np.ndarray:
         """Another 32 bits of rank for the windows at some positions, from
@@ -122,8 +132,24 @@ def _unpack6(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-#: A window's rank and a document: in a blob one after the other.
+#: What blobs hold one after the other: a run (its least rank, its own, whose
+#: lowest bit is a mark, a document), and a window (its rank, more bits of it
+#: with a mark as the lowest, a document).
+_RUN = np.dtype([("least", "<u8"), ("rank", "<u8"), ("doc", "<i8")])
 _ENTRY = np.dtype([("rank", "<u8"), ("more", "<u4"), ("doc", "<i8")])
+_ONE = np.uint64(1)
+
+
+def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(rank) % np.uint64(buckets)).astype(np.int32)
+
+
+def _numbers(ids: list[int | None]) -> np.ndarray:
+    return np.array([i if i is not None else 0 for i in ids], np.int64)
+
+
+def _blobs(right: pa.Table, kind: int) -> list[bytes]:
+    return [b for k, b in zip(right["kind"].to_pylist(), right["blob"].to_pylist(), strict=True) if k == kind]
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,39 +167,75 @@ def _messages(rows: list[tuple[int, int, bytes]], first: str) -> pa.Table:
 def _documents(left: pa.Table, right: pa.Table) -> tuple[list[int | None], list[bytes], list[bool]]:
     """Ids, bytes, and whether a document takes part: it has an id and is the
     first of its exact copies."""
-    firsts = set()
-    for kind, blob in zip(right["kind"].to_pylist(), right["blob"].to_pylist(), strict=True):
-        if kind == 0:
-            firsts.add(int.from_bytes(blob, "big", signed=True))
+    firsts = {int.from_bytes(b, "big", signed=True) for b in _blobs(right, 0)}
     ids, texts = left["doc_id"].to_pylist(), [t.encode("utf-8", "surrogatepass") for t in left["text"].to_pylist()]
     return ids, texts, [i is not None and i in firsts for i in ids]
 
 
+class _Piece:
+    """Some documents that take part, their ranks, and their runs: first and
+    last window, least rank, and the document's place in the batch."""
+
+    def __init__(self, own: np.ndarray, ends: np.ndarray, raw: np.ndarray):
+        self.own, self.ends, self.raw, self.ranks = own, ends, raw, Ranks(raw)
+        at, of = _windows(ends)
+        least = self.ranks.least()[at]
+        cut = np.ones(len(at), bool)
+        cut[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
+        start = np.flatnonzero(cut)
+        # no more windows than have a 16-byte string in common
+        n = np.diff(start, append=len(at))
+        if len(n) and n.max() > INNER:
+            extra = np.concatenate([np.arange(s, s + k, INNER) for s, k in zip(start[n > INNER], n[n > INNER], strict=True)])
+            start = np.union1d(start, extra)
+            n = np.diff(start, append=len(at))
+        self.first, self.last, self.least, self.doc = at[start], at[start] + n - 1, least[start], own[of[start]]
+
+    def runs(self, keep: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The chosen runs as entries, unmarked."""
+        e = np.empty(int(keep.sum()), _RUN)
+        e["least"], e["doc"] = self.least[keep], number[self.doc[keep]]
+        e["rank"] = self.ranks.run(self.first[keep], self.last[keep]) & ~_ONE
+        return e
+
+
+def _pieces(texts: list[bytes], part: list[bool]) -> Iterator[_Piece]:
+    for x in _chunks([t if p else b"" for t, p in zip(texts, part, strict=True)]):
+        yield _Piece(*x)
+
+
+def _once(e: np.ndarray, *keys: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted entries, one for each key with its least document, and whether
+    there was another document."""
+    e = e[np.lexsort((e["doc"], *(e[k] for k in reversed(keys))))]
+    new = np.ones(len(e), bool)
+    new[1:] = np.logical_or.reduce([e[k][1:] != e[k][:-1] for k in keys])
+    start = np.flatnonzero(new)
+    return e[start], np.maximum.reduceat(e["doc"], start) != e["doc"][start]
+
+
 def _first_ranks(buckets: int):
     """Pass 1: a batch's least ranks of length 16; the lowest bit says that two
     of its documents have it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts, part = _documents(left, right)
-        texts = [t if p else b"" for t, p in zip(texts, part, strict=True)]
         name, doc = [], []
-        for own, ends, raw in _chunks(texts):
-            at, of = _windows(ends)
-            least = Ranks(raw).least()[at]
-            start, _ = _runs(least)
-            name.append(least[start])
-            doc.append(own[of[start]])
+        for x in _pieces(texts, part):
+            name.append(x.least)
+            doc.append(x.doc)
         if not name:
             return _messages([], "bucket")
         name, doc = np.concatenate(name), np.concatenate(doc)
-        order = np.lexsort((doc, name))
-        name, doc = name[order], np.array([i if i is not None else 0 for i in ids], np.int64)[doc[order]]
-        start, n = _runs(name)
+        doc = _numbers(ids)[doc]
+        order = np.argsort(name, kind="stable")
+        name, doc = name[order], doc[order]
+        start, _ = _runs(name)
         several = np.maximum.reduceat(doc, start) != np.minimum.reduceat(doc, start)
         name = name[start]
         low = name & _LOW & ~np.uint64(1) | several.astype(np.uint64)
         batch = left["batch"][0].as_py()
-        return _messages([(b, batch, _pack6(low[x])) for b, x in _by_bucket(((name >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32) if buckets <= 1 << 16 else ((name >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32))], "bucket")
+        return _messages([(b, batch, _pack6(low[x])) for b, x in _by_bucket(_bucket(name, buckets))], "bucket")
 
     return run
 
@@ -196,45 +258,110 @@ def _not_unique(table: pa.Table) -> pa.Table:
     return _messages([(b, 1, _pack6(key[kept[x]])) for b, x in _by_bucket(batch[kept])], "batch")
 
 
-def _whole_ranks(buckets: int):
-    """Pass 2: ranks of length 50 of the windows that are left; of a batch's
-    documents with a rank the least goes out, and a second, if any, as a mark."""
+def _run_ranks(buckets: int):
+    """Pass 2: the runs that are left, each once for the batch, with the least
+    of its documents and a mark if there are more."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts, part = _documents(left, right)
-        live = [_unpack6(b) for k, b in zip(right["kind"].to_pylist(), right["blob"].to_pylist(), strict=True) if k == 1]
-        if not live:
-            return _messages([], "bucket")
-        live = np.unique(np.concatenate(live))
-        texts = [t if p else b"" for t, p in zip(texts, part, strict=True)]
-        number = np.array([i if i is not None else 0 for i in ids], np.int64)
+        live = np.unique(np.concatenate([_unpack6(b) for b in _blobs(right, 1)] or [np.zeros(0, np.uint64)]))
         found = []
-        for own, ends, raw in _chunks(texts):
-            at, of = _windows(ends)
-            ranks = Ranks(raw)
-            least = ranks.least()[at]
-            start, n = _runs(least)
-            key = (least[start] & _LOW) >> np.uint64(1)
-            place = np.minimum(np.searchsorted(live, key), len(live) - 1)
-            left_over = np.repeat(live[place] == key, n)
-            at, of = at[left_over], of[left_over]
-            if not len(at):
-                continue
-            e = np.empty(len(at), _ENTRY)
-            e["rank"], e["more"], e["doc"] = ranks.whole()[at], ranks.second(at), number[own[of]]
-            found.append(e)
-        if not found:
+        for x in _pieces(texts, part) if len(live) else ():
+            key = (x.least & _LOW) >> _ONE
+            found.append(x.runs(live[np.minimum(np.searchsorted(live, key), len(live) - 1)] == key, _numbers(ids)))
+        if not sum(map(len, found)):
             return _messages([], "bucket")
-        e = np.concatenate(found)
-        e = e[np.lexsort((e["doc"], e["more"], e["rank"]))]
-        same = np.zeros(len(e), bool)
-        same[1:] = (e["rank"][1:] == e["rank"][:-1]) & (e["more"][1:] == e["more"][:-1])
-        start = np.flatnonzero(~same)
-        several = np.maximum.reduceat(e["doc"], start) != e["doc"][start]
-        e = e[start]
-        e["more"] = e["more"] & np.uint32(0xFFFFFFFE) | several.astype(np.uint32)
+        e, several = _once(np.concatenate(found), "least", "rank")
+        e["rank"] |= several.astype(np.uint64)
         batch = left["batch"][0].as_py()
-        return _messages([(b, batch, e[x].tobytes()) for b, x in _by_bucket((mixed(e["rank"]) % np.uint64(buckets)).astype(np.int32))], "bucket")
+        return _messages([(b, batch, e[x].tobytes()) for b, x in _by_bucket(_bucket(e["least"], buckets))], "bucket")
+
+    return run
+
+
+def _first_runs(table: pa.Table) -> pa.Table:
+    """Sort a bucket; a run's smallest document goes to each batch that has a
+    larger one, and, where a least rank has several kinds of run, to its own."""
+    batch, blob = _gather(table, _RUN.itemsize)
+    e = np.frombuffer(blob, _RUN)
+    if not len(e):
+        return _messages([], "batch")
+    order = np.lexsort((e["rank"] >> _ONE, e["least"]))
+    e, batch = e[order].copy(), batch[order]
+    mark = (e["rank"] & _ONE).astype(bool)
+    e["rank"] &= ~_ONE
+    new_least = np.ones(len(e), bool)
+    new_least[1:] = e["least"][1:] != e["least"][:-1]
+    new_run = new_least.copy()
+    new_run[1:] |= e["rank"][1:] != e["rank"][:-1]
+    start = np.flatnonzero(new_run)
+    first = np.repeat(np.minimum.reduceat(e["doc"], start), np.diff(start, append=len(e)))
+    group = np.flatnonzero(new_least)
+    kinds = np.repeat(np.add.reduceat(new_run.astype(np.int64), group), np.diff(group, append=len(e)))
+    told, asked = (first < e["doc"]) | mark, (kinds > 1) & (first == e["doc"])
+    e["doc"] = first
+    out = []
+    for kind, which in ((2, told), (3, asked)):
+        own, of = e[which], batch[which]
+        out += [(b, kind, own[x].tobytes()) for b, x in _by_bucket(of)]
+    return _messages(out, "batch")
+
+
+class _Runs:
+    """A look-up table of runs."""
+
+    def __init__(self, blobs: list[bytes]):
+        e = np.frombuffer(b"".join(blobs), _RUN)
+        e = e[np.lexsort((e["least"], e["rank"]))]
+        self.rank, self.least, self.doc = e["rank"].copy(), e["least"], e["doc"]
+
+    def documents(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each run whether it is known, and its document."""
+        known, doc = np.zeros(len(e), bool), np.zeros(len(e), np.int64)
+        if len(self.rank):
+            place, open_ = np.searchsorted(self.rank, e["rank"]), np.arange(len(e))
+            while len(open_):  # equal ranks of unequal runs stand side by side
+                p = place[open_]
+                open_ = open_[(p < len(self.rank)) & (self.rank[np.minimum(p, len(self.rank) - 1)] == e["rank"][open_])]
+                p = place[open_]
+                hit = self.least[p] == e["least"][open_]
+                known[open_[hit]], doc[open_[hit]] = True, self.doc[p[hit]]
+                open_ = open_[~hit]
+                place[open_] += 1
+        return known, doc
+
+
+def _asked_windows(x: _Piece, asked: _Runs, number: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (and their documents' places) of the runs that are asked for."""
+    known, doc = asked.documents(e)
+    own = known & (doc == e["doc"])
+    n = (x.last - x.first + 1)[own]
+    begin = np.cumsum(n) - n
+    at = np.arange(n.sum()) - np.repeat(begin, n) + np.repeat(x.first[own], n)
+    return at, np.repeat(x.doc[own], n)
+
+
+def _windows_asked(x: _Piece, at: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    e = np.empty(len(at), _ENTRY)
+    e["rank"], e["more"], e["doc"] = x.ranks.whole(at), x.ranks.second(at) & np.uint32(0xFFFFFFFE), number[doc]
+    return e
+
+
+def _whole_ranks(buckets: int):
+    """Pass 3: the windows asked for, each once for the batch, like the runs."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, texts, part = _documents(left, right)
+        number, asked, found = _numbers(ids), _Runs(_blobs(right, 3)), []
+        for x in _pieces(texts, part) if len(asked.rank) else ():
+            at, doc = _asked_windows(x, asked, number, x.runs(np.ones(len(x.first), bool), number))
+            found.append(_windows_asked(x, at, doc, number))
+        if not sum(map(len, found)):
+            return _messages([], "bucket")
+        e, several = _once(np.concatenate(found), "rank", "more")
+        e["more"] |= several.astype(np.uint32)
+        batch = left["batch"][0].as_py()
+        return _messages([(b, batch, e[x].tobytes()) for b, x in _by_bucket(_bucket(e["rank"], buckets))], "bucket")
 
     return run
 
@@ -255,48 +382,43 @@ def _first_documents(table: pa.Table) -> pa.Table:
     told = (least < e["doc"]) | (e["more"] & np.uint32(1)).astype(bool)
     e, batch = e[told].copy(), batch[told]
     e["doc"] = least[told]
-    return _messages([(b, 2, e[x].tobytes()) for b, x in _by_bucket(batch)], "batch")
+    return _messages([(b, 4, e[x].tobytes()) for b, x in _by_bucket(batch)], "batch")
 
 
 def _cut(left: pa.Table, right: pa.Table) -> Iterator[tuple[bytes, np.ndarray]]:
-    """Pass 3: each document of a batch with the mask of its removed bytes."""
+    """Pass 4: each document of a batch with the mask of its removed bytes."""
     ids, texts, part = _documents(left, right)
-    blobs = [b for k, b in zip(right["kind"].to_pylist(), right["blob"].to_pylist(), strict=True) if k == 2]
-    e = np.frombuffer(b"".join(blobs), _ENTRY)
-    e = e[np.argsort(e["rank"], kind="stable")]
-    number = np.array([i if i is not None else 0 for i in ids], np.int64)
+    number, told, asked = _numbers(ids), _Runs(_blobs(right, 2)), _Runs(_blobs(right, 3))
+    w = np.frombuffer(b"".join(_blobs(right, 4)), _ENTRY)
+    w = w[np.argsort(w["rank"], kind="stable")]
     hit: dict[int, np.ndarray] = {}
-    if len(e):
-        size = np.uint64((1 << max(10, int(len(e) * 16).bit_length())) - 1)
-        there = np.zeros(int(size) + 1, bool)
-        there[(e["rank"] & size).astype(np.int64)] = True
-        rank, more, least = e["rank"].copy(), e["more"] >> np.uint32(1), e["doc"]
-        for own, ends, raw in _chunks([t if p else b"" for t, p in zip(texts, part, strict=True)]):
-            at, of = _windows(ends)
-            ranks = Ranks(raw)
-            whole = ranks.whole()[at]
-            maybe = there[(whole & size).astype(np.int64)]
-            at, of, whole = at[maybe], of[maybe], whole[maybe]
-            place = np.searchsorted(rank, whole)
-            known = np.flatnonzero((place < len(rank)) & (rank[np.minimum(place, len(rank) - 1)] == whole))
-            at, of, whole, place = at[known], of[known], whole[known], place[known]
-            second = ranks.second(at) >> np.uint32(1)
-            doc = number[own[of]]
-            covered = np.zeros(len(at), bool)
-            open_ = np.arange(len(at))
-            while len(open_):  # ranks equal in 64 bits and not in 96 stand side by side
+    for x in _pieces(texts, part) if len(told.rank) + len(asked.rank) else ():
+        e = x.runs(np.ones(len(x.first), bool), number)
+        edge = np.zeros(len(x.raw) + 1, np.int32)
+        known, doc = told.documents(e)
+        covered = known & (doc < e["doc"])
+        np.add.at(edge, x.first[covered], 1)
+        np.add.at(edge, x.last[covered] + WINDOW, -1)
+        touched = [x.doc[covered]]
+        if len(w):
+            at, of = _asked_windows(x, asked, number, e)
+            own = _windows_asked(x, at, of, number)
+            place, open_ = np.searchsorted(w["rank"], own["rank"]), np.arange(len(own))
+            hits = np.zeros(len(own), bool)
+            while len(open_):  # ranks equal in 64 bits and not in 95 stand side by side
                 p = place[open_]
-                covered[open_] |= (more[p] == second[open_]) & (least[p] < doc[open_])
-                place[open_] += 1
+                open_ = open_[(p < len(w)) & (w["rank"][np.minimum(p, len(w) - 1)] == own["rank"][open_])]
                 p = place[open_]
-                open_ = open_[(p < len(rank)) & (rank[np.minimum(p, len(rank) - 1)] == whole[open_])]
-            at, of = at[covered], of[covered]
-            edge = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + WINDOW, -1)
-            mask = np.cumsum(edge[:-1]) > 0
-            for j in np.unique(of):
-                hit[int(own[j])] = mask[ends[j] - len(texts[own[j]]) : ends[j]]
+                same = w["more"][p] >> np.uint32(1) == own["more"][open_] >> np.uint32(1)
+                hits[open_] |= same & (w["doc"][p] < own["doc"][open_])
+                place[open_] += 1
+            np.add.at(edge, at[hits], 1)
+            np.add.at(edge, at[hits] + WINDOW, -1)
+            touched.append(of[hits])
+        mask = np.cumsum(edge[:-1]) > 0
+        end_of = dict(zip(x.own.tolist(), x.ends.tolist(), strict=True))
+        for j in np.unique(np.concatenate(touched)).tolist():
+            hit[j] = mask[end_of[j] - len(texts[j]) : end_of[j]]
     for i, text in enumerate(texts):
         if ids[i] is not None and not part[i] and len(text) >= WINDOW:
             yield text, np.ones(len(text), bool)
@@ -340,9 +462,11 @@ def _removal(docs: DataFrame, rest: list[str], task, schema: str) -> DataFrame:
     firsts = firsts.select(batch_of("doc_id").alias("batch"), F.lit(0).alias("kind"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("blob"))
     told, asked = "batch int, kind int, blob binary", "bucket int, batch int, blob binary"
     meet = lambda side, f, out: batches.groupBy("batch").cogroup(side.groupBy("batch")).applyInArrow(f, out)
+    # repartitioned by itself, so that the two passes that read it share one exchange
     not_unique = meet(firsts, _first_ranks(n), asked).groupBy("bucket").applyInArrow(_not_unique, told)
-    first_documents = meet(firsts.unionByName(not_unique), _whole_ranks(n), asked).groupBy("bucket").applyInArrow(_first_documents, told)
-    return meet(firsts.unionByName(first_documents), task, schema)
+    first_runs = meet(firsts.unionByName(not_unique), _run_ranks(n), asked).groupBy("bucket").applyInArrow(_first_runs, told).repartition(partitions(spark), "batch")
+    first_documents = meet(firsts.unionByName(first_runs), _whole_ranks(n), asked).groupBy("bucket").applyInArrow(_first_documents, told)
+    return meet(firsts.unionByName(first_runs).unionByName(first_documents), task, schema)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
