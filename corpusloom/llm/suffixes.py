@@ -7,10 +7,10 @@ ranks at all lengths without asking others.  What has to be sorted among all
 documents are (rank, document) pairs, at three growing lengths; what is unique
 or decided at one takes no part in the next.
 
-* Length 16.  Of each 50-byte window only the least rank of its 16-byte strings
+* Length 24.  Of each 50-byte window only the least rank of its 24-byte strings
   is sorted.  Equal windows have equal least ranks, so a window whose least rank
   is unique to one document is unique itself.
-* Length 50 to 84: runs, that is neighbouring windows with one least rank, as
+* Length 50 to 76: runs, that is neighbouring windows with one least rank, as
   one string.  A run that a smaller document has too is covered whole.  A least
   rank with one kind of run only is decided by this.
 * Length 50, the threshold: single windows of the other runs, where copies begin
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import mixed, partitions
 
 #: Length of the strings, of the first sorted rank, and how many of those a window has.
-WINDOW, FIRST = 50, 16
+WINDOW, FIRST = 50, 24
 INNER = WINDOW - FIRST + 1
 #: Bytes of text in a batch of documents, about, and bytes that are ranked at once.
 BATCH_BYTES, CHUNK = 16 << 20, 256 << 10
@@ -62,10 +62,11 @@ class Ranks:
         x = x[:-1] | x[1:] << np.uint64(8)
         x = x[:-2] | x[2:] << np.uint64(16)
         self.eight = x[:-4] | x[4:] << np.uint64(32)
-        self.first = _pair(self.eight[:-8], self.eight[8:], 0)
+        sixteen = _pair(self.eight[:-8], self.eight[8:], 0)
+        self.first = _pair(sixteen[:-8], self.eight[16:], 4)
 
     def least(self) -> np.ndarray:
-        """For each window the least rank of length 16 in it."""
+        """For each window the least rank of length 24 in it."""
         m, step = self.first, 1
         while step * 2 <= INNER:
             m = np.minimum(m[:-step], m[step:])
@@ -77,7 +78,7 @@ class Ranks:
         return _pair(self.first[at], self.first[at + FIRST], 1)
 
     def whole(self, at: np.ndarray) -> np.ndarray:
-        """The rank of length 50 of the windows at some positions, by 16 and 32."""
+        """The rank of length 50 of the windows at some positions, by 24 and 48."""
         return _pair(self._double(at), self._double(at + WINDOW - 2 * FIRST), 2)
 
     def run(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -183,7 +184,7 @@ class _Piece:
         cut = np.ones(len(at), bool)
         cut[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
         start = np.flatnonzero(cut)
-        # no more windows than have a 16-byte string in common
+        # no more windows than have a 24-byte string in common
         n = np.diff(start, append=len(at))
         if len(n) and n.max() > INNER:
             extra = np.concatenate([np.arange(s, s + k, INNER) for s, k in zip(start[n > INNER], n[n > INNER], strict=True)])
@@ -215,7 +216,7 @@ def _once(e: np.ndarray, *keys: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_ranks(buckets: int):
-    """Pass 1: a batch's least ranks of length 16; the lowest bit says that two
+    """Pass 1: a batch's least ranks of length 24; the lowest bit says that two
     of its documents have it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
