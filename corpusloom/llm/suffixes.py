@@ -14,7 +14,8 @@ or decided at one takes no part in the next.
   one string.  A run that a smaller document has too is covered whole.  A least
   rank with one kind of run only is decided by this.
 * Length 50, the threshold: single windows of the other runs, where copies begin
-  and end, each from the first document with the run alone.
+  and end.  The first document with such a run sends its bytes, and its windows
+  are ranked where they are sorted.
 
 Pairs travel packed: one row holds the pairs that a batch of documents has for
 a bucket of ranks, each rank once for a batch.  So a string that a third of all
@@ -134,10 +135,8 @@ def _unpack6(blob: bytes) -> np.ndarray:
 
 
 #: What blobs hold one after the other: a run (its least rank, its own, whose
-#: lowest bit is a mark, a document), and a window (its rank, more bits of it
-#: with a mark as the lowest, a document).
+#: lowest bit is a mark, and a document or, in the end, one bit for each window).
 _RUN = np.dtype([("least", "<u8"), ("rank", "<u8"), ("doc", "<i8")])
-_ENTRY = np.dtype([("rank", "<u8"), ("more", "<u4"), ("doc", "<i8")])
 _ONE = np.uint64(1)
 
 
@@ -332,90 +331,91 @@ class _Runs:
         return known, doc
 
 
-def _asked_windows(x: _Piece, asked: _Runs, number: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (and their documents' places) of the runs that are asked for."""
-    known, doc = asked.documents(e)
-    own = known & (doc == e["doc"])
-    n = (x.last - x.first + 1)[own]
-    begin = np.cumsum(n) - n
-    at = np.arange(n.sum()) - np.repeat(begin, n) + np.repeat(x.first[own], n)
-    return at, np.repeat(x.doc[own], n)
-
-
-def _windows_asked(x: _Piece, at: np.ndarray, doc: np.ndarray, number: np.ndarray) -> np.ndarray:
-    e = np.empty(len(at), _ENTRY)
-    e["rank"], e["more"], e["doc"] = x.ranks.whole(at), x.ranks.second(at) & np.uint32(0xFFFFFFFE), number[doc]
-    return e
+def _strings(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """Some stretches of bytes, one after the other."""
+    begin = np.cumsum(size) - size
+    return raw[np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(start, size)].tobytes()
 
 
-def _whole_ranks(buckets: int):
-    """Pass 3: the windows asked for, each once for the batch, like the runs."""
+def _run_texts(buckets: int):
+    """Pass 3: the runs asked for, each once, with their bytes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts, part = _documents(left, right)
-        number, asked, found = _numbers(ids), _Runs(_blobs(right, 3)), []
+        number, asked, out, sent = _numbers(ids), _Runs(_blobs(right, 3)), {}, set()
         for x in _pieces(texts, part) if len(asked.rank) else ():
-            at, doc = _asked_windows(x, asked, number, x.runs(np.ones(len(x.first), bool), number))
-            found.append(_windows_asked(x, at, doc, number))
-        if not sum(map(len, found)):
-            return _messages([], "bucket")
-        e, several = _once(np.concatenate(found), "rank", "more")
-        e["more"] |= several.astype(np.uint32)
+            e = x.runs(np.ones(len(x.first), bool), number)
+            known, doc = asked.documents(e)
+            own = np.flatnonzero(known & (doc == e["doc"]))
+            fresh = []
+            for i, key in zip(own.tolist(), e[own][["least", "rank"]].tolist(), strict=True):
+                if key not in sent:
+                    sent.add(key)
+                    fresh.append(i)
+            own = np.array(fresh, np.int64)
+            for b, y in _by_bucket(_bucket(e["least"][own], buckets)):
+                at = own[y]
+                size = x.last[at] - x.first[at] + WINDOW
+                parts = out.setdefault(b, ([], [], []))
+                parts[0].append(e[at].tobytes())
+                parts[1].append(size.astype(np.uint8).tobytes())
+                parts[2].append(_strings(x.raw, x.first[at], size))
         batch = left["batch"][0].as_py()
-        return _messages([(b, batch, e[x].tobytes()) for b, x in _by_bucket(_bucket(e["rank"], buckets))], "bucket")
+        return _messages([(b, batch, sum(map(len, p[1])).to_bytes(8, "little") + b"".join(b"".join(q) for q in p)) for b, p in out.items()], "bucket")
 
     return run
 
 
-def _first_documents(table: pa.Table) -> pa.Table:
-    """Sort a bucket; a rank's smallest document goes to each batch that has a
-    larger one."""
-    batch, blob = _gather(table, _ENTRY.itemsize)
-    e = np.frombuffer(blob, _ENTRY)
-    order = np.lexsort((e["more"] >> np.uint32(1), e["rank"]))
-    e, batch = e[order], batch[order]
-    same = np.zeros(len(e), bool)
-    same[1:] = (e["rank"][1:] == e["rank"][:-1]) & (e["more"][1:] >> np.uint32(1) == e["more"][:-1] >> np.uint32(1))
-    start = np.flatnonzero(~same)
-    if not len(start):
+def _first_windows(table: pa.Table) -> pa.Table:
+    """Sort a bucket's windows; each run goes back with one bit for each of
+    its windows that a smaller document has."""
+    runs, sizes, raws, batch = [], [], [], []
+    for b, blob in zip(table["batch"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        n = int.from_bytes(blob[:8], "little")
+        width = n * _RUN.itemsize
+        runs.append(np.frombuffer(blob[8 : 8 + width], _RUN))
+        sizes.append(np.frombuffer(blob[8 + width : 8 + width + n], np.uint8))
+        raws.append(blob[8 + width + n :])
+        batch.append(np.full(n, b, np.int32))
+    if not runs:
         return _messages([], "batch")
-    least = np.repeat(np.minimum.reduceat(e["doc"], start), np.diff(start, append=len(e)))
-    told = (least < e["doc"]) | (e["more"] & np.uint32(1)).astype(bool)
-    e, batch = e[told].copy(), batch[told]
-    e["doc"] = least[told]
+    e, size, batch = np.concatenate(runs).copy(), np.concatenate(sizes).astype(np.int64), np.concatenate(batch)
+    ranks = Ranks(np.frombuffer(b"".join(raws), np.uint8))
+    at, of = _windows(np.cumsum(size))
+    rank, more, doc = ranks.whole(at), ranks.second(at), e["doc"][of]
+    order = np.lexsort((more, rank))
+    new = np.ones(len(at), bool)
+    new[1:] = (rank[order][1:] != rank[order][:-1]) | (more[order][1:] != more[order][:-1])
+    start = np.flatnonzero(new)
+    least = np.empty(len(at), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], start), np.diff(start, append=len(at)))
+    begin = np.flatnonzero(np.diff(of, prepend=-1))
+    bit = np.int64(1) << (np.arange(len(at)) - begin[of])
+    e["doc"] = np.add.reduceat(np.where(least < doc, bit, 0), begin)
+    some = e["doc"] != 0
+    e, batch = e[some], batch[some]
     return _messages([(b, 4, e[x].tobytes()) for b, x in _by_bucket(batch)], "batch")
 
 
 def _cut(left: pa.Table, right: pa.Table) -> Iterator[tuple[bytes, np.ndarray]]:
     """Pass 4: each document of a batch with the mask of its removed bytes."""
     ids, texts, part = _documents(left, right)
-    number, told, asked = _numbers(ids), _Runs(_blobs(right, 2)), _Runs(_blobs(right, 3))
-    w = np.frombuffer(b"".join(_blobs(right, 4)), _ENTRY)
-    w = w[np.argsort(w["rank"], kind="stable")]
+    number, told, parts = _numbers(ids), _Runs(_blobs(right, 2)), _Runs(_blobs(right, 4))
     hit: dict[int, np.ndarray] = {}
-    for x in _pieces(texts, part) if len(told.rank) + len(asked.rank) else ():
+    for x in _pieces(texts, part) if len(told.rank) + len(parts.rank) else ():
         e = x.runs(np.ones(len(x.first), bool), number)
         edge = np.zeros(len(x.raw) + 1, np.int32)
         known, doc = told.documents(e)
         covered = known & (doc < e["doc"])
         np.add.at(edge, x.first[covered], 1)
         np.add.at(edge, x.last[covered] + WINDOW, -1)
-        touched = [x.doc[covered]]
-        if len(w):
-            at, of = _asked_windows(x, asked, number, e)
-            own = _windows_asked(x, at, of, number)
-            place, open_ = np.searchsorted(w["rank"], own["rank"]), np.arange(len(own))
-            hits = np.zeros(len(own), bool)
-            while len(open_):  # ranks equal in 64 bits and not in 95 stand side by side
-                p = place[open_]
-                open_ = open_[(p < len(w)) & (w["rank"][np.minimum(p, len(w) - 1)] == own["rank"][open_])]
-                p = place[open_]
-                same = w["more"][p] >> np.uint32(1) == own["more"][open_] >> np.uint32(1)
-                hits[open_] |= same & (w["doc"][p] < own["doc"][open_])
-                place[open_] += 1
-            np.add.at(edge, at[hits], 1)
-            np.add.at(edge, at[hits] + WINDOW, -1)
-            touched.append(of[hits])
+        known, bits = parts.documents(e)
+        known &= ~covered
+        for i in range(INNER):
+            at = x.first[known & (bits >> i & 1).astype(bool)] + i
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + WINDOW, -1)
+        touched = [x.doc[covered], x.doc[known]]
         mask = np.cumsum(edge[:-1]) > 0
         end_of = dict(zip(x.own.tolist(), x.ends.tolist(), strict=True))
         for j in np.unique(np.concatenate(touched)).tolist():
@@ -466,8 +466,8 @@ def _removal(docs: DataFrame, rest: list[str], task, schema: str) -> DataFrame:
     # repartitioned by itself, so that the two passes that read it share one exchange
     not_unique = meet(firsts, _first_ranks(n), asked).groupBy("bucket").applyInArrow(_not_unique, told)
     first_runs = meet(firsts.unionByName(not_unique), _run_ranks(n), asked).groupBy("bucket").applyInArrow(_first_runs, told).repartition(partitions(spark), "batch")
-    first_documents = meet(firsts.unionByName(first_runs), _whole_ranks(n), asked).groupBy("bucket").applyInArrow(_first_documents, told)
-    return meet(firsts.unionByName(first_runs).unionByName(first_documents), task, schema)
+    first_windows = meet(firsts.unionByName(first_runs), _run_texts(n), asked).groupBy("bucket").applyInArrow(_first_windows, told)
+    return meet(firsts.unionByName(first_runs).unionByName(first_windows), task, schema)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
