@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, langid, queries, suffixes
+from corpusloom.llm import bpe, common, decontaminate, langid, ngram_join, queries, suffixes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts of which a smaller share of n-grams belongs to their best language go.
@@ -24,6 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id of each class of near duplicates."""
+    return ngram_join.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte strings that an earlier document has.  What is left of a
     character cut in two goes as well."""
@@ -31,6 +36,11 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.withColumn("text", suffixes.as_text("kept")).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item."""
+    return decontaminate.decontaminate(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text, with the digest of what decoding gives back."""
     return bpe.encode_with_digest(docs.select("doc_id", "text"), queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.tokenizer_pattern())
@@ -38,7 +48,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
+    ("ngram_join", near_duplicates),
     ("suffix_dedup", repeated_strings),
+    ("decontaminate", benchmark),
     ("tokens", tokens),
 ]
 
