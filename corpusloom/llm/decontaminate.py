@@ -33,7 +33,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import doc_columns
 
@@ -290,12 +289,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The search runs inside the filter, so no rows are shuffled."""
     for index in indexes(benchmark):
+        docs = docs.where(~_holder(index)("text"))
+    return docs
 
-        def holds(texts: pd.Series, index: Index = index) -> pd.Series:
-            out = np.zeros(len(texts), bool)
-            for i, *_ in find(index, [t or "" for t in texts]):
-                out[i] = True
-            return pd.Series(out)
 
-        docs = docs.where(~F.pandas_udf(holds, T.BooleanType(), F.PandasUDFType.SCALAR)("text"))
-    return docs
+def _holder(index: Index):
+    """Whether a text holds an item of the index."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), bool)
+        for i, *_ in find(index, [t or "" for t in texts]):
+            out[i] = True
+        return pd.Series(out)
+
+    return holds

@@ -34,10 +34,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import mixed, partitions
 
@@ -447,8 +447,9 @@ def _text_task(left: pa.Table, right: pa.Table) -> pa.Table:
         kept.append(np.frombuffer(t, np.uint8)[~m].tobytes())
         edge = np.flatnonzero(np.diff(np.concatenate([[False], m, [False]]).astype(np.int8)))
         spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
+    rest = left["rest"].cast(pa.struct([pa.field(f.name, f.type) for f in left["rest"].type]))  # as the schema: nullable
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table([left["doc_id"], pa.array(kept, pa.binary()), pa.array(spans, span), left["rest"]], ["doc_id", "kept", "spans", "rest"])
+    return pa.table([left["doc_id"], pa.array(kept, pa.binary()), pa.array(spans, span), rest], ["doc_id", "kept", "spans", "rest"])
 
 
 def _removal(docs: DataFrame, rest: list[str], task, schema: str) -> DataFrame:
@@ -485,5 +486,9 @@ def remove_repeats(docs: DataFrame, *keep: str) -> DataFrame:
 
 def as_text(column: str):
     """Bytes as text; what is left of a character cut in two is dropped."""
-    decode = F.pandas_udf(lambda kept: kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore")), T.StringType(), F.PandasUDFType.SCALAR)
+
+    @F.pandas_udf("string")
+    def decode(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
     return decode(column)
