@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, slices
 
 #: Entries of the per-task memo of pre-tokens; it is emptied when full.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 #: Pre-tokens longer than this many bytes are never kept in the memo.
 MEMO_BYTES = 64
 
@@ -176,7 +176,7 @@ def _task(path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_at(path, pattern)
         decimal = {r: str(r) for r in codec.pieces}
-        for batch in batches:
+        for batch in slices(batches):
             counts, first, second = [], [], []
             for text in batch.column(1):
                 ids = codec.encode(text.as_py())

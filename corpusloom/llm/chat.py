@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, slices
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Characters after which a block of whole turns is encoded.
@@ -91,7 +91,7 @@ def loss_texts(rendered: str, offsets: np.ndarray, mask: np.ndarray) -> list[str
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, bool]]:
     """(conv_id, rendered block, whether it is the last) of sorted turns."""
     current, parts, size, some = None, [], 0, False
-    for batch in batches:
+    for batch in slices(batches):
         for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if some and conv != current:
                 yield current, "".join(parts), True

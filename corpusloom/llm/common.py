@@ -7,14 +7,22 @@ cluster names.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of the data folder."""
@@ -52,10 +60,52 @@ def doc_columns(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def column_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
-    """Each batch as Python lists, one for each column."""
-    for batch in batches:
-        yield [c.to_pylist() for c in batch.columns]
+#: Rows of an Arrow batch that are worked on at once.
+SLICE_ROWS = 1000
+
+
+def give_back() -> None:
+    """Hand memory that is free back to the system: Python workers live on from
+    task to task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in parts of bounded size; when they end, free memory
+    goes back."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(at, SLICE_ROWS)
+    finally:
+        give_back()
+
+
+def thrifty(f):
+    """A grouped task after which free memory goes back."""
+
+    @wraps(f)
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return f(*tables)
+        finally:
+            give_back()
+
+    return run
+
+
+def where_text(docs: DataFrame, decide: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """The rows whose texts (null: empty) are decided to stay, with all their
+    columns; nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(decide([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def crc_remainder(column: str, divisor: int):

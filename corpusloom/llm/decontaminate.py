@@ -29,12 +29,11 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, slices, where_text
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs; of the question's
@@ -242,7 +241,7 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = [words_of(t.as_py()) for t in batch.column(1)]
             rows = [(w, b, len(ws) if i == 0 else 0, int(i == 0)) for ws, b in zip(lists, batch.column(2).to_pylist(), strict=True) for i, w in enumerate(sorted(set(ws)))]
             cols = list(zip(*rows, strict=True)) or [()] * 4
@@ -270,7 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             kinds = [pa.int64()] * 2 + [pa.float64()] * 4
-            for batch in batches:
+            for batch in slices(batches):
                 ids, best = batch.column(0), {}
                 for i, d, score, q, a in find(index, batch.column(1).to_pylist()):
                     key = (i, index.ids[d])
@@ -289,18 +288,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The search runs inside the filter, so no rows are shuffled."""
     for index in indexes(benchmark):
-        docs = docs.where(~_holder(index)("text"))
+        docs = where_text(docs, _free_of(index))
     return docs
 
 
-def _holder(index: Index):
-    """Whether a text holds an item of the index."""
+def _free_of(index: Index):
+    """Decides which texts hold no item of the index."""
 
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        out = np.zeros(len(texts), bool)
-        for i, *_ in find(index, [t or "" for t in texts]):
-            out[i] = True
-        return pd.Series(out)
+    def decide(texts: list[str]) -> np.ndarray:
+        out = np.ones(len(texts), bool)
+        out[[i for i, *_ in find(index, texts)]] = False
+        return out
 
-    return holds
+    return decide

@@ -19,12 +19,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, mixed
+from .common import crc_remainder, mixed, slices, where_text
 
 #: Lengths of the n-grams.
 ORDERS = (2, 3, 4)
@@ -135,7 +134,7 @@ class LanguageFilter:
 
 
 def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -183,7 +182,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """Append ``lang_pred`` and ``score`` to ``doc_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             labels, scores = model.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -203,9 +202,8 @@ def filter_documents(docs: DataFrame, least: float) -> DataFrame:
     the model learns as in :func:`predict_documents`."""
     model = fit(docs.where(crc_remainder("doc_id", 4) != 2))
 
-    @F.pandas_udf("boolean")
-    def spoken(texts: pd.Series) -> pd.Series:
-        labels, scores = model.predict([t or "" for t in texts])
-        return pd.Series([x != "und" and s >= least for x, s in zip(labels, scores, strict=True)], dtype=bool)
+    def spoken(texts: list[str]) -> np.ndarray:
+        labels, scores = model.predict(texts)
+        return (np.array(labels) != "und") & (scores >= least)
 
-    return docs.where(spoken("text"))
+    return where_text(docs, spoken)

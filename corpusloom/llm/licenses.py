@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_columns
+from .common import doc_columns, slices
 
 #: Phrases of the base contract and their labels: fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -185,7 +185,7 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-    for batch in batches:
+    for batch in slices(batches):
         rows = [scan(t.as_py()) for t in batch.column(1)]
         columns = list(zip(*rows, strict=True)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])

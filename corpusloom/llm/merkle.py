@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, partitions
+from .common import doc_columns, partitions, slices
 
 #: A piece ends at about one word of so many; a section at one paragraph of so many.
 WORDS_A_PIECE, PARAGRAPHS_A_SECTION = 8, 6
@@ -133,7 +133,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.string())], ["doc_id", "fingerprint"])
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, fingerprint string")
@@ -185,7 +185,7 @@ def _ranges(ids: pa.Array, cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _least_ids(batches: Iterator[pa.RecordBatch], cuts: list[int]) -> Iterator[pa.RecordBatch]:
     """The least id of each range in each batch."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, where = _ranges(batch.column(0), cuts)
         least = {int(r): int(ids[where == r].min()) for r in np.unique(where)}
         yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.int64())], ["range", "first"])
@@ -196,7 +196,7 @@ def _deal(batches: Iterator[pa.RecordBatch], cuts: list[int], firsts: dict[int,
     guest of the range before it (of the first range: the last)."""
     there = sorted(firsts)
     before = {r: there[i - 1] for i, r in enumerate(there)}
-    for batch in batches:
+    for batch in slices(batches):
         ids, where = _ranges(batch.column(0), cuts)
         guest = np.flatnonzero(np.fromiter((firsts[r] == i for r, i in zip(where.tolist(), ids.tolist(), strict=True)), bool, len(ids)))
         take = pa.array(np.concatenate([np.arange(len(ids)), guest]))
@@ -216,7 +216,7 @@ def _next_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changed = fingerprint(new)
         return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, theirs)
 
-    for batch in batches:
+    for batch in slices(batches):
         for where, guest, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if where == closed:
                 continue  # further guests of equal id

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, durable, mixed, partitions
+from .common import doc_columns, durable, mixed, partitions, slices, thrifty
 from .components import components
 
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
@@ -132,7 +132,7 @@ def set_key(s: np.ndarray) -> bytes:
 
 def _sketch(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets([t.as_py() for t in batch.column(1)])
             keys: list[bytes | None] = [set_key(s) if len(s) else None for s in sets]
             known: dict[bytes, int] = {}
@@ -152,7 +152,7 @@ def _sketch(bands: int, rows: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of nodes; rows of an id with another text fall out."""
-    for batch in batches:
+    for batch in slices(batches):
         sets = shingle_sets([t.as_py() for t in batch.column(0)])
         keep = [i for i, k in enumerate(batch.column(1).to_pylist()) if len(sets[i]) and set_key(sets[i]) == k]
         rest = [batch.column(c).take(pa.array(keep, pa.int64())) for c in range(2, batch.num_columns)]
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # components of one block share tasks; a larger one has its own for each pair of blocks
         F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("component"), F.lit(8 * n))).otherwise(F.col("component")).alias("task"),
     )
-    verified = durable(tasks.groupBy("task", "i", "j").applyInArrow(_verify, "u long, v long, links long"))
+    verified = durable(tasks.groupBy("task", "i", "j").applyInArrow(thrifty(_verify), "u long, v long, links long"))
     classes = components(verified.where("v is not null").select("u", "v"))
     counts = verified.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("n_links"))
     found = nodes.select("set_key", "node", "n_copies").join(counts, "node", "left").join(classes, "node", "left")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, doc_columns
+from .common import crc_remainder, doc_columns, slices
 
 #: Labelled documents to learn from, about; more are sampled by hashed id.
 MOST_TRAINING_DOCS = 4000
@@ -209,7 +209,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit([r.text for r in rows], [r.quality for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, score double").select(

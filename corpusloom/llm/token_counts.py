@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_columns
+from .common import doc_columns, slices
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -117,7 +117,7 @@ def count_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_at(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip(*(counter.count(t.as_py()) for t in batch.column(1)), strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.float64()), pa.array(rows[2], pa.int64())], ["doc_id", "n_tokens", "score", "n_words"])
 
