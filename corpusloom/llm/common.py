@@ -10,7 +10,6 @@ from __future__ import annotations
 import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
-from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -83,13 +82,24 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
 
 
-def thrifty(f):
+def thrifty(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """A grouped task after which free memory goes back."""
 
-    @wraps(f)
-    def run(*tables: pa.Table) -> pa.Table:
+    def run(own: pa.Table) -> pa.Table:
         try:
-            return f(*tables)
+            return f(own)
+        finally:
+            give_back()
+
+    return run
+
+
+def thrifty_pair(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a task of two tables."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
         finally:
             give_back()
 

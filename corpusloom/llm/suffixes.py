@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, thrifty
+from .common import mixed, partitions, thrifty, thrifty_pair
 
 #: Length of the strings, of the first sorted rank, and how many of those a window has.
 WINDOW, FIRST = 50, 24
@@ -463,7 +463,7 @@ def _removal(docs: DataFrame, rest: list[str], task, schema: str) -> DataFrame:
     firsts = docs.select("doc_id", F.unhex(F.md5(text)).alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     firsts = firsts.select(batch_of("doc_id").alias("batch"), F.lit(0).alias("kind"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("blob"))
     told, asked = "batch int, kind int, blob binary", "bucket int, batch int, blob binary"
-    meet = lambda side, f, out: batches.groupBy("batch").cogroup(side.groupBy("batch")).applyInArrow(thrifty(f), out)
+    meet = lambda side, f, out: batches.groupBy("batch").cogroup(side.groupBy("batch")).applyInArrow(thrifty_pair(f), out)
     # repartitioned by itself, so that the two passes that read it share one exchange
     not_unique = meet(firsts, _first_ranks(n), asked).groupBy("bucket").applyInArrow(thrifty(_not_unique), told)
     first_runs = meet(firsts.unionByName(not_unique), _run_ranks(n), asked).groupBy("bucket").applyInArrow(thrifty(_first_runs), told).repartition(partitions(spark), "batch")
