@@ -34,7 +34,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +44,7 @@ from .common import mixed, partitions, thrifty, thrifty_pair
 WINDOW, FIRST = 50, 24
 INNER = WINDOW - FIRST + 1
 #: Bytes of text in a batch of documents, about, and bytes that are ranked at once.
-BATCH_BYTES, CHUNK = 16 << 20, 256 << 10
+BATCH_BYTES, CHUNK = 8 << 20, 256 << 10
 _K = [np.uint64(k | 1) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -168,7 +167,7 @@ def _documents(left: pa.Table, right: pa.Table) -> tuple[list[int | None], list[
     """Ids, bytes, and whether a document takes part: it has an id and is the
     first of its exact copies."""
     firsts = {int.from_bytes(b, "big", signed=True) for b in _blobs(right, 0)}
-    ids, texts = left["doc_id"].to_pylist(), [t.encode("utf-8", "surrogatepass") for t in left["text"].to_pylist()]
+    ids, texts = left["doc_id"].to_pylist(), left["text"].cast(pa.binary()).to_pylist()
     return ids, texts, [i is not None and i in firsts for i in ids]
 
 
@@ -432,7 +431,6 @@ def _spans(mask: np.ndarray) -> int:
 
 
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-TEXT_SCHEMA = "doc_id long, kept binary, spans array<struct<start:long,end:long>>"
 
 
 def _digest_task(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -441,15 +439,24 @@ def _digest_task(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([left["doc_id"], *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _text_task(left: pa.Table, right: pa.Table) -> pa.Table:
+def _nullable(rest: pa.ChunkedArray) -> pa.ChunkedArray:
+    """A struct column with nullable fields, as the schema says."""
+    return rest.cast(pa.struct([pa.field(f.name, f.type) for f in rest.type]))
+
+
+def _bytes_task(left: pa.Table, right: pa.Table) -> pa.Table:
     kept, spans = [], []
     for t, m in _cut(left, right):
         kept.append(np.frombuffer(t, np.uint8)[~m].tobytes())
         edge = np.flatnonzero(np.diff(np.concatenate([[False], m, [False]]).astype(np.int8)))
         spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-    rest = left["rest"].cast(pa.struct([pa.field(f.name, f.type) for f in left["rest"].type]))  # as the schema: nullable
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table([left["doc_id"], pa.array(kept, pa.binary()), pa.array(spans, span), rest], ["doc_id", "kept", "spans", "rest"])
+    return pa.table([left["doc_id"], pa.array(kept, pa.binary()), pa.array(spans, span), _nullable(left["rest"])], ["doc_id", "kept", "spans", "rest"])
+
+
+def _text_task(left: pa.Table, right: pa.Table) -> pa.Table:
+    kept = pa.array((np.frombuffer(t, np.uint8)[~m].tobytes().decode("utf-8", "ignore") if m.any() else t.decode() for t, m in _cut(left, right)), pa.string())
+    return pa.table([left["doc_id"], kept, _nullable(left["rest"])], ["doc_id", "text", "rest"])
 
 
 def _removal(docs: DataFrame, rest: list[str], task, schema: str) -> DataFrame:
@@ -476,19 +483,19 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     return _removal(docs, [], _digest_task, DIGEST_SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, kept bytes, removed spans) of each document, and the columns
-    named in ``keep``."""
+def _whole(docs: DataFrame, keep: tuple[str, ...], task, schema: str) -> DataFrame:
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else "none: int"
-    out = _removal(docs, list(keep), _text_task, f"{TEXT_SCHEMA}, rest struct<{kinds}>")
-    return out.select("doc_id", "kept", "spans", *[F.col("rest")[c].alias(c) for c in keep])
+    out = _removal(docs, list(keep), task, f"{schema}, rest struct<{kinds}>")
+    return out.select(*[c for c in out.columns if c != "rest"], *[F.col("rest")[c].alias(c) for c in keep])
 
 
-def as_text(column: str):
-    """Bytes as text; what is left of a character cut in two is dropped."""
+def remove_repeats(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, kept bytes, removed spans) of each document, and the columns
+    named in ``keep``."""
+    return _whole(docs, keep, _bytes_task, "doc_id long, kept binary, spans array<struct<start:long,end:long>>")
 
-    @F.pandas_udf("string")
-    def decode(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
-    return decode(column)
+def remaining_texts(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, text) of each document, and the columns named in ``keep``.
+    What is left of a character cut in two goes as well."""
+    return _whole(docs, keep, _text_task, "doc_id long, text string")
