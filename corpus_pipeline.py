@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte strings that an earlier document has.  What is left of a
     character cut in two goes as well."""
-    kept = suffixes.remove_repeats(docs.select(*COLUMNS), "lang", "source")
-    return kept.withColumn("text", suffixes.as_text("kept")).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    kept = suffixes.remaining_texts(docs.select(*COLUMNS), "lang", "source")
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
