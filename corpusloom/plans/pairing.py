@@ -1 +1,114 @@
+"""Pair and split queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scores
+from ..operators import chunks as C
+from ..operators import pairs as ops
+from ..operators import splits
+from ..registry import query
+from .chunking import _UNION, rows_of
+from .views import CHUNKS_SQL, chunks
+
+_R = "r AS (SELECT unnest(generate_series(0, 9)) / 10.0::DOUBLE AS r)"
+_BINS = f"""WITH {_R}, p AS (SELECT a.r AS r1, b.r AS r2, round(sqrt((1 - a.r * a.r) * (1 - b.r * b.r)), 12) AS v FROM r a, r b WHERE a.r <= b.r),
+z AS (SELECT 'same' AS kind, r1, r2, round(0.5::DOUBLE + 0.5::DOUBLE * ((greatest(v, 0.19::DOUBLE) - 0.19::DOUBLE) / 0.81::DOUBLE), 9) AS s FROM p UNION ALL SELECT 'cross', r1, r2, round(0.5::DOUBLE * (1 - (greatest(v, 0.19::DOUBLE) - 0.19::DOUBLE) / 0.81::DOUBLE), 9) FROM p WHERE r1 > 0 AND r2 > 0)
+SELECT kind, r1, r2, greatest(0.1::DOUBLE, least(0.9::DOUBLE, round_even(s * 10, 0) / 10)) AS bin FROM z"""
+
+
+@query(_BINS)
+def ratio_bins(spark, sf):
+    return scores.ratio_bins(spark)
+
+
+_POS = f"""WITH {CHUNKS_SQL}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, author_id, book_id ORDER BY text) AS place FROM (SELECT DISTINCT subject, author_id, book_id, text FROM chunks WHERE length(text) >= 50)) WHERE place <= 50)
+SELECT a.subject, a.author_id AS author1, a.author_id AS author2, md5(a.text) AS key1, md5(b.text) AS key2 FROM own a JOIN own b USING (subject, author_id) WHERE a.book_id < b.book_id"""
+_NEG = f"""WITH {CHUNKS_SQL}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, author_id ORDER BY md5('42:' || text), text) AS place FROM (SELECT DISTINCT subject, author_id, text FROM chunks WHERE length(text) >= 50)) WHERE place <= 50),
+ring AS (SELECT subject, author_id, row_number() OVER (PARTITION BY subject ORDER BY author_id) - 1 AS i, count(*) OVER (PARTITION BY subject) AS n FROM (SELECT DISTINCT subject, author_id FROM own))
+SELECT a.subject, a.author_id AS author1, b.author_id AS author2, md5(a.text) AS key1, md5(b.text) AS key2 FROM own a JOIN ring x USING (subject, author_id) JOIN ring y ON y.subject = x.subject AND y.i = (x.i + 1) % x.n AND y.author_id <> x.author_id JOIN own b ON b.subject = y.subject AND b.author_id = y.author_id"""
+
+
+def _eligible(spark, sf):
+    return chunks(spark, sf).where(F.length("text") >= 50)
+
+
+def _keys(pairs):
+    return pairs.select("subject", "author1", "author2", F.md5("sentence1").alias("key1"), F.md5("sentence2").alias("key2"))
+
+
+@query(_POS)
+def eval_positive_pairs(spark, sf):
+    return _keys(ops.positive_pairs(_eligible(spark, sf)))
+
+
+@query(_NEG)
+def eval_ring_negatives(spark, sf):
+    return _keys(ops.ring_negatives(_eligible(spark, sf)))
+
+
+_QUOTA = f"""WITH pos AS ({_POS}), neg AS ({_NEG}), available AS (SELECT subject, sum(p) AS positives, sum(n) AS negatives, sum(p) + sum(n) AS available FROM (SELECT subject, 1 AS p, 0 AS n FROM pos UNION ALL SELECT subject, 0, 1 FROM neg) GROUP BY subject),
+o AS (SELECT *, coalesce(sum(available) OVER (ORDER BY available, subject ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(*) OVER () - row_number() OVER (ORDER BY available, subject) + 1 AS lft FROM available),
+f AS (SELECT *, available * lft + before <= 3000 AS full_ FROM o), lv AS (SELECT min(before) AS b, count(*) AS k FROM f WHERE NOT full_),
+q AS (SELECT subject, positives, negatives, CASE WHEN full_ THEN available ELSE (3000 - b) // k + CASE WHEN row_number() OVER (PARTITION BY full_ ORDER BY subject) <= (3000 - b) % k THEN 1 ELSE 0 END END AS quota FROM f, lv)"""
+
+
+def _available(spark, sf):
+    own = _eligible(spark, sf)
+    both = ops.positive_pairs(own).select("subject", F.lit(1).alias("p"), F.lit(0).alias("n")).unionByName(ops.ring_negatives(own).select("subject", F.lit(0).alias("p"), F.lit(1).alias("n")))
+    return both.groupBy("subject").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.count("*").alias("available"))
+
+
+def _quotas(spark, sf):
+    available = _available(spark, sf)
+    both = ops.water_fill(available, 3000).join(available, "subject")
+    pos, neg = ops.halves(F.col("quota"), F.col("positives"), F.col("negatives"))
+    return both.select("subject", "quota", pos.cast("long").alias("n_pos"), neg.cast("long").alias("n_neg"))
+
+
+@query(_QUOTA + """ SELECT subject, CAST(quota AS BIGINT) AS quota, CAST(least(positives, quota - least(negatives, quota - least(positives, (quota + 1) // 2))) AS BIGINT) AS n_pos, CAST(least(negatives, quota - least(positives, (quota + 1) // 2)) AS BIGINT) AS n_neg FROM q""")
+def quota_waterfill(spark, sf):
+    return _quotas(spark, sf)
+
+
+@query()
+def reuse_min_selection(spark, sf):
+    own = _eligible(spark, sf)
+    both = ops.positive_pairs(own).withColumn("label", F.lit("positive")).unionByName(ops.ring_negatives(own).withColumn("label", F.lit("negative"))).withColumn("split", F.lit("1500"))
+    q = _quotas(spark, sf)
+    quotas = q.select("subject", F.lit("positive").alias("label"), F.col("n_pos").alias("quota")).unionByName(q.select("subject", F.lit("negative").alias("label"), F.col("n_neg").alias("quota")))
+    return ops.select_with_least_reuse(both, quotas)
+
+
+def _graded(spark, sf, target=60):
+    rows = C.row_ids(rows_of(spark, sf), "index", "is_refilled")
+    return rows, ops.graded_pairs(rows, scores.ratio_bins(spark), target)
+
+
+@query()
+def graded_pairs(spark, sf):
+    rows, pairs = _graded(spark, sf)
+    return ops.with_texts(ops.balanced(pairs, 40), rows)
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT subject, mask_ratio, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY subject, mask_ratio ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM chunks) WHERE place <= 7")
+def balanced_sample(spark, sf):
+    return ops.capped(chunks(spark, sf), ["subject", "mask_ratio"], [ops.shuffled(42, "doc_id"), F.col("doc_id")], 7).select("subject", "mask_ratio", "doc_id")
+
+
+@query()
+def greedy_author_split(spark, sf):
+    return splits.author_split(rows_of(spark, sf))
+
+
+@query(_UNION + """, s AS (SELECT DISTINCT author_id, CASE WHEN mask_ratio < 0.3 THEN 'train' WHEN mask_ratio < 0.7 THEN 'val' ELSE 'test' END AS split FROM rows_ WHERE is_refilled)
+SELECT split1, split2, count(DISTINCT a.author_id) AS n_authors FROM (VALUES ('train', 'val'), ('test', 'train'), ('test', 'val')) t(split1, split2) LEFT JOIN s a ON a.split = split1 AND EXISTS (SELECT 1 FROM s b WHERE b.split = split2 AND b.author_id = a.author_id) GROUP BY ALL""")
+def split_leakage(spark, sf):
+    split = F.when(F.col("mask_ratio") < 0.3, "train").when(F.col("mask_ratio") < 0.7, "val").otherwise("test")
+    return splits.leakage(rows_of(spark, sf).where("is_refilled").select("author_id", split.alias("split")).distinct())
+
+
+@query()
+def author_split_leakage(spark, sf):
+    return splits.leakage(splits.author_split(rows_of(spark, sf)))
