@@ -72,8 +72,8 @@ def model_tasks(spark, sf):
 @query("SELECT doc_id, coalesce(text, '') AS chunk_text, '' AS refilled_text, CASE WHEN lang = 'en' THEN source WHEN lang = 'fr' THEN lang ELSE 'chunk_' || CAST(doc_id AS VARCHAR) END AS label, CASE WHEN lang = 'de' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS mask_ratio FROM documents")
 def jsonl_defaults(spark, sf):
     d = io.table(spark, sf, "documents")
-    raw = d.select(F.col("doc_id").alias("gutenberg_id"), F.col("text").alias("chunk_text"), F.when(F.col("lang") == "en", F.col("source")).alias("chunk_label"), F.when(F.col("lang") == "fr", F.col("lang")).alias("label"), F.when(F.col("lang") == "de", 0.5).alias("mask_ratio"), F.col("doc_id").alias("index"))
-    return io.with_defaults(raw).select(F.col("gutenberg_id").alias("doc_id"), "chunk_text", "refilled_text", "label", "mask_ratio")
+    raw = d.select(F.col("doc_id").alias("book_id"), F.col("text").alias("chunk_text"), F.when(F.col("lang") == "en", F.col("source")).alias("chunk_label"), F.when(F.col("lang") == "fr", F.col("lang")).alias("label"), F.when(F.col("lang") == "de", 0.5).alias("mask_ratio"), F.col("doc_id").alias("index"))
+    return io.with_defaults(raw).select(F.col("book_id").alias("doc_id"), "chunk_text", "refilled_text", "label", "mask_ratio")
 
 
 @query("SELECT DISTINCT task FROM (SELECT p_type AS task FROM part WHERE p_size < 3 UNION ALL SELECT p_type FROM part WHERE p_brand = 'Brand#4' UNION ALL SELECT p_brand FROM part WHERE p_size = 7)")

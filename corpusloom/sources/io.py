@@ -41,13 +41,13 @@ def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def with_defaults(raw: DataFrame, index: str = "index") -> DataFrame:
+def with_defaults(raw: DataFrame, index: str = "index", book: str = "book_id") -> DataFrame:
     """Refilled chunks with defaults for what is missing: label from
     ``chunk_label``, then ``label``, then ``chunk_`` and the row's index; ratio 0."""
     have = lambda c, kind="string": F.col(c).cast(kind) if c in raw.columns else F.lit(None).cast(kind)
     return raw.select(
         *(F.coalesce(have(c), F.lit("")).alias(c) for c in ("chunk_text", "refilled_text", "author", "title")),
-        have("gutenberg_id", "long").alias("gutenberg_id"),
+        have(book, "long").alias("book_id"),
         F.coalesce(have("mask_ratio", "double"), F.lit(0.0)).alias("mask_ratio"),
         F.coalesce(have("chunk_label"), have("label"), F.concat(F.lit("chunk_"), have(index))).alias("label"),
     )
