@@ -12,7 +12,7 @@ def _to_least(edges: DataFrame, keep: str) -> DataFrame:
     """Every edge end ``v`` of a node ``u`` is tied to the least node around
     ``u``.  A node's edges are never gathered: the least is an aggregate, and the
     join back may split a node with many edges."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).hint("rebalance")
     return edges.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both, "v > u").distinct()
         # small star: each node's smaller neighbours, and the node itself, to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = durable(small.distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = durable(nodes)
     place = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.expr("bands").substr(i * 8 + 1, F.lit(8))))
     banded = nodes.select("node", place.alias("band", "h"))
-    centres = banded.groupBy("band", "h").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", "h", "centre")
+    centres = banded.groupBy("band", "h").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", "h", "centre").hint("rebalance")  # so that the join may split a large bucket
     candidates = banded.join(centres, ["band", "h"]).where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     groups = components(candidates).join(nodes.select("node", "set_key", "n"), "node")
     sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
