@@ -32,6 +32,9 @@ from .components import components
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
 #: Bytes of text hashed at once; shingles and nodes of a block at most, about.
 CHUNK, BLOCK_SHINGLES, BLOCK_NODES = 512 << 10, 400_000, 1500
+#: A component is split into so many blocks, unless they had fewer nodes than
+#: this or more than above: its pairs of blocks then keep many tasks busy.
+BLOCKS, LEAST_BLOCK_NODES = 16, 250
 
 _IS_WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -243,7 +246,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = banded.groupBy("band", "h").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", "h", "centre").hint("rebalance")  # so that the join may split a large bucket
     candidates = banded.join(centres, ["band", "h"]).where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     groups = components(candidates).join(nodes.select("node", "set_key", "n"), "node")
-    sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
+    sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / F.least(F.lit(BLOCK_NODES), F.greatest(F.lit(LEAST_BLOCK_NODES), F.count("*") / BLOCKS)))).cast("int").alias("blocks"))
     members = groups.join(sizes, "component").select("node", "set_key", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     texts = docs.join(members, docs.doc_id == members.node).select("text", "set_key", "node", "component", "blocks", "block")
     sets = texts.mapInArrow(_sets, "shingles binary, node long, component long, blocks int, block int")
