@@ -54,7 +54,7 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
+_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*", re.I | re.A)
 _ID = re.compile(r"[a-z0-9.+]*[0-9.+][a-z0-9.+-]*|[a-z0-9.+]+-[a-z0-9.+-]*|mit|isc|zlib|unlicense|wtfpl|psf|apache|gpl|lgpl|agpl|mpl|bsd|epl|proprietary")
 
 
@@ -116,10 +116,12 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
     return stack[-1] if stack else None
 
 
-def parse_expression(line: str) -> tuple[set[str], float] | None:
-    """Evaluate the expression at the start of a line; None if there is none."""
+def parse_expression(text: str, start: int = 0, stop: int | None = None) -> tuple[set[str], float] | None:
+    """Evaluate the expression at the start of a stretch of text; None if there
+    is none.  What follows the expression is not read."""
     tokens, operand_next = [], True
-    for t in _TOKEN.findall(line.lower()):
+    for m in _TOKEN.finditer(text, start, len(text) if stop is None else stop):
+        t = m[0].lower()
         t = t.rstrip(".-") or t
         if operand_next and t not in ("(", ")") and not (_ID.fullmatch(t) or tokens[-1:] == ["with"]):
             break
@@ -166,13 +168,15 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     low = raw.translate(_TO_LOWER)
     if b"license" in low or b"licence" in low:
         low = low.decode("latin-1")
-        seen = set()
+        seen, stop = set(), -1
         for end, _ in tags.iter(low):
             if end in seen:
                 continue
             seen.add(end)
-            stop = low.find("\n", end)
-            if found := parse_expression(low[end + 1 : len(low) if stop < 0 else stop]):
+            if stop < end:
+                stop = low.find("\n", end)
+                stop = len(low) if stop < 0 else stop
+            if found := parse_expression(low, end + 1, stop):
                 labels |= {f"id:{x}" for x in found[0]}
                 freedoms.append(found[1])
     # the stronger the notice, and the more of it, the surer: 1 - 1/(1+n)
