@@ -42,8 +42,8 @@ SCORE, QUESTION, ANSWER, GRAM = 0.6, 0.5, 0.6, 5
 #: Words by which passages move on at least and at most; a passage has twice as many.
 LEAST_STEP, MOST_STEP = 64, 2048
 #: Text of the items in one index; blocks of items at most, and items of a block
-#: at least; words queried at once.
-INDEX_BYTES, BLOCKS, BLOCK, CHUNK = 8 << 20, 256, 4, 200_000
+#: at least; bounds of all terms and blocks (4 bytes each); words queried at once.
+INDEX_BYTES, BLOCKS, BLOCK, BOUNDS, CHUNK = 8 << 20, 256, 4, 1 << 24, 200_000
 
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -95,7 +95,8 @@ def build(items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_wo
         own.append(sum(weight[w] for w in sorted(weight)))
         for w, x in weight.items():
             impacts[vocabulary[w]][d] = x / own[d]
-    block = max(BLOCK, -(-len(kept) // BLOCKS))
+    blocks = max(1, min(BLOCKS, BOUNDS // max(1, len(vocabulary))))
+    block = max(BLOCK, -(-len(kept) // blocks))
     postings = [(sorted(p), [p[d] for d in sorted(p)]) for p in impacts]
     bounds = np.zeros((max(1, len(vocabulary)), max(1, -(-len(kept) // block))), np.float32)
     for t, (ds, xs) in enumerate(postings):
