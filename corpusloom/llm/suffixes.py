@@ -466,7 +466,7 @@ def _removal(docs: DataFrame, rest: list[str], task, schema: str) -> DataFrame:
     n = max(partitions(spark), -(-total // BATCH_BYTES))
     batch_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     extra = F.struct(*[F.col(c) for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
-    batches = docs.select("doc_id", text.alias("text"), extra.alias("rest"), batch_of("doc_id").alias("batch"))
+    batches = docs.select("doc_id", text.alias("text"), extra.alias("rest"), batch_of(F.coalesce("doc_id", F.xxhash64(text))).alias("batch"))  # rows without an id are spread by their texts
     firsts = docs.select("doc_id", F.unhex(F.md5(text)).alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     firsts = firsts.select(batch_of("doc_id").alias("batch"), F.lit(0).alias("kind"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("blob"))
     told, asked = "batch int, kind int, blob binary", "bucket int, batch int, blob binary"
