@@ -51,8 +51,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-
-
 def doc_columns(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) alone, so that extra columns,
     whatever their names, never meet the operators' own."""
@@ -123,6 +121,20 @@ def crc_remainder(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)
 
 
+#: Parts of a share: fine enough for a few rows of any number of rows.
+SHARES = 1 << 52
+
+
+def parts_of(most: int, n: int) -> int:
+    """The share that takes about ``most`` of ``n`` rows, in ``SHARES``."""
+    return SHARES if n <= most else max(1, most * SHARES // n)
+
+
+def in_share(column: str, parts):
+    """Whether the hash of a column's value is in the share of :func:`parts_of`."""
+    return F.pmod(F.xxhash64(column), F.lit(SHARES)) < parts
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The 64-bit finalizer of SplitMix64, elementwise on uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, mixed, slices, where_text
+from .common import crc_remainder, in_share, mixed, parts_of, slices, where_text
 
 #: Lengths of the n-grams.
 ORDERS = (2, 3, 4)
@@ -158,8 +158,8 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Lang
         return LanguageFilter([], np.zeros(64, np.uint64), "und")
     if len(languages) > 64:
         raise ValueError("a slot holds 64 languages at most")
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, docs_per_language / sizes[k]) * (1 << 20))))])
-    rows = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")])).select("text", "lang")
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(parts_of(docs_per_language, sizes[k])).cast("long"))])
+    rows = labelled.where(in_share("doc_id", share[F.col("lang")])).select("text", "lang")
     counts = rows.mapInArrow(_count_ngrams, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     bit = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long"))])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, doc_columns, slices
+from .common import crc_remainder, doc_columns, in_share, parts_of, slices
 
 #: Labelled documents to learn from, about; more are sampled by hashed id.
 MOST_TRAINING_DOCS = 4000
@@ -201,9 +201,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are not held out (crc32 of the id as text, modulo 3, is not 1), about
     ``MOST_TRAINING_DOCS`` of them."""
     known = labels.where(F.col("quality").isin(0, 1) & (crc_remainder("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = known.count()
-    if n > MOST_TRAINING_DOCS:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(MOST_TRAINING_DOCS / n * (1 << 20)))
+    known = known.where(in_share("doc_id", parts_of(MOST_TRAINING_DOCS, known.count())))
     rows = doc_columns(docs).join(known, "doc_id").select("text", "quality").collect()
     rows.sort()
     model = fit([r.text for r in rows], [r.quality for r in rows])
