@@ -267,6 +267,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of the least id of each class, with all its columns."""
-    first = near_duplicates(docs).where("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first.kept_id), "left_semi").dropDuplicates(["doc_id"])
+    """The document of the least id of each class, with all its columns.
+
+    Rows without an id have no class and all stay.  Of rows that repeat an id one
+    stays, the same in every run: that of the least hash."""
+    known = docs.where("doc_id is not null")
+    first = near_duplicates(known).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.xxhash64("text"), F.to_json(F.struct("doc_id", *rest)))
+    kept = known.join(first, known.doc_id == first.kept_id, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))

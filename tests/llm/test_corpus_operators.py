@@ -135,6 +135,14 @@ def test_join_odd_rows(spark, odd):
     assert ngram_join.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_kept_rows_without_or_with_repeated_ids(spark):
+    rows = [(None, "a text", 1), (None, "another text", 2), (None, "a text", 1), (None, None, 3), (1, "one text of some words", 4), (1, "one text of some words", 4), (2, "One text, of some words.", 5), (3, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([*rows[:5], rows[7]])
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= ngram_join.MOST_HASHES
@@ -153,6 +161,15 @@ def items():
     return [(i, f"{sentence(rng.randint(3, 30))} {sentence(rng.randint(2, 9))}") for i in range(25)] + [(90, None), (91, "..."), (92, "One sentence alone without an answer at all")], words
 
 
+def test_bounds_of_a_large_vocabulary_are_bounded(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BOUNDS", 4000)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(100)]
+    frequency = Counter(w for _, t in rows for w in set(decontaminate.words_of(t)))
+    index = decontaminate.build(rows, frequency, 100, 10.0)
+    assert index.bounds.size <= 4000 and index.block == 25
+    assert [i for i, *_ in decontaminate.search(index, sorted(index.vocabulary[w] for w in decontaminate.words_of(rows[57][1])))] == [57]
+
+
 def test_search_returns_all_above_threshold():
     own, _ = items()
     words = {i: decontaminate.words_of(t or "") for i, t in own}

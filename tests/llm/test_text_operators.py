@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, langid, licenses, quality, queries, token_counts
+from corpusloom.llm import bpe, common, langid, licenses, quality, queries, token_counts
 
 from .conftest import ODD
 
@@ -52,6 +52,14 @@ def test_bpe_ids_round_trip(odd):
         assert bytes(r.decoded).decode() in [t or "" for i, t in ODD if i == r.doc_id]
 
 
+def test_shares_of_any_number_of_rows(spark):
+    assert common.parts_of(2000, 2000) == common.SHARES and common.parts_of(2000, 0) == common.SHARES
+    for n in (10**4, 10**9, 10**12):
+        assert abs(common.parts_of(2000, n) * n / common.SHARES - 2000) < 1
+    taken = spark.range(20_000).where(common.in_share("id", common.parts_of(2000, 20_000))).count()
+    assert 1800 < taken < 2200
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
@@ -118,6 +126,13 @@ def test_license_expressions(line, ids, free):
     assert licenses.parse_expression(line) == (ids, free)
 
 
+def test_long_line_of_tags():
+    n = 100_000
+    got = licenses.scan("license: MIT or (" * n)
+    assert got[0] == 3 * n and got[5] == "id:mit"
+    assert licenses.parse_expression("x: MIT and BSD\nGPL", 2, 10)[0] == {"mit"}
+
+
 def test_license_expression_precedence():
     assert licenses.shunting_yard("a or b and c with d".split()) == "a b c d with and or".split()
     assert licenses.parse_expression("whatever you like") is None
