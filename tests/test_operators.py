@@ -151,6 +151,31 @@ def test_graded_pairs_keep_their_rules(spark):
     assert pairs.balanced(out, 5).count() == 2 * 10 * 5
 
 
+def test_graded_pairs_draw_from_all_chunks(spark):
+    rows, n = [], 0
+    for a in range(3):
+        for b in range(2):
+            for r, many in ((0.0, 100), (0.1, 60), (0.9, 60)):
+                for _ in range(many):
+                    rows.append((n, "s", f"a{a}", f"b{a}{b}", r, r > 0, f"text {n}"))
+                    n += 1
+    df = spark.createDataFrame(rows, "chunk_id long, subject string, author_id string, book_id string, mask_ratio double, is_refilled boolean, text string")
+    got = pairs.graded_pairs(df, scores.ratio_bins(spark), 400).collect()
+    by, again = {r[0]: r for r in rows}, pairs.graded_pairs(df.repartition(5), scores.ratio_bins(spark), 400).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    for score, most in ((1.0, 240), (0.0, 120)):  # 40 originals of a book, 60 of each of two neighbours
+        assert len({i for r in got if r.score == score for i in (r.id1, r.id2)}) > most
+    for side in ((0.6, 0.7, 0.8, 0.9), (0.1, 0.2, 0.3, 0.4)):  # 15 of each of six books, of each of three authors
+        refilled = Counter(by[i][4] for i in {i for r in got if r.score in side for i in (r.id1, r.id2)})
+        assert min(refilled[0.1], refilled[0.9]) > 6 * 15
+    few = pairs.graded_pairs(df, scores.ratio_bins(spark), 60).collect()
+    ends = {i for r in few if r.score in (0.0, 1.0) for i in (r.id1, r.id2)}
+    fresh = {i for r in few if 0.5 < r.score < 1 for i in (r.id1, r.id2) if by[i][4] == 0}
+    assert fresh and not ends & fresh
+    # three authors: no one is left out of score 0
+    assert {by[i][2] for r in few if r.score == 0.0 for i in (r.id1, r.id2)} == {"a0", "a1", "a2"}
+
+
 def test_author_split_is_disjoint(spark):
     rows = graded(spark).unionByName(graded(spark).where("author_id = 'a00'").withColumn("subject", F.lit("s1")))
     got = splits.author_split(rows).collect()
