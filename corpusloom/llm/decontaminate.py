@@ -5,8 +5,9 @@ impacts, in blocks of items with each block's greatest impact.  An impact is
 divided by the item's score against itself, so a score is the share of an item
 (by BM25 weight) that a passage holds, and one threshold fits all items.  Every
 passage of every document is a query: windows of twice the longest item, moved
-on by half a window, so that an item always lies whole in one of them.  First the
-bounds of all passages of a batch against all blocks are summed at once; a passage
+on by half a window, so that an item always lies whole in one of them.  Items of
+more than ``MOST_STEP`` words are indexed apart, by powers of two of their length,
+so that each has windows of its own size.  First the bounds of all passages of a batch against all blocks are summed at once; a passage
 with a block at or above the threshold goes through the WAND loop, which returns
 *all* items at or above it.  A pair stands if the passage holds enough of the
 question's five-grams and of the answer's words.  The answer is the item's last
@@ -39,7 +40,8 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs; of the question's
 #: five-grams; of the answer's words.
 SCORE, QUESTION, ANSWER, GRAM = 0.6, 0.5, 0.6, 5
-#: Words by which passages move on at least and at most; a passage has twice as many.
+#: Words by which passages move on at least, and at most for items that are no
+#: longer; a passage has twice as many.
 LEAST_STEP, MOST_STEP = 64, 2048
 #: Text of the items in one index; blocks of items at most, and items of a block
 #: at least; bounds of all terms and blocks (4 bytes each); words queried at once.
@@ -83,8 +85,9 @@ class Index:
     block: int
 
 
-def build(items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_words: float) -> Index:
-    """The index of (id, text) items under a benchmark's statistics."""
+def build(items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_words: float, parts: int = 1) -> Index:
+    """The index of (id, text) items under a benchmark's statistics; one of so
+    many that share the room for bounds."""
     kept = [(i, t, w) for i, t in items if t and (w := words_of(t))]
     vocabulary = {w: n for n, w in enumerate(sorted({x for _, _, ws in kept for x in ws}))}
     impacts: list[dict[int, float]] = [{} for _ in vocabulary]
@@ -95,16 +98,26 @@ def build(items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_wo
         own.append(sum(weight[w] for w in sorted(weight)))
         for w, x in weight.items():
             impacts[vocabulary[w]][d] = x / own[d]
-    blocks = max(1, min(BLOCKS, BOUNDS // max(1, len(vocabulary))))
+    blocks = max(1, min(BLOCKS, BOUNDS // parts // max(1, len(vocabulary))))
     block = max(BLOCK, -(-len(kept) // blocks))
     postings = [(sorted(p), [p[d] for d in sorted(p)]) for p in impacts]
     bounds = np.zeros((max(1, len(vocabulary)), max(1, -(-len(kept) // block))), np.float32)
     for t, (ds, xs) in enumerate(postings):
         for d, x in zip(ds, xs, strict=True):
             bounds[t, d // block] = max(bounds[t, d // block], np.nextafter(np.float32(x), np.float32(2)))
-    parts = [question_and_answer(t) for _, t, _ in kept]
-    step = min(MOST_STEP, max([LEAST_STEP, *(len(ws) for _, _, ws in kept)]))
-    return Index([i for i, _, _ in kept], vocabulary, postings, bounds, [max(xs) for _, xs in postings], own, [grams(q) for q, _ in parts], [Counter(a) for _, a in parts], step, block)
+    split = [question_and_answer(t) for _, t, _ in kept]
+    step = max([LEAST_STEP, *(len(ws) for _, _, ws in kept)])
+    return Index([i for i, _, _ in kept], vocabulary, postings, bounds, [max(xs) for _, xs in postings], own, [grams(q) for q, _ in split], [Counter(a) for _, a in split], step, block)
+
+
+def by_length(items: list[tuple]) -> list[list[tuple]]:
+    """The (id, text) items of up to ``MOST_STEP`` words, and the longer ones by
+    the power of two that holds their length."""
+    classes: dict[int, list[tuple]] = {}
+    for i, t in items:
+        n = len(words_of(t or ""))
+        classes.setdefault(0 if n <= MOST_STEP else (n - 1).bit_length(), []).append((i, t))
+    return [classes[c] for c in sorted(classes)]
 
 
 def search(index: Index, terms: list[int], threshold: float = SCORE) -> list[tuple[int, float]]:
@@ -173,9 +186,9 @@ def _verified(index: Index, d: int, words: list[bytes], held: set, bag: Counter)
     return question, answer
 
 
-def find(index: Index, texts: list[str]) -> Iterator[tuple[int, int, float, float, float]]:
-    """(text, item, score, question, answer): the best passage of each verified
-    pair."""
+def find(group: list[Index], texts: list[str]) -> Iterator[tuple[int, Index, int, float, float, float]]:
+    """(text, index, item, score, question, answer): the best passage of each
+    verified pair."""
     own: list[tuple[int, list[bytes]]] = []
     size = 0
     for i, text in enumerate(texts):
@@ -184,7 +197,9 @@ def find(index: Index, texts: list[str]) -> Iterator[tuple[int, int, float, floa
             own.append((i, words))
             size += len(words)
         if size >= CHUNK or i == len(texts) - 1:
-            yield from _find_some(index, own)
+            for index in group:
+                for i, *found in _find_some(index, own):
+                    yield i, index, *found
             own, size = [], 0
 
 
@@ -230,8 +245,9 @@ def _find_some(index: Index, own: list[tuple[int, list[bytes]]]) -> Iterator[tup
         yield own[i][0], d, score, question, answer
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark's index in blocks of bounded text.
+def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The benchmark's index in blocks of bounded text, each a few indexes of
+    items of like length.
 
     Only one block of items, and its words' frequencies, is on the driver at a
     time; frequencies and lengths are counted by Spark over the whole benchmark.
@@ -257,7 +273,8 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     for b in range(blocks):
         frequency = {bytes(r.word): r.n for r in by_word.where(F.array_contains("blocks", b)).select("word", "n").collect()}
         rows = sorted((r.item_id, r.text) for r in items.where(F.col("block") == b).collect() if r.item_id is not None)
-        yield build(rows, frequency, n, mean)
+        classes = by_length(rows)
+        yield [build(own, frequency, n, mean, len(classes)) for own in classes]
 
 
 SCHEMA = "doc_id long, item_id long, score double, bm25 double, question_overlap double, answer_overlap double"
@@ -266,13 +283,13 @@ SCHEMA = "doc_id long, item_id long, score double, bm25 double, question_overlap
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and test item it holds."""
     docs, out = doc_columns(docs), None
-    for index in indexes(benchmark):
+    for group in indexes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group: list[Index] = group) -> Iterator[pa.RecordBatch]:
             kinds = [pa.int64()] * 2 + [pa.float64()] * 4
             for batch in slices(batches):
                 ids, best = batch.column(0), {}
-                for i, d, score, q, a in find(index, batch.column(1).to_pylist()):
+                for i, index, d, score, q, a in find(group, batch.column(1).to_pylist()):
                     key = (i, index.ids[d])
                     best[key] = max(best.get(key, ()), (score, score * index.own[d], q, a))
                 rows = [(ids[i].as_py(), item, *x) for (i, item), x in best.items()]
@@ -288,17 +305,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns.
 
     The search runs inside the filter, so no rows are shuffled."""
-    for index in indexes(benchmark):
-        docs = where_text(docs, _free_of(index))
+    for group in indexes(benchmark):
+        docs = where_text(docs, _free_of(group))
     return docs
 
 
-def _free_of(index: Index):
-    """Decides which texts hold no item of the index."""
+def _free_of(group: list[Index]):
+    """Decides which texts hold no item of the indexes."""
 
     def decide(texts: list[str]) -> np.ndarray:
         out = np.ones(len(texts), bool)
-        out[[i for i, *_ in find(index, texts)]] = False
+        out[[i for i, *_ in find(group, texts)]] = False
         return out
 
     return decide

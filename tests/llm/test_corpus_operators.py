@@ -206,6 +206,20 @@ def test_planted_items_are_found(spark, monkeypatch, size):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_long_items_are_found_at_any_offset(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    bench = [(n, f"{text(n)}. {text(40)}.") for n in (30, 2000, 2500, 4200, 9000, 20_000)]
+    rows = [(at * 100_000 + i, f"{text(at)} {t} {text(700)}") for i, t in bench for at in (0, 900, 1900, 3100)]
+    rows += [(-1, text(30_000)), (-2, text(2500)), (-3, bench[4][1][: len(bench[4][1]) // 4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(d, d % 100_000) for d, _ in rows if d >= 0}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()} == {-1, -2, -3}
+
+
 def test_pipeline_stages(spark, docs, odd, tmp_path):
     sf = "/root/testdata/sf0.001"
     for start in (docs, odd, odd.limit(0)):
