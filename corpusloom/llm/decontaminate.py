@@ -17,7 +17,8 @@ which then counts as held.
 The index is bounded by ``INDEX_BYTES``; a larger benchmark is searched block
 after block of items, with document frequencies of the whole benchmark.  Null
 texts have no passages; null, empty or wordless items match nothing; repeated
-items are searched each, and one row comes out for a document and item id.
+items are searched each, and one row comes out for a document and item id.  Items
+without an id are told apart by their texts, with a row each.
 """
 
 from __future__ import annotations
@@ -272,7 +273,7 @@ def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
     by_word = counted.groupBy("word").agg(F.count("*").alias("n"), F.collect_set("block").alias("blocks"))
     for b in range(blocks):
         frequency = {bytes(r.word): r.n for r in by_word.where(F.array_contains("blocks", b)).select("word", "n").collect()}
-        rows = sorted((r.item_id, r.text) for r in items.where(F.col("block") == b).collect() if r.item_id is not None)
+        rows = sorted({(r.item_id, r.text) for r in items.where(F.col("block") == b).collect()}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         classes = by_length(rows)
         yield [build(own, frequency, n, mean, len(classes)) for own in classes]
 
@@ -290,9 +291,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in slices(batches):
                 ids, best = batch.column(0), {}
                 for i, index, d, score, q, a in find(group, batch.column(1).to_pylist()):
-                    key = (i, index.ids[d])
+                    item = index.ids[d]
+                    key = (i, item, None if item is not None else (index.step, d))
                     best[key] = max(best.get(key, ()), (score, score * index.own[d], q, a))
-                rows = [(ids[i].as_py(), item, *x) for (i, item), x in best.items()]
+                rows = [(ids[i].as_py(), item, *x) for (i, item, _), x in best.items()]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 

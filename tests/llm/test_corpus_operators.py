@@ -220,6 +220,16 @@ def test_long_items_are_found_at_any_offset(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()} == {-1, -2, -3}
 
 
+@pytest.mark.parametrize("size", [8 << 20, 60])
+def test_items_without_an_id_are_found(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+    one, two, three = ("The grey heron waits all morning by the weir. It eats.", "Seven bakers carried warm bread up the hill. They slept.", "Old maps show a harbour where the fields are now. Yes.")
+    bench = spark.createDataFrame([(None, one), (None, one), (None, two), (4, three)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{one} and {two}"), (2, three), (3, "nothing of this kind is held here")], "doc_id long, text string")
+    assert Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == Counter([(1, None), (1, None), (2, 4)])
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [3]
+
+
 def test_pipeline_stages(spark, docs, odd, tmp_path):
     sf = "/root/testdata/sf0.001"
     for start in (docs, odd, odd.limit(0)):
