@@ -11,8 +11,9 @@ emitted and none is left out.
 
 A shingle is five words, lower-cased; words are runs of letters, digits and
 non-ASCII characters.  A text of one to four words has one shingle, of all of
-them; a text without words is in a class of its own and has no links.  Documents
-that repeat an id share its class.
+them; a text without words is in a class of its own and has no links.  Nodes are
+sets, whatever the ids of their rows: rows of one id with different sets are
+different nodes.
 """
 
 from __future__ import annotations
@@ -146,15 +147,15 @@ def _sketch(bands: int, rows: int):
                 for i, row in zip(some, band_hashes([sets[i] for i in some], bands, rows), strict=True):
                     sketches[keys[i]] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketches.get(k) for k in keys], pa.binary())],
-                ["doc_id", "set_key", "n", "bands"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketches.get(k) for k in keys], pa.binary())],
+                ["doc_id", "hash", "set_key", "n", "bands"],
             )
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle sets of nodes; rows of an id with another text fall out."""
+    """The shingle sets of nodes; a text with another set falls out."""
     for batch in slices(batches):
         sets = shingle_sets([t.as_py() for t in batch.column(0)])
         keep = [i for i, k in enumerate(batch.column(1).to_pylist()) if len(sets[i]) and set_key(sets[i]) == k]
@@ -230,25 +231,31 @@ def _verify(table: pa.Table) -> pa.Table:
 RESULT = ("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each document: ``class_id`` (the least id of its class),
-    ``n_links`` (other texts, different as sets, of the similarity or more),
-    ``n_copies`` (documents with its very set), ``n_shingles``."""
+def _text_hash(text: str = "text"):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _sets_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, hash, set_key, n), and the sets (set_key, class_id,
+    n_links, n_copies, first): ``first`` is the id and text hash of the row that
+    stands for the class, the least; rows without an id come last."""
     bands, rows = choose_bands()
-    docs = doc_columns(docs)
+    docs = doc_columns(docs).withColumn("hash", _text_hash())
     spark = docs.sparkSession
     n = partitions(spark)
-    sketch = durable(docs.mapInArrow(_sketch(bands, rows), "doc_id long, set_key binary, n long, bands binary"))
-    nodes = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = durable(nodes)
+    sketch = durable(docs.mapInArrow(_sketch(bands, rows), "doc_id long, hash long, set_key binary, n long, bands binary"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    nodes = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(row).alias("row"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     place = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.expr("bands").substr(i * 8 + 1, F.lit(8))))
     banded = nodes.select("node", place.alias("band", "h"))
     centres = banded.groupBy("band", "h").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", "h", "centre").hint("rebalance")  # so that the join may split a large bucket
     candidates = banded.join(centres, ["band", "h"]).where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    groups = components(candidates).join(nodes.select("node", "set_key", "n"), "node")
+    groups = components(candidates).join(nodes.select("node", "set_key", "n", "row"), "node")
     sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / F.least(F.lit(BLOCK_NODES), F.greatest(F.lit(LEAST_BLOCK_NODES), F.count("*") / BLOCKS)))).cast("int").alias("blocks"))
-    members = groups.join(sizes, "component").select("node", "set_key", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.join(members, docs.doc_id == members.node).select("text", "set_key", "node", "component", "blocks", "block")
+    members = groups.join(sizes, "component").select(F.col("row.doc_id").alias("id"), F.col("row.hash").alias("h"), "node", "set_key", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    one = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").distinct())
+    texts = one.join(members, one.doc_id.eqNullSafe(members.id) & (one.hash == members.h)).select("text", "set_key", "node", "component", "blocks", "block")
     sets = texts.mapInArrow(_sets, "shingles binary, node long, component long, blocks int, block int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = sets.select("*", other).select(
@@ -259,9 +266,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     verified = durable(tasks.groupBy("task", "i", "j").applyInArrow(thrifty(_verify), "u long, v long, links long"))
     classes = components(verified.where("v is not null").select("u", "v"))
     counts = verified.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("n_links"))
-    found = nodes.select("set_key", "node", "n_copies").join(counts, "node", "left").join(classes, "node", "left")
-    found = found.select("set_key", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return sketch.select("doc_id", "set_key", "n").join(found, "set_key", "left").select(
+    least = classes.join(nodes.select("node", "row"), "node").groupBy("component").agg(F.min("row").alias("least"))
+    found = nodes.select("set_key", "node", "n_copies", "row").join(counts, "node", "left").join(classes, "node", "left").join(least, "component", "left")
+    first = F.coalesce("least", "row")
+    found = found.select("set_key", first.doc_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", first.alias("first"))
+    return sketch.select("doc_id", "hash", "set_key", "n"), found
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each document: ``class_id`` (the least id of its class; null
+    where no row of the class has an id), ``n_links`` (other texts, different as
+    sets, of the similarity or more), ``n_copies`` (documents with its very set),
+    ``n_shingles``."""
+    rows, found = _sets_and_classes(docs)
+    return rows.join(found, "set_key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.col("n").alias("n_shingles")
     )
 
@@ -269,11 +287,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of the least id of each class, with all its columns.
 
-    Rows without an id have no class and all stay.  Of rows that repeat an id one
-    stays, the same in every run: that of the least hash."""
+    Rows without an id have no class and all stay.  Of rows that repeat an id and
+    have one set one stays, the same in every run: that of the least hash."""
     known = docs.where("doc_id is not null")
-    first = near_duplicates(known).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows, found = _sets_and_classes(known)
+    wordless = rows.where("set_key is null").groupBy(F.col("doc_id").alias("kept_id")).agg(F.min("hash").alias("kept_hash"))
+    first = found.select(F.col("first.doc_id").alias("kept_id"), F.col("first.hash").alias("kept_hash")).distinct().unionByName(wordless)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.struct(F.xxhash64("text"), F.to_json(F.struct("doc_id", *rest)))
-    kept = known.join(first, known.doc_id == first.kept_id, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    order = F.struct("text", F.to_json(F.struct("doc_id", *rest)))
+    kept = known.join(first, (known.doc_id == first.kept_id) & (_text_hash(known.text) == first.kept_hash), "left_semi")
+    kept = kept.groupBy("doc_id", _text_hash()).agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -143,6 +143,23 @@ def test_kept_rows_without_or_with_repeated_ids(spark):
     assert Counter(tuple(r) for r in kept.collect()) == Counter([*rows[:5], rows[7]])
 
 
+def near_texts(n):
+    rng = random.Random(n)
+    own = [f"{n}v{rng.randrange(10**6)}" for _ in range(100)]
+    return [" ".join(own), " ".join([*own[:-1], "changed"]), " ".join(["other", *own[1:]])]
+
+
+def test_texts_that_share_an_id_are_nodes_of_their_own(spark):
+    (a, a2, a3), (b, b2, _), (c, _, _) = near_texts(1), near_texts(2), near_texts(3)
+    rows = [(7, a), (7, b), (7, c), (7, c), (8, b2), (9, a2), (7, a3), (7, None), (7, "?!"), (5, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_copies, r.n_shingles) for r in ngram_join.near_duplicates(df).collect())
+    assert got == Counter({(7, 7, 2, 1, 96): 2, (9, 7, 2, 1, 96): 1, (7, 7, 1, 1, 96): 1, (8, 7, 1, 1, 96): 1, (7, 5, 0, 3, 96): 2, (5, 5, 0, 3, 96): 1, (7, 7, 0, 1, 0): 2})
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect())
+    assert sum(kept[7, t] for t in (a, a3)) == 1 and sum(kept[7, t] for t in (None, "?!")) == 1
+    assert kept[7, b] == kept[5, c] == 1 and sum(kept.values()) == 4
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= ngram_join.MOST_HASHES
