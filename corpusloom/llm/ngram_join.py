@@ -245,7 +245,7 @@ def _sets_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = partitions(spark)
     sketch = durable(docs.mapInArrow(_sketch(bands, rows), "doc_id long, hash long, set_key binary, n long, bands binary"))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
-    nodes = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(row).alias("row"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = sketch.where("set_key is not null").groupBy("set_key").agg(F.min(row).alias("row"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     place = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.expr("bands").substr(i * 8 + 1, F.lit(8))))
     banded = nodes.select("node", place.alias("band", "h"))

@@ -160,6 +160,14 @@ def test_texts_that_share_an_id_are_nodes_of_their_own(spark):
     assert kept[7, b] == kept[5, c] == 1 and sum(kept.values()) == 4
 
 
+def test_rows_without_an_id_take_part(spark):
+    (a, a2, a3), (b, b2, _) = near_texts(4), near_texts(5)
+    rows = [(None, a), (None, a), (None, a2), (10, a3), (None, b), (None, b2), (None, b2), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join.near_duplicates(df).collect())
+    assert got == Counter({(None, 10, 2, 2): 2, (None, 10, 2, 1): 1, (10, 10, 2, 1): 1, (None, None, 1, 1): 1, (None, None, 1, 2): 2, (None, None, 0, 1): 2})
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= ngram_join.MOST_HASHES
