@@ -4,7 +4,9 @@ Texts are lower-cased (A-Z) and cut into words; an Aho-Corasick automaton over
 the words, joined by single blanks, finds every place of every notice phrase.  A
 second automaton finds identifier tags in the raw text; what follows a tag on
 its line is parsed by the shunting-yard algorithm as an expression of ids joined
-by ``with``, ``and`` and ``or`` (binding in this order) and evaluated.
+by ``with``, ``and`` and ``or`` (binding in this order) and evaluated.  After the
+tags that only expressions follow, any well-formed id counts; after the loose ones,
+which prose uses too, an id has to look like one.
 
 Null counts as empty; an empty text has no words, no labels, null word places
 and score 0.  A malformed expression keeps the ids before its fault.
@@ -47,6 +49,8 @@ NOTICES = {
 }
 #: Identifier tags, each followed by an expression.
 TAGS = ("spdx-license-identifier:", "license-expression:", "license:", "licence:")
+#: Those after which any well-formed id counts.
+STRICT_TAGS = TAGS[:2]
 #: How freely text under a label may be used, 0 to 1; ids are matched by prefix.
 FREEDOM = {"cc0": 1.0, "unlicense": 1.0, "public-domain": 1.0, "mit": 0.95, "bsd": 0.95, "apache": 0.9, "isc": 0.95, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "cc-by-nc": 0.3, "cc-by-nd": 0.3, "cc-by": 0.85, "agpl": 0.4, "gpl": 0.5, "reserved": 0.0}
 UNKNOWN_FREEDOM = 0.5
@@ -116,14 +120,15 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
     return stack[-1] if stack else None
 
 
-def parse_expression(text: str, start: int = 0, stop: int | None = None) -> tuple[set[str], float] | None:
+def parse_expression(text: str, start: int = 0, stop: int | None = None, any_id: bool = False) -> tuple[set[str], float] | None:
     """Evaluate the expression at the start of a stretch of text; None if there
-    is none.  What follows the expression is not read."""
+    is none.  What follows the expression is not read.  Ids have to look like
+    ids, unless any well-formed one counts."""
     tokens, operand_next = [], True
     for m in _TOKEN.finditer(text, start, len(text) if stop is None else stop):
         t = m[0].lower()
         t = t.rstrip(".-") or t
-        if operand_next and t not in ("(", ")") and not (_ID.fullmatch(t) or tokens[-1:] == ["with"]):
+        if operand_next and t not in ("(", ")") and not (any_id or _ID.fullmatch(t) or tokens[-1:] == ["with"]):
             break
         if not operand_next and t != ")" and t not in PRECEDENCE:
             break
@@ -169,14 +174,14 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     if b"license" in low or b"licence" in low:
         low = low.decode("latin-1")
         seen, stop = set(), -1
-        for end, _ in tags.iter(low):
+        for end, tag in tags.iter(low):
             if end in seen:
                 continue
             seen.add(end)
             if stop < end:
                 stop = low.find("\n", end)
                 stop = len(low) if stop < 0 else stop
-            if found := parse_expression(low, end + 1, stop):
+            if found := parse_expression(low, end + 1, stop, tag in STRICT_TAGS):
                 labels |= {f"id:{x}" for x in found[0]}
                 freedoms.append(found[1])
     # the stronger the notice, and the more of it, the surer: 1 - 1/(1+n)

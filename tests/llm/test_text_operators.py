@@ -126,6 +126,17 @@ def test_license_expressions(line, ids, free):
     assert licenses.parse_expression(line) == (ids, free)
 
 
+@pytest.mark.parametrize("tag", ["SPDX-License-Identifier:", "License-Expression:"])
+@pytest.mark.parametrize(
+    ("line", "ids"),
+    [("NCSA", "id:ncsa"), ("PostgreSQL */", "id:postgresql"), ("MIT OR Ruby", "id:mit,id:ruby"), ("(Vim AND curl) OR OpenSSL", "id:curl,id:openssl,id:vim"), ("JSON", "id:json"), ("OR", ""), ("", ""), ("\nBeerware", "")],
+)
+def test_any_id_after_a_strict_tag(tag, line, ids):
+    got = licenses.scan(f"# {tag} {line}\nmore text")
+    assert got[5] == ids and got[4] == ""
+    assert licenses.scan("License: see the file, or ask Ruby")[5] == ""
+
+
 def test_long_line_of_tags():
     n = 100_000
     got = licenses.scan("license: MIT or (" * n)
