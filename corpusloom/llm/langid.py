@@ -31,11 +31,10 @@ ORDERS = (2, 3, 4)
 DOCS_PER_LANGUAGE = 2000
 #: An n-gram belongs to the languages whose rate is at least this share of its best rate.
 RATE_SHARE = 0.25
-#: And where it was seen so often at least.
-LEAST_SEEN = 3
-#: Slots of the filter at most: with a word of 8 bytes, 32 MB.
-MOST_SLOTS = 1 << 22
-#: Slots for each n-gram, and probes.
+#: And where it was seen so often at least; in a small sample once for each so
+#: many n-grams, and once more.
+LEAST_SEEN, SEEN_EACH = 3, 50_000
+#: Slots (of 8 bytes) for each n-gram, and probes.
 SLOTS_EACH, PROBES = 12, 3
 #: Characters that are worked on at once.
 CHUNK = 400_000
@@ -148,8 +147,8 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Lang
 
     The bound of the sample is ``docs_per_language``: of a language with more
     rows, those are taken whose hashed id is in the share that gives about as
-    many.  N-grams are counted by Spark; only the n-grams that some language
-    owns, at most ``MOST_SLOTS / SLOTS_EACH``, come to the driver.
+    many.  N-grams are counted by Spark; the n-grams that some language owns come
+    to the driver, all of them, and the filter's size follows their number.
     """
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -164,13 +163,13 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Lang
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     bit = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long"))])
     total = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(float(totals.get(k) or 1)))])
+    often = F.col("n") >= F.least(F.lit(LEAST_SEEN), 1 + F.floor(total[F.col("lang")] / SEEN_EACH))
     by_h = counts.withColumn("r", F.col("n") / total[F.col("lang")]).groupBy("h").agg(
-        F.max("r").alias("most"), F.sum("n").alias("seen"), F.collect_list(F.struct(bit[F.col("lang")].alias("bit"), "r", "n")).alias("by")
+        F.max("r").alias("most"), F.collect_list(F.struct(bit[F.col("lang")].alias("bit"), "r", often.alias("often"))).alias("by")
     )
-    owned = by_h.select("h", "seen", F.aggregate(F.filter("by", lambda x: (x.r >= RATE_SHARE * F.col("most")) & (x.n >= LEAST_SEEN)), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x.bit)).alias("mask")).where("mask != 0")
-    kept = owned.orderBy(F.desc("seen"), "h").limit(MOST_SLOTS // SLOTS_EACH).select("h", "mask").toPandas()
+    owned = by_h.select("h", F.aggregate(F.filter("by", lambda x: (x.r >= RATE_SHARE * F.col("most")) & x.often), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x.bit)).alias("mask")).where("mask != 0")
+    kept = owned.toPandas()
     size = 1 << max(6, int(np.ceil(np.log2(max(1, len(kept) * SLOTS_EACH)))))
-    size = min(size, MOST_SLOTS)
     slots = np.zeros(size, np.uint64)
     h, mask = kept["h"].to_numpy(np.int64).view(np.uint64), kept["mask"].to_numpy(np.int64).view(np.uint64)
     for i in range(PROBES):

@@ -79,6 +79,17 @@ def test_language_odd_rows(spark, odd):
     assert {r.lang_pred for r in langid.predict_documents(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_small_languages_keep_their_ngrams(spark):
+    rng = random.Random(2)
+    large = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(150_000))  # 450,000 n-grams
+    small = " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(40))
+    few = " ".join("".join(rng.choice("nopqrstuvwxyz") for _ in range(6)) for _ in range(40))
+    rows = [(i, large, "la") for i in range(4)] + [(10 + i, small, "sm") for i in range(3)] + [(20, few, "fw")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    labels, scores = model.predict([small, few, large[:1000]])
+    assert labels == ["sm", "fw", "la"] and min(scores) > 0.9
+
+
 def test_language_filter_has_all_it_was_given():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 500, np.int64).view(np.uint64)
