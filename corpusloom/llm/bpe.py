@@ -1,9 +1,17 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
-Tier one is a minimal perfect hash over the vocabulary: a pre-token that is
+A slice of texts is cut into stretches that start at a blank, which no pre-token
+reaches across; each distinct stretch of a slice is cut by the pattern and looked up
+once.  Tier one is a minimal perfect hash over the vocabulary: a pre-token that is
 itself a vocabulary entry costs one probe and one comparison.  Tier two, for all
-other pre-tokens, merges bytes: a heap of (rank, place) over a doubly linked
-list of parts, so a pre-token of n bytes takes O(n log n), whatever its length.
+other pre-tokens, merges bytes: a heap of (rank, place) over a doubly linked list
+of parts, whose neighbours' merged rank is looked up by their two ids, so a
+pre-token of n bytes takes O(n log n), whatever its length.
+
+What was worked out is remembered in two generations of bounded size: when the
+young one is full it becomes the old one, and what is still used moves back.  A
+text longer than ``LONG`` is worked through in parts of about that size, cut where
+no pre-token is cut, so memory is bounded by the longest unbroken run.
 
 Null texts count as empty; an empty text has no tokens.  Equal rows give equal
 results, tables may be empty, and only ``doc_id`` and ``text`` are read.
@@ -13,10 +21,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import doc_columns, slices
 
-#: Entries of the per-task memo of pre-tokens; it is emptied when full.
-MEMO_ENTRIES = 100_000
-#: Pre-tokens longer than this many bytes are never kept in the memo.
-MEMO_BYTES = 64
+#: Entries of a generation of the memos, and the longest stretch they keep.
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
+#: Characters of a text that are worked on at once.
+LONG = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,28 +60,31 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]):
         self.n = n = max(1, len(keys))
         self.groups = max(1, n // 4)
-        hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
-        members: list[list[int]] = [[] for _ in range(self.groups)]
-        for h in hashes:
-            members[(h >> 32) % self.groups].append(h)
-        taken = bytearray(n)
+        hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
+        group = ((hashes >> np.uint64(32)) % np.uint64(self.groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(self.groups + 1))
+        taken = np.zeros(n, bool)
         self.shift = [0] * self.groups
-        for g in sorted(range(self.groups), key=lambda g: -len(members[g])):
-            if len(members[g]) < 2:
+        tries = np.arange(256, dtype=np.uint64)
+        sizes = np.diff(cut)
+        for g in np.argsort(-sizes, kind="stable").tolist():
+            if sizes[g] < 2:
                 break
-            d = 0
-            while True:
-                slots = {self._place(h, d) for h in members[g]}
-                if len(slots) == len(members[g]) and not any(taken[s] for s in slots):
+            h = hashes[order[cut[g] : cut[g + 1]]]
+            low, stride, d = h & np.uint64(0xFFFFFFFF), h >> np.uint64(17) | np.uint64(1), np.uint64(0)
+            while True:  # 256 displacements at once
+                slots = ((low + (tries + d)[:, None] * stride) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(13) & np.uint64(0xFFFFFFFF)) % np.uint64(n)
+                slots.sort(axis=1)
+                fits = np.flatnonzero((slots[:, 1:] != slots[:, :-1]).all(axis=1) & ~taken[slots.astype(np.int64)].any(axis=1))
+                if len(fits):
                     break
-                d += 1
-            self.shift[g] = d
-            for s in slots:
-                taken[s] = 1
-        free = (s for s in range(n) if not taken[s])
-        for g, m in enumerate(members):
-            if len(m) == 1:  # any free slot will do: it is written down as it is
-                self.shift[g] = -1 - next(free)
+                d += np.uint64(256)
+            self.shift[g] = int(d) + int(fits[0])
+            taken[slots[fits[0]].astype(np.int64)] = True
+        free = iter(np.flatnonzero(~taken).tolist())
+        for g in np.flatnonzero(sizes == 1).tolist():  # any free slot will do: it is written down as it is
+            self.shift[g] = -1 - next(free)
 
     def _place(self, h: int, d: int) -> int:
         if d < 0:
@@ -85,22 +97,41 @@ class PerfectHash:
         return self._place(h, self.shift[(h >> 32) % self.groups])
 
 
-class _Memo(dict):
-    """Results by pre-token; what is not there is worked out."""
+class _Memo:
+    """Results by string, in two generations."""
 
     def __init__(self, work_out):
-        super().__init__()
-        self.work_out = work_out
+        self.work_out, self.young, self.old = work_out, {}, {}
+
+    def __getitem__(self, key: str) -> tuple[int, ...]:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.work_out(key)
+            if len(key) <= MEMO_CHARS:
+                if len(self.young) >= MEMO_ENTRIES:
+                    self.old, self.young = self.young, {}
+                self.young[key] = found
+        return found
+
+    def look_up(self, keys: set[str]) -> dict[str, tuple[int, ...]]:
+        """The results of many strings."""
+        young = self.young
+        found = {k: young[k] for k in young.keys() & keys}
+        for k in keys - found.keys():
+            found[k] = self[k]
+        return found
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        return self.work_out(token)
+
+#: A blank after something that is not white space: no pre-token holds both.
+_BREAK = re.compile(r"(?<=\S) ")
 
 
 class BytePairCodec:
     """Encoder and decoder for one vocabulary of byte ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.hash = PerfectHash(list(ranks))
         self.slot_key: list[bytes | None] = [None] * self.hash.n
@@ -108,8 +139,20 @@ class BytePairCodec:
         for key, rank in ranks.items():
             s = self.hash.slot(key)
             self.slot_key[s], self.slot_rank[s] = key, rank
-        self.pieces = {r: k for k, r in ranks.items()}
-        self.memo = _Memo(self._pretoken)
+        self.pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for key, rank in ranks.items():
+            self.pieces[rank] = key
+        self.decimal = [str(r) for r in range(len(self.pieces))]
+        self.byte = [ranks.get(bytes([b])) for b in range(256)]
+        self.bits = max(ranks.values(), default=0).bit_length()
+        self.merged = {}  # ids of two neighbours -> the id of both together
+        for key, rank in ranks.items():
+            for i in range(1, len(key)):
+                left, right = ranks.get(key[:i]), ranks.get(key[i:])
+                if left is not None and right is not None:
+                    self.merged[left << self.bits | right] = rank
+        self.pretokens, self.stretches = _Memo(self._pretoken), _Memo(self._behind_blank)
+        self.hits = [0, 0]  # pre-tokens that tier one and tier two worked out
 
     def whole(self, token: bytes) -> int | None:
         """Tier one: the rank of a pre-token that is in the vocabulary."""
@@ -118,44 +161,83 @@ class BytePairCodec:
 
     def merge(self, token: bytes) -> list[int]:
         """Tier two: merge the adjacent pair of least rank, leftmost first."""
-        ranks, n = self.ranks, len(token)
-        end = list(range(1, n + 1))  # of the part that starts here; 0: it was merged away
-        before = list(range(-1, n))
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(token[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        merged, bits, n = self.merged.get, self.bits, len(token)
+        place = n.bit_length()
+        here = (1 << place) - 1
+        ids = list(map(self.byte.__getitem__, token))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # rank and place of the pair that starts at each part
+        pair = [None if (r := merged(a << bits | b)) is None else r << place | i for i, (a, b) in enumerate(pairwise(ids))]
+        heap = [x for x in pair if x is not None]
+        pair.append(None)
+        heapify(heap)
         while heap:
-            r, i = heapq.heappop(heap)
-            j = end[i]
-            if not j or j >= n or ranks.get(token[i : end[j]]) != r:
+            x = heappop(heap)
+            i = x & here
+            if pair[i] != x:
                 continue  # one of its two parts has changed since
-            end[i], end[j] = end[j], 0
-            k = end[i]
+            r = ids[i] = x >> place
+            j = after[i]
+            k = after[i] = after[j]
+            pair[i] = pair[j] = ids[j] = None
             if k < n:
                 before[k] = i
-                if (r := ranks.get(token[i : end[k]])) is not None:
-                    heapq.heappush(heap, (r, i))
+                if (q := merged(r << bits | ids[k])) is not None:
+                    pair[i] = q = q << place | i
+                    heappush(heap, q)
             p = before[i]
-            if p >= 0 and (r := ranks.get(token[p:k])) is not None:
-                heapq.heappush(heap, (r, p))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[token[i : end[i]]])
-            i = end[i]
-        return out
+            if p >= 0:
+                if (q := merged(ids[p] << bits | r)) is None:
+                    pair[p] = None
+                else:
+                    pair[p] = q = q << place | p
+                    heappush(heap, q)
+        return [x for x in ids if x is not None]
 
     def _pretoken(self, token: str) -> tuple[int, ...]:
         raw = token.encode()
         rank = self.whole(raw)
-        ids = (rank,) if rank is not None else tuple(self.merge(raw))
-        if len(raw) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[token] = ids
-        return ids
+        self.hits[rank is None] += 1
+        return (rank,) if rank is not None else tuple(self.merge(raw))
+
+    def _stretch(self, stretch: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.find(stretch))))
+
+    def _behind_blank(self, stretch: str) -> tuple[int, ...]:
+        return self._stretch(" " + stretch)
+
+    def look_up(self, texts: list[str]) -> tuple[list[tuple[int, ...]], list[list[str]], dict[str, tuple[int, ...]]]:
+        """The texts cut into stretches: the ids of each text's first one, its
+        others without the blank they start with, and the ids of each distinct one."""
+        cut = [t.split(" ") for t in texts]
+        every = set(chain.from_iterable(cut))
+        no_place = {p for p in every if not p or p[-1].isspace()}  # a blank behind white space is no place to cut
+        if no_place:
+            cut = [c if no_place.isdisjoint(c) else _BREAK.split(t) for c, t in zip(cut, texts, strict=True)]
+        first = [self._stretch(c[0]) for c in cut]
+        cut = [c[1:] for c in cut]
+        return first, cut, self.stretches.look_up(set(chain.from_iterable(cut)))
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of some texts; each distinct stretch is looked up once."""
+        first, cut, known = self.look_up(texts)
+        return [list(chain(f, chain.from_iterable(map(known.__getitem__, c)))) for f, c in zip(first, cut, strict=True)]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts of about ``LONG`` characters, cut where no
+        pre-token is cut."""
+        at = 0
+        while len(text) - at > LONG:
+            found = _BREAK.search(text, at + LONG)
+            if not found:
+                break
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, each match of the pattern on its own."""
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))
+        return list(chain.from_iterable(self.encode_all([p])[0] for p in self.parts(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a list of ids."""
@@ -175,25 +257,28 @@ DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 s
 def _task(path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_at(path, pattern)
-        decimal = {r: str(r) for r in codec.pieces}
-        for batch in slices(batches):
+
+        def digest(texts: list[str]) -> tuple[list, list, list]:
             counts, first, second = [], [], []
-            for text in batch.column(1):
-                ids = codec.encode(text.as_py())
-                raw = codec.decode(ids)
-                counts.append(len(ids))
-                if digests:
-                    first.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    second.append(hashlib.sha256(raw).hexdigest())
-                else:
-                    first.append(np.array(ids, np.int32))
-                    second.append(raw)
-            kind = [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
-            names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kind[0]), pa.array(second, kind[1])],
-                ["doc_id", "n_tokens", *names],
-            )
+            done = iter(codec.encode_all([t for t in texts if len(t) <= LONG]))
+            for text in texts:
+                of_ids, of_bytes, n = hashlib.sha256(), hashlib.sha256(), 0
+                for ids in (next(done),) if len(text) <= LONG else (codec.encode_all([p])[0] for p in codec.parts(text)):
+                    of_ids.update((" " * bool(n and ids) + " ".join(map(codec.decimal.__getitem__, ids))).encode())
+                    of_bytes.update(codec.decode(ids))
+                    n += len(ids)
+                counts.append(n), first.append(of_ids.hexdigest()), second.append(of_bytes.hexdigest())
+            return counts, first, second
+
+        def whole(texts: list[str]) -> tuple[list, list, list]:
+            ids = [np.array(codec.encode(t), np.int32) for t in texts]
+            return list(map(len, ids)), ids, [codec.decode(x.tolist()) for x in ids]
+
+        kinds = [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
+        names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
+        for batch in slices(batches):
+            counts, *rest = (digest if digests else whole)(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *map(pa.array, rest, kinds)], ["doc_id", "n_tokens", *names])
 
     return run
 

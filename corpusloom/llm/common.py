@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The folder is the one of ``spark.checkpoint.dir``.  Only where the session
-    names none (tests) is a temporary folder set.
+    The folder is the one of ``spark.checkpoint.dir``.  Only where a local session
+    names none (tests) is a temporary folder set; on a cluster that is an error.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -57,8 +69,9 @@ def doc_columns(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-#: Rows of an Arrow batch that are worked on at once.
-SLICE_ROWS = 1000
+#: Rows of an Arrow batch, and bytes of their strings, that are worked on at once;
+#: a single longer row is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 
 
 def give_back() -> None:
@@ -70,12 +83,20 @@ def give_back() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task in parts of bounded size; when they end, free memory
-    goes back."""
+    """The rows of a task in parts of bounded numbers and bytes; when they end,
+    free memory goes back."""
     try:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                yield batch.slice(at, SLICE_ROWS)
+            size = np.ones(batch.num_rows, np.int64)
+            for c in batch.columns:
+                if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                    size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+            at, upto = 0, np.cumsum(size)
+            while at < batch.num_rows:
+                before = upto[at - 1] if at else 0
+                n = max(1, min(SLICE_ROWS, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")) - at))
+                yield batch.slice(at, n)
+                at += n
     finally:
         give_back()
 
