@@ -1,15 +1,16 @@
 """Language identification with bit-sliced Bloom filters of letter n-grams.
 
 All languages share one filter.  A slot is a machine word in which bit *l*
-belongs to language *l*, so the AND of the slots of an n-gram gives at once all
-languages that contain it.  A document's n-grams are counted for each language
+belongs to language *l* (beyond 64 languages a slot has several words), so the AND
+of the slots of an n-gram gives at once all languages that contain it.  A document's n-grams are counted for each language
 (popcounts of the bit planes), the counts are corrected for the false positives
 that the fill of each plane lets expect, and the largest corrected count decides.
 
 Null texts and texts without letters give ``und`` and score 0.  Ties go to the
 language whose name sorts first; a text with letters of which no language knows
 an n-gram goes to the language with most training documents, at score 0.  An
-empty table or one without labelled rows gives only ``und``.
+empty table or one without labelled rows gives only ``und``.  A text longer than
+``CHUNK`` is worked through in windows, whose n-grams reach back into the one before.
 """
 
 from __future__ import annotations
@@ -59,11 +60,11 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(letter, points, np.uint32(32))[keep], doc[keep], n_letters
 
 
-def ngram_hashes(points: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ngram_hashes(points: np.ndarray, doc: np.ndarray, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all n-grams that stay in one document, and its number."""
     found, of = [], []
     p = points.astype(np.uint64)
-    for n in ORDERS:
+    for n in orders:
         if len(p) < n:
             continue
         m = len(p) - n + 1
@@ -78,16 +79,45 @@ def ngram_hashes(points: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(found), np.concatenate(of)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK characters together."""
+def _windows(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The folded points of one text in parts, and the letters of each part."""
+    blank = False
+    for at in range(0, len(text), CHUNK):
+        low = text[at : at + CHUNK].lower()
+        points = np.frombuffer((low if at else f" {low}").encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[points]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[:1] |= not blank
+        points = np.where(letter, points, np.uint32(32))[keep]
+        blank = not letter[-1] if len(letter) else blank
+        yield points, int(letter.sum())
+    if not blank:
+        yield np.full(1, 32, np.uint32), 0
+
+
+def ngram_parts(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges of texts of about ``CHUNK`` characters together: first, last plus
+    1, the n-gram hashes, the text of each (from 0 in the range), and letters.  A
+    longer text comes alone, in several parts."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 2
-        if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    for i in range(len(texts) + 1):
+        long = i < len(texts) and len(texts[i]) > CHUNK
+        if start < i and (long or size >= CHUNK or i == len(texts)):
+            points, doc, letters = folded(texts[start:i])
+            yield (start, i, *ngram_hashes(points, doc), letters)
+            start, size = i, 0
+        if long:
+            tail = np.zeros(0, np.uint32)
+            for points, letters in _windows(texts[i]):
+                both = np.concatenate([tail, points])
+                own = [ngram_hashes(both[max(0, len(tail) - n + 1) :], np.zeros(len(both) - max(0, len(tail) - n + 1), np.int64), (n,))[0] for n in ORDERS]
+                h = np.concatenate(own)
+                yield i, i + 1, h, np.zeros(len(h), np.int64), np.array([letters])
+                tail = both[1 - max(ORDERS) :]
+            start = i + 1
+        elif i < len(texts):
+            size += len(texts[i]) + 2
 
 
 @dataclass(frozen=True)
@@ -95,41 +125,54 @@ class LanguageFilter:
     """Languages by bit, the slots, and the language to fall back to."""
 
     languages: list[str]
-    slots: np.ndarray
+    slots: np.ndarray  # one word for each slot; for more languages, rows of such
     usual: str
 
-    def contains(self, hashes: np.ndarray) -> np.ndarray:
+    def planes(self) -> np.ndarray:
+        """The slots as rows of words, a row for each 64 languages."""
+        return self.slots.reshape(-1, self.slots.shape[-1])
+
+    def contains(self, hashes: np.ndarray, plane: int = 0) -> np.ndarray:
         """For each hash the word of all languages that contain it."""
-        size = np.uint64(len(self.slots) - 1)
+        slots = self.planes()[plane]
+        size = np.uint64(len(slots) - 1)
         step = hashes >> np.uint64(32) | np.uint64(1)
-        found = self.slots[(hashes & size).astype(np.int64)]
+        found = slots[(hashes & size).astype(np.int64)]
         for i in range(1, PROBES):
-            found = found & self.slots[(hashes + np.uint64(i) * step & size).astype(np.int64)]
+            found = found & slots[(hashes + np.uint64(i) * step & size).astype(np.int64)]
         return found
 
     def false_rates(self) -> np.ndarray:
         """For each language the share of unseen n-grams it claims to contain."""
-        fill = [np.count_nonzero(self.slots >> np.uint64(b) & np.uint64(1)) / len(self.slots) for b in range(len(self.languages))]
+        planes = self.planes()
+        fill = [np.count_nonzero(planes[b // 64] >> np.uint64(b % 64) & np.uint64(1)) / planes.shape[1] for b in range(len(self.languages))]
         return np.array(fill) ** PROBES
 
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the n-grams that each language contains, all its
+        n-grams, and its letters."""
+        held = np.zeros((len(texts), max(1, len(self.languages))))
+        total, letters = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for a, b, hashes, of, n_letters in ngram_parts(texts):
+            total[a:b] += np.bincount(of, minlength=b - a)
+            letters[a:b] += n_letters
+            for plane in range(-(-len(self.languages) // 64)):
+                masks = self.contains(hashes, plane)
+                for bit in range(min(64, len(self.languages) - 64 * plane)):
+                    held[a:b, 64 * plane + bit] += np.bincount(of[(masks >> np.uint64(bit) & np.uint64(1)).astype(bool)], minlength=b - a)
+        return held, total, letters
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score (the corrected share of n-grams it contains)."""
-        labels, scores = [], np.zeros(len(texts))
+        counts, total, letters = self.counts(texts)
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
         wrong = self.false_rates()
-        for a, b in _chunks(texts):
-            points, doc, n_letters = folded(texts[a:b])
-            hashes, of = ngram_hashes(points, doc)
-            total = np.bincount(of, minlength=b - a).astype(float)
-            masks = self.contains(hashes)
-            counts = np.stack([np.bincount(of[(masks >> np.uint64(bit) & np.uint64(1)).astype(bool)], minlength=b - a) for bit in range(len(self.languages))], axis=1).astype(float) if self.languages else np.zeros((b - a, 1))
-            if self.languages:
-                counts = np.clip((counts - wrong * total[:, None]) / (1 - np.minimum(wrong, 0.999)), 0, None)
-            best = counts.argmax(axis=1)
-            top = counts[np.arange(b - a), best]
-            scores[a:b] = np.where(total > 0, np.minimum(1, top / np.maximum(total, 1)), 0) * (n_letters > 0)
-            for i in range(b - a):
-                labels.append("und" if not n_letters[i] or not self.languages else self.languages[best[i]] if top[i] > 0 else self.usual)
-        return labels, scores
+        counts = np.clip((counts - wrong * total[:, None]) / (1 - np.minimum(wrong, 0.999)), 0, None)
+        best = counts.argmax(axis=1)
+        top = counts[np.arange(len(texts)), best]
+        scores = np.where(total > 0, np.minimum(1, top / np.maximum(total, 1)), 0) * (letters > 0)
+        return ["und" if not n else self.languages[k] if x > 0 else self.usual for n, k, x in zip(letters, best, top, strict=True)], scores
 
 
 def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +180,8 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-            for a, b in _chunks(own):
-                h, n = np.unique(ngram_hashes(*folded(own[a:b])[:2])[0], return_counts=True)
+            for _, _, hashes, _, _ in ngram_parts(own):
+                h, n = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["lang", "h", "n"])
 
 
@@ -155,25 +198,31 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Lang
     languages = sorted(sizes)
     if not languages:
         return LanguageFilter([], np.zeros(64, np.uint64), "und")
-    if len(languages) > 64:
-        raise ValueError("a slot holds 64 languages at most")
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(parts_of(docs_per_language, sizes[k])).cast("long"))])
     rows = labelled.where(in_share("doc_id", share[F.col("lang")])).select("text", "lang")
     counts = rows.mapInArrow(_count_ngrams, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    bit = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long"))])
+    number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
     total = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(float(totals.get(k) or 1)))])
     often = F.col("n") >= F.least(F.lit(LEAST_SEEN), 1 + F.floor(total[F.col("lang")] / SEEN_EACH))
     by_h = counts.withColumn("r", F.col("n") / total[F.col("lang")]).groupBy("h").agg(
-        F.max("r").alias("most"), F.collect_list(F.struct(bit[F.col("lang")].alias("bit"), "r", often.alias("often"))).alias("by")
+        F.max("r").alias("most"), F.collect_list(F.struct(number[F.col("lang")].alias("number"), "r", often.alias("often"))).alias("by")
     )
-    owned = by_h.select("h", F.aggregate(F.filter("by", lambda x: (x.r >= RATE_SHARE * F.col("most")) & x.often), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x.bit)).alias("mask")).where("mask != 0")
-    kept = owned.toPandas()
+    mine = F.filter("by", lambda x: (x.r >= RATE_SHARE * F.col("most")) & x.often)
+
+    def word(plane: int):
+        bit = lambda x: F.when(F.floor(x.number / 64) == plane, F.call_function("shiftleft", F.lit(1).cast("long"), x.number % 64)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))).alias(f"mask{plane}")
+
+    planes = -(-len(languages) // 64)
+    kept = by_h.select("h", *map(word, range(planes))).where(" or ".join(f"mask{p} != 0" for p in range(planes))).toPandas()
     size = 1 << max(6, int(np.ceil(np.log2(max(1, len(kept) * SLOTS_EACH)))))
-    slots = np.zeros(size, np.uint64)
-    h, mask = kept["h"].to_numpy(np.int64).view(np.uint64), kept["mask"].to_numpy(np.int64).view(np.uint64)
-    for i in range(PROBES):
-        np.bitwise_or.at(slots, (h + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1)) & np.uint64(size - 1)).astype(np.int64), mask)
+    slots = np.zeros((planes, size), np.uint64)
+    h = kept["h"].to_numpy(np.int64).view(np.uint64)
+    for plane in range(planes):
+        mask = kept[f"mask{plane}"].to_numpy(np.int64).view(np.uint64)
+        for i in range(PROBES):
+            np.bitwise_or.at(slots[plane], (h + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1)) & np.uint64(size - 1)).astype(np.int64), mask)
     return LanguageFilter(languages, slots, max(languages, key=lambda k: (sizes[k], k)))
 
 
