@@ -4,12 +4,18 @@ Texts are lower-cased (A-Z) and cut into words; an Aho-Corasick automaton over
 the words, joined by single blanks, finds every place of every notice phrase.  A
 second automaton finds identifier tags in the raw text; what follows a tag on
 its line is parsed by the shunting-yard algorithm as an expression of ids joined
-by ``with``, ``and`` and ``or`` (binding in this order) and evaluated.  After the
-tags that only expressions follow, any well-formed id counts; after the loose ones,
-which prose uses too, an id has to look like one.
-
-Null counts as empty; an empty text has no words, no labels, null word places
-and score 0.  A malformed expression keeps the ids before its fault.
+by ``with``, ``and`` and ``or`` (binding in this order) and evaluated: ``and`` asks
+for both sides, of ``or`` the freer side is chosen (ties: the side that asks for
+fewer ids, then the left one).  So an expression has a freedom and the ids that
+the freest use of it has to comply with.  After the tags that only expressions
+follow, any well-formed id counts; after the loose ones, which prose uses too, an id
+has to look like one.
+
+A finding, be it a label of a notice or an expression, weighs 1/2 where it is quite
+free and 1 where it allows nothing; weights w give the score 1 - 1 / (1 + sum of w).
+
+Null counts as empty; an empty text has no words, no labels, null word places,
+null freedom and score 0.  A malformed expression keeps the ids before its fault.
 """
 
 from __future__ import annotations
@@ -102,28 +108,39 @@ def freedom(label: str) -> float:
     return FREEDOM[max(known, key=len)] if known else UNKNOWN_FREEDOM
 
 
-def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
-    """Ids of an expression (an exception is joined to its licence) and the
-    freedom: the best choice of ``or``, the strictest part of ``and``."""
-    stack: list[tuple[set[str], float]] = []
+def value(postfix: list[str]) -> tuple[set[str], set[str], float] | None:
+    """Ids of an expression (an exception is joined to its licence), those that
+    the freest choice has to comply with, and its freedom: the better side of
+    ``or``, the stricter one of ``and``."""
+    stack: list[tuple[set[str], set[str], float]] = []
     for t in postfix:
         if t not in PRECEDENCE:
-            stack.append(({t}, freedom(t)))
+            stack.append(({t}, {t}, freedom(t)))
             continue
         if len(stack) < 2:
             return stack[-1] if stack else None
-        (right, fr), (left, fl) = stack.pop(), stack.pop()
+        (right, needs_r, fr), (left, needs_l, fl) = stack.pop(), stack.pop()
         if t == "with":
-            stack.append(({f"{a} with {b}" for a in left for b in right}, fl))
+            both = {f"{a} with {b}" for a in left for b in right}
+            stack.append((both, both, fl))
+        elif t == "and":
+            stack.append((left | right, needs_l | needs_r, min(fl, fr)))
         else:
-            stack.append((left | right, max(fl, fr) if t == "or" else min(fl, fr)))
+            first = (-fl, len(needs_l)) <= (-fr, len(needs_r))
+            stack.append((left | right, needs_l if first else needs_r, max(fl, fr)))
     return stack[-1] if stack else None
 
 
-def parse_expression(text: str, start: int = 0, stop: int | None = None, any_id: bool = False) -> tuple[set[str], float] | None:
-    """Evaluate the expression at the start of a stretch of text; None if there
-    is none.  What follows the expression is not read.  Ids have to look like
-    ids, unless any well-formed one counts."""
+def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
+    """All ids of an expression and its freedom."""
+    found = value(postfix)
+    return found and (found[0], found[2])
+
+
+def read_expression(text: str, start: int = 0, stop: int | None = None, any_id: bool = False) -> list[str]:
+    """The expression at the start of a stretch of text, in postfix order.  What
+    follows it is not read.  Ids have to look like ids, unless any well-formed one
+    counts."""
     tokens, operand_next = [], True
     for m in _TOKEN.finditer(text, start, len(text) if stop is None else stop):
         t = m[0].lower()
@@ -134,7 +151,13 @@ def parse_expression(text: str, start: int = 0, stop: int | None = None, any_id:
             break
         operand_next = t == "(" or t in PRECEDENCE
         tokens.append(t)
-    return evaluate(shunting_yard(tokens))
+    return shunting_yard(tokens)
+
+
+def parse_expression(text: str, start: int = 0, stop: int | None = None, any_id: bool = False) -> tuple[set[str], float] | None:
+    """Ids and freedom of the expression at the start of a stretch of text; None
+    if there is none."""
+    return evaluate(read_expression(text, start, stop, any_id))
 
 
 @lru_cache(maxsize=1)
@@ -150,12 +173,21 @@ def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     return phrases, tags
 
 
-def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score."""
+_LONG = 4 << 20
+
+
+def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float, float | None, str]:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, the
+    freedom of the strictest finding, and the ids to comply with."""
     phrases, tags = automata()
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.translate(_TO_WORDS).split()
-    joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
+    spaced = raw.translate(_TO_WORDS)
+    if len(raw) < _LONG:
+        joined = b" ".join(spaced.split())
+    else:  # no list of all words
+        joined = re.sub(rb"  +", b" ", spaced).strip()
+    n_words = joined.count(b" ") + 1 if joined else 0
+    joined = (b" " + joined + b" ").decode("latin-1")
     n_base, first, last = 0, None, None
     base, labels, at, word = set(), set(), 0, 0
     for end, (length, label, is_base) in phrases.iter(joined):
@@ -169,7 +201,7 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
             base.add(label)
             first = word if first is None else min(first, word)
             last = word if last is None else max(last, word)
-    freedoms = [freedom(x) for x in labels]
+    freedoms, needs = [freedom(x) for x in labels], set()
     low = raw.translate(_TO_LOWER)
     if b"license" in low or b"licence" in low:
         low = low.decode("latin-1")
@@ -181,26 +213,27 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
             if stop < end:
                 stop = low.find("\n", end)
                 stop = len(low) if stop < 0 else stop
-            if found := parse_expression(low, end + 1, stop, tag in STRICT_TAGS):
+            if found := value(read_expression(low, end + 1, stop, tag in STRICT_TAGS)):
                 labels |= {f"id:{x}" for x in found[0]}
-                freedoms.append(found[1])
-    # the stronger the notice, and the more of it, the surer: 1 - 1/(1+n)
-    score = 1 - 1 / (1 + len(freedoms)) if freedoms else 0.0
-    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
+                needs |= found[1]
+                freedoms.append(found[2])
+    weight = sum(1 - f / 2 for f in sorted(freedoms))
+    return n_words, n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1 - 1 / (1 + weight), min(freedoms, default=None), ",".join(sorted(needs))
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, freedom double, obligations string"
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] * 2 + [pa.string()]
     for batch in slices(batches):
         rows = [scan(t.as_py()) for t in batch.column(1)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """One row for each document: base places and labels, all labels, score
-    (0: no notice; nearing 1 with each label and expression found)."""
+    """One row for each document: base places and labels, all labels, score (0:
+    no notice; nearing 1 with each finding, the faster the stricter), and what the
+    expressions came to: the least freedom of all findings, the ids to comply with."""
     return doc_columns(docs).mapInArrow(_run, SCHEMA)
