@@ -1,132 +1,193 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces.
 
-A text is cut into paragraphs at line ends, a paragraph into pieces at word ends
-that its own content chooses, and paragraphs are gathered into sections closed
-by paragraphs whose hash says so; an edit therefore changes only the branches
-around it.  Each node's hash covers its children's, so equal roots mean equal
-texts, and walking two trees from the roots, only into differing branches,
-locates edits.
-
-The fingerprint is the tree as one string: the root, then sections (``;``) of
-paragraphs (``,``) of pieces (8 hex digits and the length in base 16 after a
-dot, joined by ``-``).  Null counts as empty, whose tree has a root alone.
+A text is cut into paragraphs behind line ends, a paragraph into pieces where its
+own last four code points say so (blanks are not needed), and paragraphs are
+gathered into sections closed by paragraphs whose node says so; an edit therefore
+changes only the branches around it.  A piece's node is the hash of its text, every
+other node the hash of its children's nodes alone, the root included; nodes have
+128 bits.  So equal roots mean equal texts, and walking two trees from the roots,
+only into branches that differ, finds what they share and where they differ.
+
+The fingerprint is the tree as one string: the root's node, then for each section
+``;`` and its node, for each of its paragraphs ``,`` and its node, for each piece
+``.``, its node and its length in base 16.  Nodes are 22 characters of base 64.  Null
+counts as empty, whose tree has a root alone.  Repeated rows have equal fingerprints.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from base64 import b64encode
+from bisect import bisect_left
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, partitions, slices
-
-#: A piece ends at about one word of so many; a section at one paragraph of so many.
-WORDS_A_PIECE, PARAGRAPHS_A_SECTION = 8, 6
-
-
-def pieces(paragraph: str) -> list[str]:
-    """The paragraph in pieces, nothing lost; a word ends one if its hash says so."""
-    out, start, at = [], 0, 0
-    for word in paragraph.split(" "):
-        at += len(word) + 1
-        if xxhash.xxh32_intdigest(word) % WORDS_A_PIECE == 0:
-            out.append(paragraph[start:at])
-            start = at
-    if start < len(paragraph):
-        out.append(paragraph[start:])
-    return [p for p in out if p] or [""]
-
-
-def _digest(parts: list[str]) -> str:
-    return xxhash.xxh3_64_hexdigest("|".join(parts))
-
-
-def tree(text: str) -> list[list[list[tuple[str, int]]]]:
-    """Sections of paragraphs of (piece hash, piece length)."""
-    sections, own = [], []
-    if not text:
-        return []
-    for paragraph in text.split("\n"):
-        leaves = [(xxhash.xxh32_hexdigest(p), len(p)) for p in pieces(paragraph)]
-        own.append(leaves)
-        if int(_digest([h for h, _ in leaves]), 16) % PARAGRAPHS_A_SECTION == 0:
-            sections.append(own)
-            own = []
-    if own:
-        sections.append(own)
-    return sections
-
-
-def node(section: list[list[tuple[str, int]]]) -> str:
-    """The hash of a section from those of its paragraphs."""
-    return _digest([_digest([f"{h}.{n:x}" for h, n in p]) for p in section])
+from .common import doc_columns, mixed, partitions, slices
+
+#: One position of so many ends a piece; code points of a piece at least (but
+#: for a paragraph's last one) and at most.
+POINTS_A_PIECE, LEAST, MOST = 64, 16, 160
+#: One paragraph of so many closes a section.
+PARAGRAPHS_A_SECTION = 6
+#: Code points that are looked at together.
+WINDOW = 1_000_000
+#: Bytes of text in a range of documents, about.
+RANGE_BYTES = 32 << 20
+_NODE = 22
+_PLACE = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
+def _node(level: str, content: str) -> str:
+    raw = hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=16, person=level.encode()).digest()
+    return b64encode(raw)[:_NODE].decode()
+
+
+def piece_ends(text: str) -> Iterator[tuple[int, bool]]:
+    """The ends of all pieces, in order, and whether a paragraph ends there."""
+    start = 0
+    for at in range(0, len(text), WINDOW):
+        points = np.frombuffer(text[max(0, at - 3) : at + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        h = points * _PLACE[0]
+        for k in range(1, 4):
+            h[k:] += points[:-k] * _PLACE[k]
+        own = slice(min(at, 3), None)
+        line = points[own] == 10
+        chosen = np.flatnonzero((mixed(h[own]) % np.uint64(POINTS_A_PIECE) == 0) | line)
+        for i, ends in zip((chosen + at + 1).tolist(), line[chosen].tolist(), strict=True):
+            while i - start > MOST:
+                start += MOST
+                yield start, False
+            if ends or i - start >= LEAST:
+                yield i, ends
+                start = i
+    while len(text) - start > MOST:
+        start += MOST
+        yield start, False
+    if start < len(text):
+        yield len(text), True
 
 
 def fingerprint(text: str) -> str:
-    """The tree as a string, its root first.  The root also covers a digest of
-    the whole text, so roots are equal for equal texts only."""
-    t = tree(text)
-    root = hashlib.blake2b("|".join([*map(node, t), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()]).encode(), digest_size=16).hexdigest()
-    return f"{root}:" + ";".join(",".join("-".join(f"{h}.{n:x}" for h, n in p) for p in s) for s in t)
-
-
-def _leaves(body: str) -> Counter:
-    out: Counter = Counter()
-    for leaf in body.replace(";", "-").replace(",", "-").split("-") if body else []:
-        out[leaf] += int(leaf.partition(".")[2], 16) or 1
-    return out
+    """The tree of a text as a string."""
+    sections, paragraphs, pieces, nodes, start = [], [], [], [], 0
+    out: list[str] = []
+    for end, ends in piece_ends(text):
+        leaf = _node("piece", text[start:end])
+        nodes.append(leaf)
+        pieces.append(f".{leaf}{end - start:x}")
+        start = end
+        if ends or end == len(text):
+            node = _node("paragraph", "".join(nodes))
+            paragraphs.append(node)
+            out.append(f",{node}{''.join(pieces)}")
+            nodes, pieces = [], []
+            if int.from_bytes(node[:4].encode()) % PARAGRAPHS_A_SECTION == 0 or end == len(text):
+                section = _node("section", "".join(paragraphs))
+                sections.append((section, "".join(out)))
+                paragraphs, out = [], []
+    return _node("root", "".join(s for s, _ in sections)) + "".join(f";{s}{body}" for s, body in sections)
+
+
+class Tree:
+    """A fingerprint taken apart again: children are read where they are asked
+    for.  A branch is (node, length, its part of the fingerprint)."""
+
+    _MARKS = ";,."
+
+    def __init__(self, fingerprint: str):
+        self.whole = (fingerprint[:_NODE], sum(int(x.rpartition(".")[2][_NODE:], 16) for x in _leaves(fingerprint)), fingerprint[_NODE:])
+
+    @classmethod
+    def children(cls, branch: tuple[str, int, str], level: int) -> list[tuple[str, int, str]]:
+        """The branches below one of a level (0: the root)."""
+        out = []
+        for part in branch[2].split(cls._MARKS[level])[1:]:
+            if level == 2:
+                out.append((part[:_NODE], int(part[_NODE:], 16), ""))
+            else:
+                out.append((part[:_NODE], sum(int(x[_NODE:], 16) for x in _leaves(part)), part[_NODE:]))
+        return out
+
+
+def _leaves(part: str) -> Iterator[str]:
+    for x in part.split(".")[1:]:
+        yield x.partition(",")[0].partition(";")[0]
+
+
+def _common(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
+    """Pairs of equal nodes in both orders: the longest increasing choice after
+    the k-th occurrence of a node on one side is paired with the k-th on the other."""
+    there = defaultdict(deque)
+    for j, y in enumerate(ys):
+        there[y].append(j)
+    pairs = [(i, there[x].popleft()) for i, x in enumerate(xs) if there.get(x)]
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(ends, j)
+        before.append(last[at - 1] if at else -1)
+        ends[at : at + 1] = [j]
+        last[at : at + 1] = [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def compare(a: str, b: str) -> tuple[int, int, int, list[tuple[int, int, int, int]]]:
+    """Of two fingerprints: lengths of both texts, code points in pieces that
+    they share in order, and the edits: (start, end) in the first text and in the
+    second.  Branches with equal nodes are passed over whole; only those between
+    them are walked into."""
+    x, y = Tree(a).whole, Tree(b).whole
+    edits: list[tuple[int, int, int, int]] = []
+
+    def walk(xs: list, ys: list, i: int, j: int, level: int) -> int:
+        """Branches of one level whose parents differ, from places i and j on."""
+        if not xs or not ys or level == 3:
+            if xs or ys:
+                edits.append((i, i + sum(n for _, n, _ in xs), j, j + sum(n for _, n, _ in ys)))
+            return 0
+        down = lambda own: [c for branch in own for c in Tree.children(branch, level)]
+        return align(down(xs), down(ys), i, j, level + 1)
+
+    def align(xs: list, ys: list, i: int, j: int, level: int) -> int:
+        same, p, q = 0, 0, 0
+        for k, m in [*_common([n for n, _, _ in xs], [n for n, _, _ in ys]), (len(xs), len(ys))]:
+            same += walk(xs[p:k], ys[q:m], i, j, level)
+            i, j = i + sum(n for _, n, _ in xs[p:k]), j + sum(n for _, n, _ in ys[q:m])
+            if k < len(xs):
+                same, i, j = same + xs[k][1], i + xs[k][1], j + xs[k][1]
+            p, q = k + 1, m + 1
+        return same
+
+    shared = x[1] if x[0] == y[0] else walk([x], [y], 0, 0, 0)
+    joined: list[tuple[int, int, int, int]] = []
+    for e in edits:  # neighbours are one edit
+        if joined and joined[-1][1] == e[0] and joined[-1][3] == e[2]:
+            e = (joined[-1][0], e[1], joined.pop()[2], e[3])
+        joined.append(e)
+    return x[1], y[1], shared, joined
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the two texts' length that lies in common pieces, 0 to 1, from
-    the fingerprints alone; equal roots give 1."""
-    if a[:32] == b[:32]:
-        return 1.0
-    x, y = _leaves(a[33:]), _leaves(b[33:])
-    total = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / total if total else 0.0
+    """Share of the two texts' length that lies in common pieces in order, 0 to 1,
+    from the fingerprints alone; 1 for equal roots only."""
+    n, m, shared, _ = compare(a, b)
+    return 1.0 if a[:_NODE] == b[:_NODE] else 2 * shared / (n + m)
 
 
 def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
     """Where two texts differ: (start, end) in the first and in the second, in
-    code points, from the fingerprints alone.
-
-    Whole sections, then whole paragraphs, then pieces that agree at both ends
-    of a differing branch are passed over by their hashes.
-    """
-    if a[:32] == b[:32]:
-        return []
-
-    def read(f: str) -> list:
-        return [[p.split("-") for p in s.split(",")] for s in f[33:].split(";")] if f[33:] else []
-
-    def length(n) -> int:
-        if isinstance(n, str):
-            return int(n.partition(".")[2], 16)
-        return sum(map(length, n)) + (1 if n and isinstance(n[0], str) else 0)  # a paragraph's line end
-
-    def walk(x: list, y: list, i: int, j: int) -> list:
-        while x and y and x[0] == y[0]:
-            i, j = i + length(x[0]), j + length(y[0])
-            x, y = x[1:], y[1:]
-        while x and y and x[-1] == y[-1]:
-            x, y = x[:-1], y[:-1]
-        if not x and not y:
-            return []
-        if x and y and not isinstance(x[0], str):
-            if len(x) == len(y) == 1:
-                return walk(x[0], y[0], i, j)
-            if not isinstance(x[0][0], str):  # sections: go on by their paragraphs
-                return walk([p for s in x for p in s], [p for s in y for p in s], i, j)
-        return [(i, i + sum(map(length, x)), j, j + sum(map(length, y)))]
-
-    return walk(read(a), read(b), 0, 0)
+    code points, from the fingerprints alone."""
+    return compare(a, b)[3]
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -145,11 +206,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-EDIT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDIT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits string"
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """Each document against its edited self and against the next one.
+    """Each document against its edited self and against the next one; ``edits``
+    are the places where the edited text differs, as ``start-end>start-end``
+    joined by blanks.
 
     Documents are ordered by doc_id (null first, ties by text); after the last
     comes the first.  Rows go to ranges of ids, and the first row of a range
@@ -157,7 +220,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     reads them as a sorted stream.
     """
     docs = doc_columns(docs)
-    n = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))
     shares = [i / (2 * n) for i in range(1, 2 * n)]
     cuts = sorted({q for r in docs.select(F.percentile_approx("doc_id", shares, 20 * n)).collect() for q in r[0] or []})
     firsts = {
@@ -214,7 +278,10 @@ def _next_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row(doc, text, own, following, theirs):
         new = edited(text, following)
         changed = fingerprint(new)
-        return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, theirs)
+        n, m, shared, where = compare(own, changed)
+        near = 1.0 if own[:_NODE] == changed[:_NODE] else 2 * shared / (n + m)
+        places = " ".join(f"{a}-{b}>{c}-{d}" for a, b, c, d in where)
+        return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, near, likeness(own, theirs), places
 
     for batch in slices(batches):
         for where, guest, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
