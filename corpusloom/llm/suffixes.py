@@ -20,9 +20,11 @@ or decided at one takes no part in the next.
 Pairs travel packed: one row holds the pairs that a batch of documents has for
 a bucket of ranks, each rank once for a batch.  So a string that a third of all
 documents share sends one pair from each batch and not one from each document,
-and no task holds more than a bucket or a batch.  Runs are told apart by 127
-bits, windows by 95 besides the bucket.  Exact copies of a whole text are found
-by digest beforehand.
+and no task holds more than a bucket or a batch.  There are fewer buckets than
+batches, so that a message holds many pairs.  Runs are told apart by 127 bits, single
+windows by their bytes.  Exact copies of a whole text are found by digest beforehand.
+A long document is ranked in segments that overlap by a window less a byte; where
+runs are cut by that, their windows are still told apart one by one.
 
 Null texts count as empty.  Documents with equal ids never remove from each
 other; a null id neither removes nor is removed from.  Texts under 50 bytes stay.
@@ -45,6 +47,8 @@ WINDOW, FIRST = 50, 24
 INNER = WINDOW - FIRST + 1
 #: Bytes of text in a batch of documents, about, and bytes that are ranked at once.
 BATCH_BYTES, CHUNK = 8 << 20, 256 << 10
+#: Bytes of text for each bucket of ranks, about.
+BUCKET_BYTES = 32 << 20
 _K = [np.uint64(k | 1) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -85,25 +89,44 @@ class Ranks:
         """The rank of the string from one window to another that it overlaps."""
         return _pair(self.whole(first) + (last - first).astype(np.uint64), self.whole(last), 3)
 
-    def second(self, at: np.ndarray) -> np.ndarray:
-        """Another 32 bits of rank for the windows at some positions, from
-        their bytes themselves."""
-        h = np.zeros(len(at), np.uint64)
-        for i, offset in enumerate((*range(0, WINDOW - 8, 8), WINDOW - 8)):
-            h = mixed(h + self.eight[at + offset] * _K[i % len(_K)] + np.uint64(i))
-        return (h >> np.uint64(32)).astype(np.uint32)
-
-
-def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Some documents at a time: their numbers, their ends, their bytes."""
-    own, size = [], 0
+    def same(self, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether the windows at two lists of positions have the same bytes."""
+        out = np.ones(len(at), bool)
+        for offset in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+            out &= self.eight[at + offset] == self.eight[other + offset]
+        return out
+
+    def groups(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the windows at some positions that brings equal bytes
+        together, and which of them in that order are the first of their kind."""
+        rank = self.whole(at)
+        order = np.argsort(rank, kind="stable")
+        new = np.ones(len(at), bool)
+        equal = rank[order][1:] == rank[order][:-1]
+        new[1:] = ~equal
+        if (equal & ~self.same(at[order][1:], at[order][:-1])).any():  # one rank for unequal bytes: sort by these
+            keys = [self.eight[at + offset] for offset in (WINDOW - 8, *range(40, -1, -8))]
+            order = np.lexsort(keys)
+            new[1:] = ~self.same(at[order][1:], at[order][:-1])
+        return order, new
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some documents at a time: their numbers, where in them the bytes begin,
+    their ends, their bytes.  A long document comes in segments."""
+    own, begin, parts, size = [], [], [], 0
     for i, t in enumerate(texts):
-        if len(t) >= WINDOW:
-            own.append(i)
-            size += len(t)
-        if own and (size >= CHUNK or i == len(texts) - 1):
-            yield np.array(own), np.cumsum([len(texts[j]) for j in own]), np.frombuffer(b"".join([texts[j] for j in own]), np.uint8)
-            own, size = [], 0
+        at = 0
+        while len(t) - at >= WINDOW:
+            part = t[at : at + CHUNK + WINDOW - 1] if len(t) > 2 * CHUNK else t
+            own.append(i), begin.append(at), parts.append(part)
+            size += len(part)
+            at += len(part) - WINDOW + 1
+            if size >= CHUNK:
+                yield np.array(own), np.array(begin), np.cumsum([len(p) for p in parts]), np.frombuffer(b"".join(parts), np.uint8)
+                own, begin, parts, size = [], [], [], 0
+    if own:
+        yield np.array(own), np.array(begin), np.cumsum([len(p) for p in parts]), np.frombuffer(b"".join(parts), np.uint8)
 
 
 def _windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +198,8 @@ class _Piece:
     """Some documents that take part, their ranks, and their runs: first and
     last window, least rank, and the document's place in the batch."""
 
-    def __init__(self, own: np.ndarray, ends: np.ndarray, raw: np.ndarray):
-        self.own, self.ends, self.raw, self.ranks = own, ends, raw, Ranks(raw)
+    def __init__(self, own: np.ndarray, begin: np.ndarray, ends: np.ndarray, raw: np.ndarray):
+        self.own, self.begin, self.ends, self.raw, self.ranks = own, begin, ends, raw, Ranks(raw)
         at, of = _windows(ends)
         least = self.ranks.least()[at]
         cut = np.ones(len(at), bool)
@@ -188,7 +211,7 @@ class _Piece:
             extra = np.concatenate([np.arange(s, s + k, INNER) for s, k in zip(start[n > INNER], n[n > INNER], strict=True)])
             start = np.union1d(start, extra)
             n = np.diff(start, append=len(at))
-        self.first, self.last, self.least, self.doc = at[start], at[start] + n - 1, least[start], own[of[start]]
+        self.first, self.last, self.least, self.doc, self.segment = at[start], at[start] + n - 1, least[start], own[of[start]], of[start]
 
     def runs(self, keep: np.ndarray, number: np.ndarray) -> np.ndarray:
         """The chosen runs as entries, unmarked."""
@@ -381,10 +404,8 @@ def _first_windows(table: pa.Table) -> pa.Table:
     e, size, batch = np.concatenate(runs).copy(), np.concatenate(sizes).astype(np.int64), np.concatenate(batch)
     ranks = Ranks(np.frombuffer(b"".join(raws), np.uint8))
     at, of = _windows(np.cumsum(size))
-    rank, more, doc = ranks.whole(at), ranks.second(at), e["doc"][of]
-    order = np.lexsort((more, rank))
-    new = np.ones(len(at), bool)
-    new[1:] = (rank[order][1:] != rank[order][:-1]) | (more[order][1:] != more[order][:-1])
+    doc = e["doc"][of]
+    order, new = ranks.groups(at)
     start = np.flatnonzero(new)
     least = np.empty(len(at), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(doc[order], start), np.diff(start, append=len(at)))
@@ -414,11 +435,11 @@ def _cut(left: pa.Table, right: pa.Table) -> Iterator[tuple[bytes, np.ndarray]]:
             at = x.first[known & (bits >> i & 1).astype(bool)] + i
             np.add.at(edge, at, 1)
             np.add.at(edge, at + WINDOW, -1)
-        touched = [x.doc[covered], x.doc[known]]
         mask = np.cumsum(edge[:-1]) > 0
-        end_of = dict(zip(x.own.tolist(), x.ends.tolist(), strict=True))
-        for j in np.unique(np.concatenate(touched)).tolist():
-            hit[j] = mask[end_of[j] - len(texts[j]) : end_of[j]]
+        for k in np.unique(np.concatenate([x.segment[covered], x.segment[known]])).tolist():
+            j, start, end = int(x.own[k]), int(x.ends[k - 1]) if k else 0, int(x.ends[k])
+            own = hit.setdefault(j, np.zeros(len(texts[j]), bool))
+            own[x.begin[k] : x.begin[k] + end - start] |= mask[start:end]
     for i, text in enumerate(texts):
         if ids[i] is not None and not part[i] and len(text) >= WINDOW:
             yield text, np.ones(len(text), bool)
@@ -463,7 +484,7 @@ def _removal(docs: DataFrame, rest: list[str], task, schema: str) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    n = max(partitions(spark), -(-total // BATCH_BYTES))
+    n, buckets = max(partitions(spark), -(-total // BATCH_BYTES)), max(partitions(spark), -(-total // BUCKET_BYTES))
     batch_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     extra = F.struct(*[F.col(c) for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
     batches = docs.select("doc_id", text.alias("text"), extra.alias("rest"), batch_of(F.coalesce("doc_id", F.xxhash64(text))).alias("batch"))  # rows without an id are spread by their texts
@@ -472,9 +493,9 @@ def _removal(docs: DataFrame, rest: list[str], task, schema: str) -> DataFrame:
     told, asked = "batch int, kind int, blob binary", "bucket int, batch int, blob binary"
     meet = lambda side, f, out: batches.groupBy("batch").cogroup(side.groupBy("batch")).applyInArrow(thrifty_pair(f), out)
     # repartitioned by itself, so that the two passes that read it share one exchange
-    not_unique = meet(firsts, _first_ranks(n), asked).groupBy("bucket").applyInArrow(thrifty(_not_unique), told)
-    first_runs = meet(firsts.unionByName(not_unique), _run_ranks(n), asked).groupBy("bucket").applyInArrow(thrifty(_first_runs), told).repartition(partitions(spark), "batch")
-    first_windows = meet(firsts.unionByName(first_runs), _run_texts(n), asked).groupBy("bucket").applyInArrow(thrifty(_first_windows), told)
+    not_unique = meet(firsts, _first_ranks(buckets), asked).groupBy("bucket").applyInArrow(thrifty(_not_unique), told)
+    first_runs = meet(firsts.unionByName(not_unique), _run_ranks(buckets), asked).groupBy("bucket").applyInArrow(thrifty(_first_runs), told).repartition(max(partitions(spark), -(-n // 16)), "batch")
+    first_windows = meet(firsts.unionByName(first_runs), _run_texts(buckets), asked).groupBy("bucket").applyInArrow(thrifty(_first_windows), told)
     return meet(firsts.unionByName(first_runs).unionByName(first_windows), task, schema)
 
 
