@@ -46,6 +46,18 @@ def test_bpe_is_the_librarys(spark, docs, odd, rows, tik):
     assert bpe.digest_documents(odd.limit(0), RANKS, queries.tokenizer_pattern()).count() == 0
 
 
+def test_bpe_stretches_parts_and_generations(monkeypatch, tik):
+    rng = random.Random(3)
+    monkeypatch.setattr(bpe, "LONG", 40)
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 5)
+    codec = bpe.BytePairCodec(bpe.read_ranks(RANKS), queries.tokenizer_pattern())
+    texts = odd_strings(300) + ["".join(rng.choice([" ", "  ", "\n", "\u2003", "\x1c", "a", "it's", "12", "é!"]) for _ in range(60)) for _ in range(300)]
+    assert [codec.encode(t) for t in texts] == [tik.encode_ordinary(t) for t in texts]
+    assert [x for x in codec.encode_all(texts)] == [tik.encode_ordinary(t) for t in texts]
+    assert any(len(list(codec.parts(t))) > 1 for t in texts)
+    assert all(codec.hits) and len(codec.pretokens.young) <= 5
+
+
 def test_bpe_ids_round_trip(odd):
     for r in bpe.encode_documents(odd, RANKS, queries.tokenizer_pattern()).collect():
         assert r.n_tokens == len(r.ids)
@@ -79,6 +91,75 @@ def test_language_odd_rows(spark, odd):
     assert {r.lang_pred for r in langid.predict_documents(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    letters = "".join(c if c.isalpha() else " " for c in f" {text} ".lower())
+    letters = " ".join(["", *letters.split(), ""]) if letters.strip() else " "
+    return [letters[i : i + n] for n in langid.ORDERS for i in range(len(letters) - n + 1)]
+
+
+def test_language_against_plain_sets(spark):
+    """The filter against sets of n-grams: what it adds are false positives, of
+    about the rate that is taken off."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = [(r.doc_id, r.text, r.lang) for r in docs.collect() if r.text and r.lang]
+    model = langid.fit(docs)
+    counts = {k: Counter(g for _, t, x in own if x == k for g in plain_ngrams(t)) for k in {x for _, _, x in own}}
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    best = {}
+    for k, c in counts.items():
+        for g, n in c.items():
+            best[g] = max(best.get(g, 0), n / total[k])
+    least = {k: min(langid.LEAST_SEEN, 1 + total[k] // langid.SEEN_EACH) for k in counts}
+    sets = {k: {g for g, n in c.items() if n / total[k] >= langid.RATE_SHARE * best[g] and n >= least[k]} for k, c in counts.items()}
+    assert model.languages == sorted(sets)
+    texts = [t for _, t, _ in own]
+    held, every, _ = model.counts(texts)
+    plain = np.array([[sum(g in sets[k] for g in plain_ngrams(t)) for k in model.languages] for t in texts])
+    assert [len(plain_ngrams(t)) for t in texts] == every.astype(int).tolist() and (held >= plain).all()
+    strange = np.random.default_rng(5).integers(0, 1 << 63, 400_000, np.int64).view(np.uint64)
+    claimed = np.array([(model.contains(strange) >> np.uint64(b) & np.uint64(1)).mean() for b in range(len(model.languages))])
+    assert np.allclose(claimed, model.false_rates(), rtol=0.3, atol=1e-4)
+    labels, _ = model.predict(texts)
+    assert np.mean([a == model.languages[b] for a, b in zip(labels, plain.argmax(axis=1), strict=True)]) > 0.99
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(120):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(40)]
+        rows += [(10 * k + i, " ".join("".join(rng.choices(letters, k=4)) for _ in range(60)), f"l{k:03}") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    labels, scores = model.predict([t for _, t, _ in rows])
+    assert labels == [x for _, _, x in rows] and scores.min() > 0.8
+
+
+def test_ties_go_to_the_first_name():
+    f = langid.LanguageFilter(["b", "c"], np.full(64, 3, np.uint64), "c")
+    assert f.predict(["some words"])[0] == ["c"]  # a full filter tells nothing
+    slots = np.zeros(1 << 14, np.uint64)
+    h, _ = langid.ngram_hashes(*langid.folded(["some words"])[:2])
+    for i in range(langid.PROBES):
+        np.bitwise_or.at(slots, (h + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1)) & np.uint64((1 << 14) - 1)).astype(np.int64), np.uint64(3))
+    assert langid.LanguageFilter(["b", "c"], slots, "c").predict(["some words"])[0] == ["b"]
+
+
+def test_long_texts_in_windows(monkeypatch, rows):
+    texts = [t or "" for _, t in rows[:40]] + ["ÀÉ, 12 \n" * 50, "a" * 500, "1" * 300, "漢 字" * 100]
+    parts = lambda: {(a, tuple(sorted(Counter(h.tolist()).items()))) for a, h in merged().items()}
+
+    def merged():
+        out = {}
+        for a, _, h, of, _ in langid.ngram_parts(texts):
+            for k in np.unique(of):
+                out[a + int(k)] = np.concatenate([out.get(a + int(k), np.zeros(0, np.uint64)), h[of == k]])
+        return out
+
+    whole = parts()
+    monkeypatch.setattr(langid, "CHUNK", 101)
+    assert parts() == whole
+
+
 def test_small_languages_keep_their_ngrams(spark):
     rng = random.Random(2)
     large = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(150_000))  # 450,000 n-grams
@@ -155,6 +236,65 @@ def test_long_line_of_tags():
     assert licenses.parse_expression("x: MIT and BSD\nGPL", 2, 10)[0] == {"mit"}
 
 
+def plain_value(text):
+    """(ids, ids to comply with, freedom) by recursive descent."""
+    tokens = text.lower().replace("(", " ( ").replace(")", " ) ").split()
+
+    def parse(level):
+        if level == 3:
+            t = tokens.pop(0)
+            if t == "(":
+                found = parse(0)
+                tokens.pop(0)
+                return found
+            return {t}, {t}, licenses.freedom(t)
+        left = parse(level + 1)
+        while tokens and tokens[0] == ("or", "and", "with")[level]:
+            tokens.pop(0)
+            right = parse(level + 1)
+            if level == 0:
+                better = left if (-left[2], len(left[1])) <= (-right[2], len(right[1])) else right
+                left = (left[0] | right[0], better[1], better[2])
+            elif level == 1:
+                left = (left[0] | right[0], left[1] | right[1], min(left[2], right[2]))
+            else:
+                both = {f"{a} with {b}" for a in left[0] for b in right[0]}
+                left = (both, both, left[2])
+        return left
+
+    return parse(0)
+
+
+def test_expressions_decide_the_result():
+    rng = random.Random(12)
+    names = ["mit", "gpl-3.0-only", "apache-2.0", "epl-2.0", "zlib", "agpl-3.0", "mpl-2.0"]
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(names)
+        a, b = expression(depth - 1), expression(depth - 1)
+        return f"({a} {rng.choice(['OR', 'AND'])} {b})" if rng.random() < 0.6 else f"{a} {rng.choice(['OR', 'AND'])} {b}"
+
+    for _ in range(300):
+        e = expression(3)
+        ids, needs, free = plain_value(e)
+        got = licenses.scan(f"SPDX-License-Identifier: {e}\n")
+        assert got[5] == ",".join(sorted(f"id:{x}" for x in ids)) and got[8] == ",".join(sorted(needs)) and got[7] == free
+        assert got[6] == pytest.approx(1 - 1 / (2 - free / 2))
+    either, both = (licenses.scan(f"SPDX-License-Identifier: MIT {op} GPL-3.0-only") for op in ("OR", "AND"))
+    assert either[5] == both[5] and either[6] < both[6] and (either[8], both[8]) == ("mit", "gpl-3.0-only,mit")
+    notices = licenses.scan("All rights reserved. MIT License")
+    assert notices[5] == "mit,reserved" and notices[6] == pytest.approx(1 - 1 / (1 + 1 + 1 - 0.95 / 2)) and notices[7:] == (0.0, "")
+    assert licenses.scan("")[6:] == (0.0, None, "")
+
+
+def test_long_texts_have_the_same_scan(monkeypatch, rows):
+    texts = [t or "" for _, t in rows] + ["a  b\n\nall rights   reserved ", "   "]
+    want = list(map(licenses.scan, texts))
+    monkeypatch.setattr(licenses, "_LONG", 0)
+    assert list(map(licenses.scan, texts)) == want
+
+
 def test_license_expression_precedence():
     assert licenses.shunting_yard("a or b and c with d".split()) == "a b c d with and or".split()
     assert licenses.parse_expression("whatever you like") is None
