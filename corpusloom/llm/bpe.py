@@ -40,6 +40,8 @@ from .common import doc_columns, slices
 MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 #: Characters of a text that are worked on at once.
 LONG = 2_000_000
+#: Rows and bytes of a slice: the larger, the fewer of its stretches are distinct.
+ROWS, BYTES = 5000, 10 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -276,7 +278,7 @@ def _task(path: str, pattern: str, digests: bool):
 
         kinds = [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
         names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS, BYTES):
             counts, *rest = (digest if digests else whole)(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *map(pa.array, rest, kinds)], ["doc_id", "n_tokens", *names])
 

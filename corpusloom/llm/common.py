@@ -82,7 +82,7 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a task in parts of bounded numbers and bytes; when they end,
     free memory goes back."""
     try:
@@ -94,7 +94,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, upto = 0, np.cumsum(size)
             while at < batch.num_rows:
                 before = upto[at - 1] if at else 0
-                n = max(1, min(SLICE_ROWS, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")) - at))
+                n = max(1, min(rows, int(np.searchsorted(upto, before + most, side="right")) - at))
                 yield batch.slice(at, n)
                 at += n
     finally:
