@@ -7,22 +7,27 @@ divided by the item's score against itself, so a score is the share of an item
 passage of every document is a query: windows of twice the longest item, moved
 on by half a window, so that an item always lies whole in one of them.  Items of
 more than ``MOST_STEP`` words are indexed apart, by powers of two of their length,
-so that each has windows of its own size.  First the bounds of all passages of a batch against all blocks are summed at once; a passage
-with a block at or above the threshold goes through the WAND loop, which returns
-*all* items at or above it.  A pair stands if the passage holds enough of the
+so that each has windows of its own size.  The tests of WAND come in their order, but
+for all passages of a batch at once: first the sum of the terms' greatest impacts,
+then, where that reaches the threshold, the sums of the block bounds; a passage with
+a block at or above the threshold goes through the WAND loop, which returns *all* items
+at or above it.  A pair stands if the passage holds enough of the
 question's five-grams and of the answer's words.  The answer is the item's last
 sentence, the question what comes before; an item of one sentence has no answer,
 which then counts as held.
 
 The index is bounded by ``INDEX_BYTES``; a larger benchmark is searched block
-after block of items, with document frequencies of the whole benchmark.  Null
-texts have no passages; null, empty or wordless items match nothing; repeated
-items are searched each, and one row comes out for a document and item id.  Items
-without an id are told apart by their texts, with a row each.
+after block of items, with document frequencies of the whole benchmark, and only
+one block's index is held at a time.  Null texts have no passages; null, empty or
+wordless items match nothing.  One row, the best, comes out for a document (id and
+text, however often it is repeated) and item id, however many texts the id stands on
+and whatever the blocks are.  Items without an id are told apart by their texts, with
+a row each.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, slices, where_text
+from .common import doc_columns, durable, slices, where_text
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs; of the question's
@@ -75,6 +80,7 @@ class Index:
     """Items, postings by term number, and block bounds."""
 
     ids: list
+    texts: list[str]
     vocabulary: dict[bytes, int]
     postings: list[tuple[list[int], list[float]]]
     bounds: np.ndarray  # term, block
@@ -108,7 +114,7 @@ def build(items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_wo
             bounds[t, d // block] = max(bounds[t, d // block], np.nextafter(np.float32(x), np.float32(2)))
     split = [question_and_answer(t) for _, t, _ in kept]
     step = max([LEAST_STEP, *(len(ws) for _, _, ws in kept)])
-    return Index([i for i, _, _ in kept], vocabulary, postings, bounds, [max(xs) for _, xs in postings], own, [grams(q) for q, _ in split], [Counter(a) for _, a in split], step, block)
+    return Index([i for i, _, _ in kept], [t if i is None else "" for i, t, _ in kept], vocabulary, postings, bounds, [max(xs) for _, xs in postings], own, [grams(q) for q, _ in split], [Counter(a) for _, a in split], step, block)
 
 
 def by_length(items: list[tuple]) -> list[list[tuple]]:
@@ -224,12 +230,18 @@ def _find_some(index: Index, own: list[tuple[int, list[bytes]]]) -> Iterator[tup
         return
     passage, term = key // width, key % width
     start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    most = np.zeros(len(start), np.float32)
-    for b in range(index.bounds.shape[1]):
-        np.maximum(most, np.add.reduceat(index.bounds[:, b][term], start), out=most)
     ends = np.append(start, len(key))
+    alive = np.flatnonzero(np.add.reduceat(index.bounds.max(axis=1)[term], start) >= SCORE - 1e-4)
+    if not len(alive):
+        return
+    size = (ends[1:] - start)[alive]
+    first = np.cumsum(size) - size
+    own_term = term[np.arange(size.sum()) - np.repeat(first, size) + np.repeat(start[alive], size)]
+    most = np.zeros(len(alive), np.float32)
+    for b in range(index.bounds.shape[1]):
+        np.maximum(most, np.add.reduceat(index.bounds[:, b][own_term], first), out=most)
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for k in np.flatnonzero(most >= SCORE - 1e-4):
+    for k in alive[most >= SCORE - 1e-4]:
         p = int(passage[start[k]])
         i = int(np.searchsorted(base, p, side="right") - 1)
         hits = search(index, term[ends[k] : ends[k + 1]].tolist())
@@ -246,9 +258,9 @@ def _find_some(index: Index, own: list[tuple[int, list[bytes]]]) -> Iterator[tup
         yield own[i][0], d, score, question, answer
 
 
-def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+def indexes(benchmark: DataFrame) -> Iterator[tuple[list[Index], int]]:
     """The benchmark's index in blocks of bounded text, each a few indexes of
-    items of like length.
+    items of like length, with the number of blocks.
 
     Only one block of items, and its words' frequencies, is on the driver at a
     time; frequencies and lengths are counted by Spark over the whole benchmark.
@@ -271,11 +283,13 @@ def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
     if not n:
         return
     by_word = counted.groupBy("word").agg(F.count("*").alias("n"), F.collect_set("block").alias("blocks"))
+    if blocks > 1:  # read once for each block
+        by_word, items = durable(by_word), durable(items)
     for b in range(blocks):
         frequency = {bytes(r.word): r.n for r in by_word.where(F.array_contains("blocks", b)).select("word", "n").collect()}
         rows = sorted({(r.item_id, r.text) for r in items.where(F.col("block") == b).collect()}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         classes = by_length(rows)
-        yield [build(own, frequency, n, mean, len(classes)) for own in classes]
+        yield [build(own, frequency, n, mean, len(classes)) for own in classes], blocks
 
 
 SCHEMA = "doc_id long, item_id long, score double, bm25 double, question_overlap double, answer_overlap double"
@@ -284,30 +298,34 @@ SCHEMA = "doc_id long, item_id long, score double, bm25 double, question_overlap
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and test item it holds."""
     docs, out = doc_columns(docs), None
-    for group in indexes(benchmark):
+    for group, blocks in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], group: list[Index] = group) -> Iterator[pa.RecordBatch]:
-            kinds = [pa.int64()] * 2 + [pa.float64()] * 4
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()] + [pa.float64()] * 4
+            digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             for batch in slices(batches):
-                ids, best = batch.column(0), {}
-                for i, index, d, score, q, a in find(group, batch.column(1).to_pylist()):
+                ids, texts = batch.column(0), batch.column(1).to_pylist()
+                rows = []
+                for i, index, d, score, q, a in find(group, texts):
                     item = index.ids[d]
-                    key = (i, item, None if item is not None else (index.step, d))
-                    best[key] = max(best.get(key, ()), (score, score * index.own[d], q, a))
-                rows = [(ids[i].as_py(), item, *x) for (i, item, _), x in best.items()]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+                    rows.append((ids[i].as_py(), digest(texts[i]), item, digest(index.texts[d]) if item is None else None, score, score * index.own[d], q, a))
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "of", "item_id", "item", "score", "bm25", "question_overlap", "answer_overlap"])
 
-        found = docs.mapInArrow(run, SCHEMA)
+        found = docs.mapInArrow(run, "doc_id long, of binary, item_id long, item binary, score double, bm25 double, question_overlap double, answer_overlap double")
+        found = durable(found) if blocks > 1 else found  # so that the next block's index is the only one
         out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+    if out is None:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    best = F.max(F.struct("score", "bm25", "question_overlap", "answer_overlap")).alias("best")
+    return out.groupBy("doc_id", "of", "item_id", "item").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns.
 
     The search runs inside the filter, so no rows are shuffled."""
-    for group in indexes(benchmark):
+    for group, _ in indexes(benchmark):
         docs = where_text(docs, _free_of(group))
     return docs
 
