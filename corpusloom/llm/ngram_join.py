@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,9 @@ CHUNK, BLOCK_SHINGLES, BLOCK_NODES = 512 << 10, 400_000, 1500
 #: A component is split into so many blocks, unless they had fewer nodes than
 #: this or more than above: its pairs of blocks then keep many tasks busy.
 BLOCKS, LEAST_BLOCK_NODES = 16, 250
+#: Bits for each member of a component in the filter that keeps other texts out of
+#: the shuffle, and bits of the filter at most (8 MB): beyond, it lets more through.
+BITS_EACH, MOST_BITS = 16, 1 << 26
 
 _IS_WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -76,16 +80,41 @@ def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), start, side="right")
 
 
+_BLANK = re.compile(r"[ \t\n]")
+
+
+def _long_set(text: str) -> np.ndarray:
+    """The set of a long text, window after window, cut at blanks."""
+    found, tail, at = [], np.zeros(0, np.uint64), 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + CHUNK)
+        end = blank.start() if blank else len(text)
+        words = np.concatenate([tail, _word_hashes([text[at:end]])[0]])
+        if len(words) >= WORDS:
+            h = np.zeros(len(words) - WORDS + 1, np.uint64)
+            for k in range(WORDS):
+                h += words[k : k + len(h)] * _PLACE[k]
+            found.append(np.unique(mixed(h)))
+        tail, at = words[-(WORDS - 1) :], end
+        if len(found) > 32:
+            found = [np.unique(np.concatenate(found))]
+    return np.unique(np.concatenate(found)) if found else _some_sets([text])[0]
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted set of shingle hashes of each text."""
     out: list[np.ndarray] = []
     start = size = 0
     for i, t in enumerate(texts):
+        if len(t) > 4 * CHUNK:
+            out += [*(_some_sets(texts[start:i]) if start < i else []), _long_set(t)]
+            start, size = i + 1, 0
+            continue
         size += len(t)
-        if size >= CHUNK or i == len(texts) - 1:
+        if size >= CHUNK:
             out += _some_sets(texts[start : i + 1])
             start, size = i + 1, 0
-    return out
+    return out + (_some_sets(texts[start:]) if start < len(texts) else [])
 
 
 def _some_sets(texts: list[str]) -> list[np.ndarray]:
@@ -228,13 +257,30 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(counts, pa.int64())], ["u", "v", "links"])
 
 
-RESULT = ("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
-
-
 def _text_hash(text: str = "text"):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _likely(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows (doc_id, text, hash) of ``docs`` that may be members (id, h): all
+    of these, and of the others those that a filter of bounded size lets through."""
+    spark = docs.sparkSession
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(6, (members.count() * BITS_EACH).bit_length()))
+    place = lambda i, h: F.pmod(F.xxhash64(h, i), F.lit(bits)).alias("place")
+    words = members.select(place("id", "h")).select(F.floor(F.col("place") / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    there = np.zeros(bits // 64, np.uint64)
+    there[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(there)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at = batch.column(3).to_numpy(zero_copy_only=False)
+            held = shared.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)
+            yield batch.select([0, 1, 2]).filter(pa.array(held.astype(bool)))
+
+    return docs.select("doc_id", "text", "hash", place("doc_id", "hash")).mapInArrow(run, "doc_id long, text string, hash long")
+
+
 def _sets_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, hash, set_key, n), and the sets (set_key, class_id,
     n_links, n_copies, first): ``first`` is the id and text hash of the row that
@@ -254,7 +300,9 @@ def _sets_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = components(candidates).join(nodes.select("node", "set_key", "n", "row"), "node")
     sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / F.least(F.lit(BLOCK_NODES), F.greatest(F.lit(LEAST_BLOCK_NODES), F.count("*") / BLOCKS)))).cast("int").alias("blocks"))
     members = groups.join(sizes, "component").select(F.col("row.doc_id").alias("id"), F.col("row.hash").alias("h"), "node", "set_key", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    one = docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").distinct())
+    # rows without an id may repeat a text, which is then sent once
+    likely = _likely(docs, members)
+    one = likely.where("doc_id is not null").unionByName(likely.where("doc_id is null").distinct())
     texts = one.join(members, one.doc_id.eqNullSafe(members.id) & (one.hash == members.h)).select("text", "set_key", "node", "component", "blocks", "block")
     sets = texts.mapInArrow(_sets, "shingles binary, node long, component long, blocks int, block int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
