@@ -11,6 +11,9 @@ one piece.
 
 A blank becomes U+2581; words are split before each U+2581 and one is put in
 front of a text that has none there.  Null counts as empty: no pieces, score 0.
+
+A long word keeps the last places only that a piece can reach back to, and a long
+text is worked through in parts cut at blanks, so memory is bounded by neither.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Entries of the per-worker memo of words, and the longest word kept in it.
 MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
+#: Characters of a word beyond which its places are kept in a ring; of a text that
+#: are split at once.
+LONG_WORD, LONG = 4096, 2_000_000
 
 
 def read_pieces(path: str) -> tuple[dict[str, float], bool]:
@@ -60,29 +66,37 @@ class UnigramCounter:
             self.matcher.add_word(piece, (len(piece), score))
         if pieces:
             self.matcher.make_automaton()
+        self.longest = max(map(len, pieces), default=1)
         self.memo = _Memo(self._word)
 
     def count_word(self, word: str) -> tuple[float, int]:
-        """The dynamic programme over one word."""
+        """The dynamic programme over one word.
+
+        Matches come by their ends, the longest first, so at a place the candidate
+        of the earliest start comes first."""
         n = len(word)
-        by_start: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if len(self.matcher):
-            for end, (length, score) in self.matcher.iter(word):
-                by_start[end - length + 1].append((end + 1, score))
-        best, count = [None] * (n + 1), [0] * (n + 1)
-        run = [False] * (n + 1)  # the best way ends with an unknown character
-        best[0] = 0.0
-        for i, ways in enumerate(by_start):
-            here, so_far, single = best[i], count[i] + 1, False
-            for j, score in ways:  # ends ascend, so short pieces come first
-                if best[j] is None or here + score > best[j]:
-                    best[j], count[j], run[j] = here + score, so_far, False
-                single |= j == i + 1
-            if not single and (best[i + 1] is None or here + self.unknown > best[i + 1]):
-                best[i + 1] = here + self.unknown
-                count[i + 1] = count[i] + (len(word[i].encode("utf-8", "surrogatepass")) if self.byte_pieces else not run[i])
-                run[i + 1] = True
-        return best[n], count[n]
+        size = n + 1 if n <= LONG_WORD else self.longest + 1
+        best, count = [0.0] * size, [0] * size
+        run = [False] * size  # the best way ends with an unknown character
+        found = self.matcher.iter(word) if len(self.matcher) else iter(())
+        end, match = next(found, (-1, None))
+        for j in range(n):  # ways that end with the character j
+            top, so_far, alone, single = None, 0, False, False
+            while end == j:
+                length, score = match
+                i = (j + 1 - length) % size
+                if top is None or best[i] + score > top:
+                    top, so_far = best[i] + score, count[i] + 1
+                single |= length == 1
+                end, match = next(found, (-1, None))
+            if not single:
+                i = j % size
+                if top is None or best[i] + self.unknown > top:
+                    top, alone = best[i] + self.unknown, True
+                    so_far = count[i] + (len(word[j].encode("utf-8", "surrogatepass")) if self.byte_pieces else not run[i])
+            k = (j + 1) % size
+            best[k], count[k], run[k] = top, so_far, alone
+        return best[n % size], count[n % size]
 
     def _word(self, word: str) -> tuple[float, int]:
         found = self.count_word(word)
@@ -94,13 +108,17 @@ class UnigramCounter:
 
     def count(self, text: str) -> tuple[int, float, int]:
         """Pieces, score and words of a text."""
-        text = text.replace(" ", BLANK)
-        if not text:
-            return 0, 0.0, 0
-        if text[0] == BLANK:
-            text = text[1:]
-        found = [self.memo[BLANK + w] for w in text.split(BLANK)]
-        return sum(n for _, n in found), sum(s for s, _ in found), len(found)
+        pieces, score, words = 0, 0.0, 0
+        at = int(text[:1] in (" ", BLANK))
+        while text:
+            end = at + LONG  # and on to the next blank
+            end = min((i for i in (text.find(" ", end), text.find(BLANK, end)) if i >= 0), default=len(text)) if end < len(text) else len(text)
+            found = [self.memo[BLANK + w] for w in text[at:end].replace(" ", BLANK).split(BLANK)]
+            pieces, score, words = pieces + sum(n for _, n in found), sum((s for s, _ in found), score), words + len(found)
+            if end == len(text):
+                break
+            at = end + 1
+        return pieces, score, words
 
 
 @lru_cache(maxsize=2)
