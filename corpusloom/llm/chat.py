@@ -7,10 +7,12 @@ number of ``\\``, ``|`` gets one more ``\\``), so they stay ordinary text.  The
 rendering is encoded once with offsets; token spans meet the sorted spans of
 assistant texts by binary search, which gives the loss mask.
 
-Rows are ordered by turn; ties by role, then text.  Null roles and texts are
-empty.  Conversations come sorted to their tasks and are worked on in blocks of
-whole turns, so memory is bounded by ``BLOCK`` and the longest turn, not by the
-longest conversation.
+Rows are ordered by turn; ties by role, then text; repeated rows are turns of
+their own.  Null roles and texts are empty.  A null conv_id is a conversation too.
+Conversations come sorted to their tasks and are worked on in blocks of whole turns,
+and a block longer than ``BLOCK`` (one long turn) is encoded in parts cut between
+words, where no token reaches across, so memory follows neither the longest
+conversation nor, but for a few numbers a token, the longest turn.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from .common import partitions, slices
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Characters after which a block of whole turns is encoded.
 BLOCK = 1_000_000
+#: Bytes of text in a partition, about.
+PARTITION_BYTES = 32 << 20
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.S)
 
@@ -66,16 +71,32 @@ def tokenizer(path: str):
     return t
 
 
-def encode_block(rendered: str, path: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+#: A place that no token of a byte-level tokenizer reaches across.
+_BETWEEN = regex.compile(r"(?<=\p{L})(?=[ \n]\p{L})")
+
+
+def _parts(rendered: str) -> Iterator[tuple[int, str]]:
+    at = 0
+    while len(rendered) - at > 2 * BLOCK and (found := _BETWEEN.search(rendered, at + BLOCK)):
+        yield at, rendered[at : found.start()]
+        at = found.start()
+    yield at, rendered[at:]
+
+
+def encode_block(rendered: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, token spans (code points) and loss mask of a rendered block."""
     spans = np.array([m.span(2) for m in _TURN.finditer(rendered) if unescape(m[1]) == "assistant"], np.int64).reshape(-1, 2)
-    e = tokenizer(path).encode(rendered, add_special_tokens=False)
-    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+    ids, offsets = [], []
+    for at, part in _parts(rendered):
+        e = tokenizer(path).encode(part, add_special_tokens=False)
+        ids.append(np.array(e.ids, np.int32))
+        offsets.append(np.array(e.offsets, np.int64).reshape(-1, 2) + at)
+    ids, offsets = np.concatenate(ids), np.concatenate(offsets)
     k = np.searchsorted(spans[:, 0], offsets[:, 0], side="right") - 1
     mask = (k >= 0) & (offsets[:, 1] > offsets[:, 0])
     if len(spans):
         mask &= offsets[:, 1] <= spans[np.maximum(k, 0), 1]
-    return e.ids, offsets, mask
+    return ids, offsets, mask
 
 
 def loss_texts(rendered: str, offsets: np.ndarray, mask: np.ndarray) -> list[str]:
@@ -108,7 +129,8 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
 
 def _sorted_turns(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    n = partitions(conversations.sparkSession)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = max(partitions(conversations.sparkSession), -(-size // PARTITION_BYTES))
     return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
 
