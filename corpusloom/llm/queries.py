@@ -1,8 +1,8 @@
 """The queries of the training-data operators, by name.
 
 Each applies one operator with its production parameters to its whole table.
-None has an SQL oracle: they are tested against brute force, round trips and
-held-out accuracy in ``tests/llm``.
+Three have an SQL oracle, that is a brute-force version in DuckDB; all are tested
+against brute force, round trips, libraries and held-out accuracy in ``tests/llm``.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     own = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return chat.digest_conversations(own.unionByName(extra), tokenizer_file("byte_bpe_50k.json"))
+    return chat.digest_conversations(own.unionByName(extra), tokenizer_file("byte_bpe_50k.json")).drop("n_tokens", "loss_tokens")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,37 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
 
+_SHINGLES = """t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM t),
+k AS (SELECT doc_id, md5(array_to_string(g, '|')) AS k, len(g) AS n, g FROM s WHERE len(g) > 0),
+sets AS (SELECT k, min(doc_id) AS least, count(*) AS n_copies, any_value(n) AS n, any_value(g) AS g FROM k GROUP BY k),
+flat AS (SELECT least AS u, n, hash(unnest(g)) AS h FROM sets)"""
+
+_OP2 = f"""WITH RECURSIVE {_SHINGLES},
+pairs AS (SELECT a.u, b.u AS v FROM flat a JOIN flat b ON a.h = b.h AND a.u <> b.u GROUP BY a.u, b.u, a.n, b.n HAVING 1000 * count(*) >= 800 * (a.n + b.n - count(*))),
+reach AS (SELECT u, v FROM pairs UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON p.u = r.v),
+c AS (SELECT u, least(u, min(v)) AS class_id FROM reach GROUP BY u), l AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+SELECT s.doc_id, coalesce(c.class_id, x.least, s.doc_id) AS class_id, coalesce(l.n, 0) AS n_links, coalesce(x.n_copies, 1) AS n_copies, len(s.g) AS n_shingles
+FROM s LEFT JOIN k USING (doc_id) LEFT JOIN sets x ON x.k = k.k LEFT JOIN c ON c.u = x.least LEFT JOIN l ON l.u = x.least"""
+
+_OP7 = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+r AS (SELECT *, len(regexp_extract_all(role, '<\\\\*\\|')) + len(regexp_extract_all(text, '<\\\\*\\|')) + length(role) + length(text) + length('<|im_start|><|im_sep|><|im_end|>') + 1 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars FROM r GROUP BY conv_id"""
+
+_OP8 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d)),
+f AS (SELECT w, min(doc_id) AS first FROM w GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM w JOIN f USING (w) WHERE first < doc_id),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit) GROUP BY doc_id, k),
+kept AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM span GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda i: substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * b[i] + 1 END, CASE WHEN i = len(a) THEN 2 * d.n ELSE 2 * a[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE 2 * b[i] END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of these operators can be put into SQL whole."""
-    return {}
+    """DuckDB SQL of the operators that it can express whole."""
+    return {"op2_ngram_join": _OP2, "op7_chat_format": _OP7, "op8_suffix_dedup": _OP8}
