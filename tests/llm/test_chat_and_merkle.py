@@ -54,6 +54,16 @@ def test_blocks_do_not_change_digests(monkeypatch):
     assert texts == ["c\n"] * 20
 
 
+def test_a_long_turn_is_encoded_in_parts(monkeypatch):
+    rng = random.Random(5)
+    text = "".join(rng.choice(["word ", "é漢字", "\n", "  ", "it's", " 12", "<|x"]) for _ in range(900))
+    rendered = chat.render([("user", "hello there"), ("assistant", text), ("assistant", "漢字" * 400)])
+    whole = chat.encode_block(rendered, JSON)
+    monkeypatch.setattr(chat, "BLOCK", 50)
+    assert len(list(chat._parts(rendered))) > 5
+    assert all((a == b).all() for a, b in zip(whole, chat.encode_block(rendered, JSON), strict=True))
+
+
 def test_query_has_the_extra_conversation(spark):
     got = {r.conv_id: r for r in queries.op7_chat_format(spark, "/root/testdata/sf0.001").collect()}
     assert tuple(got[-1])[1:5] == plain([("user", SAID), ("assistant", SAID)])

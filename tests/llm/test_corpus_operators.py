@@ -53,12 +53,39 @@ def planted(seed=4):
 
 def test_removal_against_brute_force(spark, docs, odd, rows):
     plant = spark.createDataFrame(planted(), "doc_id long, text string")
-    short = [(i, t) for i, t in ODD if i != 8]
-    for df, own in ((docs, rows), (plant, planted()), (odd.where("doc_id is null or doc_id != 8"), short)):
+    for df, own in ((docs, rows), (plant, planted()), (odd, ODD)):
         assert Counter(tuple(r) for r in suffixes.removal_digests(df).collect()) == brute_removal(own)
     assert suffixes.removal_digests(odd.limit(0)).count() == 0
 
 
+def test_long_documents_in_segments(spark, monkeypatch):
+    rng = random.Random(6)
+    long = "".join(rng.choice("ab \n") for _ in range(4000))
+    rows = [(1, "x" * 700), (2, long[500:900]), (3, long), (4, long[:2500] + "!" + long[2500:]), (5, "ab" * 600), (6, "ba" * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffixes, "CHUNK", 130)
+    assert len(list(suffixes._chunks([long.encode()]))) > 10
+    assert Counter(tuple(r) for r in suffixes.removal_digests(df).collect()) == brute_removal(rows)
+
+
+def test_windows_of_one_rank_are_told_apart(monkeypatch):
+    raw = np.frombuffer(b"".join(bytes([x]) * 60 for x in b"abcab"), np.uint8)
+    at = np.array([0, 60, 120, 180, 240, 5, 65])
+    ranks = suffixes.Ranks(raw)
+
+    def kinds():
+        order, new = ranks.groups(at)
+        out = [set() for _ in range(new.sum())]
+        for i, k in zip(order.tolist(), np.cumsum(new) - 1, strict=True):
+            out[k].add(int(at[i]))
+        return sorted(map(sorted, out))
+
+    want = [[0, 5, 180], [60, 65, 240], [120]]
+    assert kinds() == want
+    monkeypatch.setattr(suffixes.Ranks, "whole", lambda self, at: np.zeros(len(at), np.uint64))
+    assert kinds() == want
+
+
 def test_removal_is_the_same_in_many_batches(spark, monkeypatch):
     df = spark.createDataFrame(planted(), "doc_id long, text string")
     monkeypatch.setattr(suffixes, "BATCH_BYTES", 300)
@@ -168,6 +195,43 @@ def test_rows_without_an_id_take_part(spark):
     assert got == Counter({(None, 10, 2, 2): 2, (None, 10, 2, 1): 1, (10, 10, 2, 1): 1, (None, None, 1, 1): 1, (None, None, 1, 2): 2, (None, None, 0, 1): 2})
 
 
+def test_recall_on_the_corpus(spark):
+    """Every document whose id is divisible by 100 against all documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect()}
+    sets = {}
+    for i, s in own.items():
+        sets.setdefault(s, []).append(i)
+    links = same = found = 0
+    for q in (i for i in own if i % 100 == 0 and own[i]):
+        near = [ids for s, ids in sets.items() if s and s != own[q] and 1000 * len(s & own[q]) >= 800 * len(s | own[q])]
+        links += len(near)
+        found += min(got[q][1], len(near))
+        same += sum(got[ids[0]][0] == got[q][0] for ids in near)
+        assert got[q][1] <= len(near)
+    assert found >= 0.99 * links and same >= 0.99 * links
+
+
+def test_long_texts_have_the_same_sets(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(f"Wörd{rng.randrange(300)}," for _ in range(3000))
+    want = ngram_join.shingle_sets(["a b", text, "x" * 900, "", text[:50]])
+    monkeypatch.setattr(ngram_join, "CHUNK", 60)
+    got = ngram_join.shingle_sets(["a b", text, "x" * 900, "", text[:50]])
+    assert len(got) == len(want) == 5 and all((a == b).all() and len(a) == len(b) for a, b in zip(got, want, strict=True))
+
+
+def test_members_pass_the_filter(spark, monkeypatch):
+    docs = spark.createDataFrame([(i if i % 7 else None, f"text {i}") for i in range(2000)], "doc_id long, text string").selectExpr("*", "xxhash64(text) as hash")
+    members = docs.where("hash % 10 = 0").selectExpr("doc_id as id", "hash as h")
+    want = {tuple(r) for r in members.collect()}
+    for most in (1 << 26, 1 << 6):
+        monkeypatch.setattr(ngram_join, "MOST_BITS", most)
+        got = {(r.doc_id, r.hash) for r in ngram_join._likely(docs, members).collect()}
+        assert want <= got and (most == 1 << 6 or len(got) < len(want) + 250)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= ngram_join.MOST_HASHES
@@ -245,6 +309,69 @@ def test_long_items_are_found_at_any_offset(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()} == {-1, -2, -3}
 
 
+@pytest.mark.parametrize("size", [8 << 20, 40])
+def test_one_row_for_an_id_of_many_texts(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+    own, _ = items()
+    texts = [t for _, t in own[:6]]
+    bench = spark.createDataFrame([(1, t) for t in texts] + [(2, texts[0]), (2, texts[0])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(texts)), (2, texts[5]), (2, texts[5]), (3, "nothing")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter([(1, 1), (1, 2), (2, 1)])
+    assert all(r.score > 0.99 for r in got)
+
+
+def plain_contamination(docs, bench):
+    """Every passage against every item: BM25 shares, then both overlaps."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    kept = [(i, words(t), t) for i, t in bench if words(t)]
+    df = Counter(w for _, ws, _ in kept for w in set(ws))
+    mean = sum(len(ws) for _, ws, _ in kept) / len(kept)
+    step = max(64, *(len(ws) for _, ws, _ in kept))
+    out = {}
+    for item, ws, text in kept:
+        norm = 1.2 * (0.25 + 0.75 * len(ws) / mean)
+        weight = {w: np.log(1 + (len(kept) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + norm) for w, n in Counter(ws).items()}
+        total = sum(weight.values())
+        parts = [words(p) for p in re.split(r"(?<=[.!?])\s+|\n+", text) if words(p)]
+        q, a = ([w for p in parts[:-1] for w in p], parts[-1]) if len(parts) > 1 else (parts[0], [])
+        grams = lambda own, n: {tuple(own[k : k + n]) for k in range(max(1, len(own) - n + 1))}
+        n = min(5, len(q))
+        for doc, t in docs:
+            ds = words(t)
+            for at in range(0, max(1, len(ds)), step):
+                p = ds[at : at + 2 * step]
+                held = set(p)
+                score = sum(x for w, x in weight.items() if w in held) / total
+                if score < 0.6 - 1e-9:
+                    continue
+                wanted = grams(q, 5)
+                question = len(wanted & grams(p, n)) / len(wanted)
+                answer = sum((Counter(a) & Counter(p)).values()) / len(a) if a else 1.0
+                if question >= 0.5 and answer >= 0.6:
+                    out[doc, item] = max(out.get((doc, item), ()), (score, score * total, question, answer))
+    return out
+
+
+def test_query_against_plain_search(spark, docs, rows):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items_ = [(r.item_id, r.text) for r in bench.collect()]
+    rng = random.Random(4)
+    near = []
+    for n, (_, t) in enumerate(items_):  # items with some words changed, about the thresholds
+        ws = t.split(" ")
+        for k in rng.sample(range(len(ws)), min(len(ws), len(ws) * (n % 6) // 10)):
+            ws[k] = "other"
+        near.append((100_000 + n, " ".join(ws)))
+    both = rows + near
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    want = plain_contamination(both, items_)
+    got = {(r.doc_id, r.item_id): (r.score, r.bm25, r.question_overlap, r.answer_overlap) for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == set(want) and len(want) > 15
+    for k, x in got.items():
+        assert x == pytest.approx(want[k], abs=1e-6)
+
+
 @pytest.mark.parametrize("size", [8 << 20, 60])
 def test_items_without_an_id_are_found(spark, monkeypatch, size):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)

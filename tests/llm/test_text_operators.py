@@ -317,6 +317,58 @@ def test_quality_odd_rows(spark, odd):
     assert quality.score_documents(odd.limit(0), labels).count() == 0
 
 
+def test_quality_lines(spark, monkeypatch):
+    """Labels, marginals and scores against a plain pass over each document."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(docs, labels)
+    assert abs(model.trans[0, 1] + model.trans[1, 0] - model.trans[0, 0] - model.trans[1, 1]) > 1e-3
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    some = sorted(texts)[:40]
+    got = {}
+    for r in quality.label_lines(docs, model).collect():
+        got.setdefault(r.doc_id, {})[r.line] = (r.good, r.marginal)
+    scores = {r.doc_id: (r.score, r.n_lines, r.n_good) for r in quality.score_documents(docs, labels).collect()}
+    for i in some:
+        lines = texts[i].split("\n")
+        own = quality.line_features(lines)
+        rows = [np.concatenate([own[k], own[k - 1] if k else 0 * own[k], own[k + 1] if k + 1 < len(own) else 0 * own[k], [k == 0, k == len(own) - 1]]) for k in range(len(own))]
+        emit = np.array([((x - model.mean) / model.scale) @ model.weights + model.bias for x in rows])
+        m, s = emit.copy(), emit.copy()  # messages from the left, from the right
+        m[0] += model.start
+        for k in range(1, len(lines)):
+            m[k] = [emit[k, b] + np.logaddexp.reduce(m[k - 1] + model.trans[:, b]) for b in range(2)]
+        for k in range(len(lines) - 2, -1, -1):
+            s[k] = [emit[k, a] + np.logaddexp.reduce(model.trans[a] + s[k + 1]) for a in range(2)]
+        p = m + s - emit + (np.arange(len(lines)) == -1)[:, None]
+        marginal = np.exp(p[:, 1] - np.logaddexp(p[:, 0], p[:, 1]))
+        assert np.allclose([got[i][k][1] for k in range(len(lines))], marginal, atol=1e-6)
+        weight = np.array([len(x) + 1 for x in lines])
+        good = np.clip((marginal * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+        a, b = model.curve
+        assert scores[i][0] == pytest.approx(1 / (1 + np.exp(-(a * np.log(good / (1 - good)) + b))), abs=1e-6)
+        assert scores[i][1:] == (len(lines), sum(g for g, _ in got[i].values()))
+    monkeypatch.setattr(quality, "BLOCK_LINES", 3)
+    monkeypatch.setattr(quality, "LONG_LINE", 5)
+    for i in some:
+        assert np.allclose(model.score([texts[i]]), scores[i][0], atol=1e-6)
+
+
+def test_transitions_learn_what_follows():
+    """Bad lines come in pairs inside good documents: the field learns it."""
+    rng = random.Random(1)
+    good = lambda: " ".join(rng.choice(["river", "stone", "walks", "slowly"]) for _ in range(8)) + "."
+    bad = lambda: "$$ " + "!" * rng.randint(5, 9) + " " + "#" * 4
+    texts, labels = [], []
+    for n in range(120):
+        y = n % 2
+        lines = [(bad if (k // 2) % 4 == 3 else good)() if y else (good if (k // 2) % 4 == 3 else bad)() for k in range(16)]
+        texts.append("\n".join(lines))
+        labels.append(y)
+    model = quality.fit(texts, labels)
+    marginal, _ = next(model.label([texts[1]]))
+    assert ((marginal >= 0.5) == np.array([(k // 2) % 4 != 3 for k in range(16)])).all()
+
+
 def test_forward_backward_against_all_paths():
     from itertools import product
 
@@ -361,6 +413,16 @@ def test_token_counts_are_the_librarys(docs, odd, rows):
     assert got == {(i, counter.count(t or "")[0]) for i, t in ODD}
 
 
+def test_token_counts_of_long_words_and_texts(monkeypatch):
+    counter = token_counts.counter_at(PIECES)
+    texts = ["a b  c ", " ", "", "x" * 300, "the quick " * 40, "漢字" * 50 + " é" * 9, " lead"]
+    want = [counter.count(t) for t in texts]
+    monkeypatch.setattr(token_counts, "LONG", 3)
+    monkeypatch.setattr(token_counts, "LONG_WORD", 1)
+    fresh = token_counts.UnigramCounter(*token_counts.read_pieces(PIECES))
+    assert [fresh.count(t) for t in texts] == want
+
+
 def test_token_counts_ties_and_unknowns():
     def best(word, pieces, unknown):
         ways = {0: (0.0, 0)}
