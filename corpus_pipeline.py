@@ -59,11 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; what a stage
+    wrote is deleted when the next one has written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     folder = common.shared_folder(spark)
     for name, stage in STAGES[:-1]:
         path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.drop_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
