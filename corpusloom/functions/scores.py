@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import strip
+
 #: Calibration of raw cosines, and the reward's weights.
 LOW, HIGH = 0.0597, 0.8192
 WEIGHTS = (0.6, 0.3, 0.1)
@@ -60,8 +62,9 @@ def normalised(v: Column) -> Column:
 def completeness(n_words: Column, text: Column) -> Column:
     """Reward of a story's length, 0 unless it ends with its end mark."""
     over = 1 - F.sqrt(F.greatest(n_words - 1600, F.lit(0)) / 1500.0)
-    length = F.when((F.length(F.trim(text)) == 0) | (n_words < 500), 0.0).when(n_words < 1200, n_words / 1200.0).when(n_words <= 1600, 1.0).otherwise(F.greatest(F.lit(0.0), over))
-    return F.when(F.rtrim(text).rlike(r"(?i)THE\s?END[.!]*$"), length).otherwise(0.0)
+    text = strip(text)
+    length = F.when((F.length(text) == 0) | (n_words < 500), 0.0).when(n_words < 1200, n_words / 1200.0).when(n_words <= 1600, 1.0).otherwise(F.greatest(F.lit(0.0), over))
+    return F.when(text.rlike(r"(?Ui)THE\s?END[.!]*\z"), length).otherwise(0.0)
 
 
 def weighted(style: Column, content: Column, complete: Column) -> Column:
@@ -70,10 +73,16 @@ def weighted(style: Column, content: Column, complete: Column) -> Column:
 
 
 def judged(base: Column, adheres: Column, text: Column, author: Column, title: Column) -> Column:
-    """A judge's score by rule: 0 without the end mark as the last line; at most
-    2 where author or title is named; half, rounded down, off the plot."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    """A judge's score by rule: half, rounded down, off the plot; then at most 2
+    where author or title is named; 0 without the end mark as the last line."""
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x) > 0)
     last = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit(""))
     named = F.contains(F.lower(text), F.lower(author)) | F.contains(F.lower(text), F.lower(title))
-    score = F.when(named, F.least(base, F.lit(2))).otherwise(base)
-    return F.when(last != "THE END.", 0).when(~adheres, F.floor(score / 2)).otherwise(score).cast("long")
+    score = F.when(adheres, base).otherwise(F.floor(base / 2))
+    return F.when(last != "THE END.", 0).when(named, F.least(score, F.lit(2))).otherwise(score).cast("long")
+
+
+def digit(reply: Column) -> Column:
+    """A judge's reply of one digit as tenths, 0 to 0.9; null for any other."""
+    own = strip(reply)
+    return F.when(own.rlike(r"^[0-9]\z"), own.cast("int") / 10)

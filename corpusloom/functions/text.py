@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The cleaning patterns.
@@ -31,11 +31,13 @@ CHAPTER_LINE = r"(?Udmi)^.*\bchapter\b.*$"
 PAGE = r"(?Udmi)^\s*\d+\s*$|^\s*\[pg\s*\d+\]"
 URL = r"(?Ud)https?://\S+|www\.\S+"
 FOOTNOTE = re.compile(r"^\s*\[\d+\]\s+(?:\w+\s+){3,}.*?(?=\n\s*(?:\[|\{|\d|$))", re.M | re.S)
-TOC_HEADER = r"(?Udi)^(Contents|VOLUME|CHAPTER|List of Illustrations)"
-TOC_NUMBERED = r"(?Ud)^\d+\.?\s"
-TOC_DROPPED = r"(?Udi)^(VOLUME|CHAPTER)"
+TOC_HEADER = r"(?Udi)^\s*+(?:Contents|VOLUME|CHAPTER|List of Illustrations)"
+TOC_BETWEEN = r"(?Ud)^\s*+(?:\z|\d+\.?\s\s*+\S)"
 META_TALK = r"(?Udi)\b(I am an AI assistant|As an AI|I specialize in)\b"
-HYGIENE = {"zero_width": "[​‌‍⁠﻿]", "bidi": "[‎‏؜]", "nbsp": "[   ]", "soft_hyphen": "­", "control": r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"}
+HYGIENE = {
+    "zero_width": r"[\u200B\u200C\u200D\u2060\uFEFF]", "bidi": r"[\u200E\u200F\u061C]", "nbsp": r"[\u00A0\u2007\u202F]",
+    "soft_hyphen": r"\u00AD", "control": r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]",
+}
 
 
 def _drop(text: Column, *patterns: str) -> Column:
@@ -103,26 +105,25 @@ def clean_title(title: Column, empty: str | None = None) -> Column:
     return t if empty is None else F.when(F.coalesce(F.length(title), F.lit(0)) == 0, empty).otherwise(t)
 
 
-def drop_contents(df: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """Tables of contents out of (key, text) rows.
+def without_contents(text: Column) -> Column:
+    """A text without its tables of contents.
 
     A header starts skipping; blank and numbered lines leave the state; any
-    other line ends it.  So the state is the last line's that is a header or
-    such another, and a window finds it."""
-    lines = df.select(key, F.posexplode(F.split(column, "\n")).alias("at", "line")).withColumn("bare", strip(F.col("line")))
-    header = F.col("bare").rlike(TOC_HEADER)
-    state = F.when(header, True).when((F.length("bare") > 0) & ~F.col("bare").rlike(TOC_NUMBERED), False)
-    own = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    kept = lines.withColumn("skip", F.coalesce(F.last(state, ignorenulls=True).over(own), F.lit(False))).where(~F.col("skip") & ~F.col("bare").rlike(TOC_DROPPED))
-    joined = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l")).select(key, F.array_join(F.col("l.line"), "\n").alias("_kept"))
-    return df.join(joined, key, "left").withColumn(column, F.coalesce("_kept", F.lit(""))).drop("_kept")
-
-
-def clean_books(df: DataFrame, key: str, quotes: bool = True, lone_illustrations: bool = True) -> DataFrame:
-    """All rules in order on the ``text`` of rows with a unique key."""
+    other line ends it.  So what goes is each header with the headers, blank and
+    numbered lines behind it: lines become letters, and runs of letters are
+    found in the string of them.  All of it stays in the row and is linear."""
+    lines = F.split(text, "\n", -1)
+    kind = lambda x: F.when(x.rlike(TOC_HEADER), "h").when(x.rlike(TOC_BETWEEN), "b").otherwise("t")
+    runs = F.regexp_extract_all(F.array_join(F.transform(lines, kind), ""), F.lit("h[hb]*+|[bt]++"), F.lit(0))
+    skipped = F.flatten(F.transform(runs, lambda r: F.array_repeat(F.startswith(r, F.lit("h")), F.length(r))))
+    kept = F.filter(F.arrays_zip(lines.alias("line"), skipped.alias("skip")), lambda x: ~x.skip)
+    return F.array_join(F.transform(kept, lambda x: x.line), "\n")
+
+
+def clean_books(df: DataFrame, quotes: bool = True, lone_illustrations: bool = True) -> DataFrame:
+    """All rules in order on the ``text`` of the rows; null counts as empty."""
     df = df.withColumn("text", plain_spaces(F.coalesce("text", F.lit("")))).withColumn("text", drop_footnotes("text"))
-    df = df.withColumn("text", drop_metadata(normal_format(drop_annotations(F.col("text")), quotes), lone_illustrations))
-    return drop_contents(df, key).withColumn("text", tidy(F.col("text")))
+    return df.withColumn("text", tidy(without_contents(drop_metadata(normal_format(drop_annotations(F.col("text")), quotes), lone_illustrations))))
 
 
 def hygiene(text: Column, *kinds: str) -> Column:

@@ -44,14 +44,45 @@ def group_counts(catalog: DataFrame, targets: DataFrame, links: DataFrame, subje
 
 def select_books(catalog: DataFrame, targets: DataFrame, links: DataFrame, subjects: list[str], top: int = 2) -> DataFrame:
     """The wanted books, and of each (author, subject) with so many eligible
-    books the most downloaded ones (ties: least id), with every subject."""
-    eligible = _eligible(catalog, targets, links, subjects).select("author", "subject", "book_id", "downloads").distinct()
-    ranked = eligible.join(group_counts(catalog, targets, links, subjects, top).select("author", "subject"), ["author", "subject"], "left_semi").withColumn(
-        "place", F.row_number().over(Window.partitionBy("author", "subject").orderBy(F.desc("downloads"), "book_id"))
-    )
-    chosen = ranked.where(F.col("place") <= top).select("book_id").unionByName(target_books(catalog, targets)).distinct()
-    own = catalog.where("language = 'en' and book_id is not null").join(text_books(links), "book_id", "left_semi")
-    return own.join(chosen, "book_id", "left_semi").select("book_id", "title", "author", "subject").distinct()
+    books the most downloaded ones (ties: least id), with every subject.
+
+    The catalogue is read once: rows carry whether their book is wanted, then
+    their place in their group, then whether their book was chosen.  A book's
+    language and downloads are the same in all its rows."""
+    own = catalog.where("language = 'en' and book_id is not null").select("book_id", "title", "author", "subject", "downloads").distinct()
+    own = own.join(text_books(links), "book_id", "left_semi")
+    wanted = targets.select("title", "author", F.lit(True).alias("wanted")).distinct()
+    book, group = Window.partitionBy("book_id"), Window.partitionBy("author", "subject", "eligible")
+    own = own.join(wanted, ["title", "author"], "left").withColumn("wanted", F.coalesce(F.max("wanted").over(book), F.lit(False)))
+    own = own.withColumn("eligible", ~F.col("wanted") & F.coalesce(F.col("subject").isin(subjects), F.lit(False)))
+    # a book has one row for an author and subject, whatever its titles
+    own = own.withColumn("place", F.dense_rank().over(group.orderBy(F.desc("downloads"), "book_id"))).withColumn("n", F.max("place").over(group))
+    chosen = F.col("wanted") | (F.col("eligible") & (F.col("n") >= top) & (F.col("place") <= top))
+    return own.withColumn("chosen", F.max(chosen).over(book)).where("chosen").select("book_id", "title", "author", "subject").distinct()
+
+
+def in_report_order(books: DataFrame) -> DataFrame:
+    """Books by author, then title (ties: subject, id)."""
+    return books.orderBy("author", "title", "subject", "book_id")
+
+
+def books_with_any_subjects(books: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(book_id, title, author, subjects): subjects sorted and each once; a book
+    without one stays, with none."""
+    of = subjects.where("subject is not null").groupBy("book_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    return books.select("book_id", "title", "author").distinct().join(of, "book_id", "left").withColumn("subjects", F.coalesce("subjects", F.array().cast("array<string>")))
+
+
+def target_subjects(catalog: DataFrame, targets: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(title, author, subjects) of the wanted books under any of their authors'
+    names, one row for each name: their subjects, sorted."""
+    own = catalog.join(with_alias_targets(targets, aliases), ["title", "author"], "left_semi")
+    return own.where("subject is not null").groupBy("title", "author").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+
+
+def unique_subjects(by_book: DataFrame) -> DataFrame:
+    """Every subject of :func:`target_subjects`, once."""
+    return by_book.select(F.explode("subjects").alias("subject")).distinct()
 
 
 def books_with_subjects(catalog: DataFrame) -> DataFrame:
@@ -60,11 +91,7 @@ def books_with_subjects(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("book_id").agg(F.min("author").alias("author"), F.min("title").alias("title"), F.array_sort(F.collect_set("subject")).alias("subjects"))
 
 
-def validate(metadata: DataFrame, catalog: DataFrame, aliases: DataFrame, strict_author: bool = True) -> DataFrame:
-    """Metadata (book_id, title, author, has_file) with a ``status`` against the
-    catalogue.  Titles match whatever their case; authors match if they, or the
-    authors they are aliases of, are the same.  Not strictly, authors that no
-    alias is known for always match."""
+def _checked(metadata: DataFrame, catalog: DataFrame, aliases: DataFrame, strict_author: bool) -> DataFrame:
     known = aliases.select(F.col("alias").alias("author"), F.col("author").alias("canonical")).unionByName(aliases.select("author", F.col("author").alias("canonical"))).groupBy("author").agg(F.min("canonical").alias("canonical"))
     there = catalog.groupBy("book_id").agg(F.min("title").alias("real_title"), F.min("author").alias("real_author"))
     both = metadata.join(there, "book_id", "left").join(known, "author", "left").join(known.select(F.col("author").alias("real_author"), F.col("canonical").alias("real_canonical")), "real_author", "left")
@@ -78,7 +105,15 @@ def validate(metadata: DataFrame, catalog: DataFrame, aliases: DataFrame, strict
         .when(~same_author, "author_mismatch")
         .otherwise("ok")
     )
-    return both.select("book_id", status.alias("status"))
+    return both.select(*metadata.columns, status.alias("status"))
+
+
+def validate(metadata: DataFrame, catalog: DataFrame, aliases: DataFrame, strict_author: bool = True) -> DataFrame:
+    """Metadata (book_id, title, author, has_file) with a ``status`` against the
+    catalogue.  Titles match whatever their case; authors match if they, or the
+    authors they are aliases of, are the same.  Not strictly, authors that no
+    alias is known for always match."""
+    return _checked(metadata, catalog, aliases, strict_author).select("book_id", "status")
 
 
 def issue_counts(validated: DataFrame) -> DataFrame:
@@ -142,3 +177,31 @@ def multi_subject_authors(books: DataFrame) -> DataFrame:
 def review(books: DataFrame, targets: DataFrame) -> DataFrame:
     """(author, n_books, titles) of the books that are no targets."""
     return books.join(targets.select("title").distinct(), "title", "left_anti").groupBy("author").agg(F.count("*").alias("n_books"), F.array_sort(F.collect_list("title")).alias("titles"))
+
+
+def full_review(books: DataFrame, targets: DataFrame) -> DataFrame:
+    """(is_target, author, n_books, titles): the wanted books by title and the
+    others, each by author."""
+    titles = targets.select("title", F.lit(True).alias("is_target")).distinct()
+    own = books.join(titles, "title", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    return own.groupBy("is_target", "author").agg(F.count("*").alias("n_books"), F.array_sort(F.collect_list("title")).alias("titles"))
+
+
+def review_counts(books: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row: books, wanted books, others."""
+    titles = targets.select("title", F.lit(True).alias("is_target")).distinct()
+    own = books.join(titles, "title", "left")
+    return own.agg(F.count("*").alias("n_books"), F.count_if("is_target").alias("n_targets"), F.count_if(F.col("is_target").isNull()).alias("n_others"))
+
+
+def corrected(metadata: DataFrame, catalog: DataFrame, aliases: DataFrame, subjects: DataFrame, strict_author: bool = True) -> DataFrame:
+    """Metadata (book_id, title, author, subjects, has_file) after validation:
+    books without a file or a catalogue entry drop out, on a mismatch title, author
+    and subjects are the catalogue's, and a book without subjects gets these."""
+    real = books_with_any_subjects(catalog.groupBy("book_id").agg(F.min("title").alias("title"), F.min("author").alias("author")), subjects)
+    real = real.select("book_id", *(F.col(c).alias(f"real_{c}") for c in ("title", "author", "subjects")))
+    both = _checked(metadata, catalog, aliases, strict_author).join(real, "book_id").where(F.col("status").isin("ok", "title_mismatch", "author_mismatch"))
+    wrong = F.col("status") != "ok"
+    own = lambda c: F.when(wrong, F.col(f"real_{c}")).otherwise(F.col(c)).alias(c)
+    none = F.coalesce(F.size("subjects"), F.lit(0)) <= 0
+    return both.select("book_id", own("title"), own("author"), F.when(wrong | none, F.col("real_subjects")).otherwise(F.col("subjects")).alias("subjects"), wrong.alias("was_corrected"))

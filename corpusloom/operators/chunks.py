@@ -7,42 +7,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordered import placed
 
 SIZES = [500, 1000, 1500, 2000, 2500, 3000]
 RATIOS = [i / 10 for i in range(1, 10)]
 
 
-def _packed(limit: int, drop_empty: bool):
-    @F.pandas_udf("array<int>")
-    def pack(counts: pd.Series) -> pd.Series:
-        def one(ns) -> list[int]:
-            out, chunk, size, some = [], 0, 0, False
-            for n in ns:
-                if drop_empty and n == 0:
-                    out.append(-1)
-                    continue
-                if some and size + n > limit:
-                    chunk, size = chunk + 1, 0
-                size, some = size + int(n), True
-                out.append(chunk)
-            return out
+def _ends(limits: list[int]):
+    @F.pandas_udf("array<array<int>>")
+    def ends(counts: pd.Series) -> pd.Series:
+        def one(ns, limit: int) -> list[int]:
+            out, size = [], 0
+            for i, n in enumerate(ns):
+                if i and size + n > limit:
+                    out.append(i)
+                    size = 0
+                size += int(n)
+            return [*out, len(ns)] if len(ns) else []
 
-        return counts.map(one)
+        return counts.map(lambda ns: [one(ns, limit) for limit in limits])
 
-    return pack
+    return ends
 
 
-def pack(df: DataFrame, key: str, limit: int, drop_empty: bool = False) -> DataFrame:
+def _pack(df: DataFrame, key: str, limits: list[int]) -> DataFrame:
+    """(key, limit, chunk, text): where chunks end comes from Python for all
+    limits at once, over numbers only; texts are cut out inside the row."""
+    own = df.select(key, "sentences", F.posexplode(_ends(limits)("counts")).alias("which", "ends"))
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1))
+    text = F.transform("ends", lambda end, i: T.extra_whitespace(F.array_join(F.slice("sentences", start(i) + 1, end - start(i)), " ")))
+    own = own.select(key, F.get(F.array(*map(F.lit, limits)), F.col("which")).cast("long").alias("target_length"), F.posexplode(F.filter(text, lambda t: F.length(t) > 0)).alias("at", "text"))
+    return own.select("target_length", key, (F.col("at") + 1).cast("long").alias("chunk"), "text")
+
+
+def pack(df: DataFrame, key: str, limit: int) -> DataFrame:
     """(key, chunk, text) of (key, sentences, counts) rows: a chunk closes
     before the sentence that would bring it over the limit, if it has one; a
-    longer sentence is its own chunk.  Linear in a document's sentences.  With
-    ``drop_empty`` sentences without words are left out.  Chunks are numbered
-    from 1 after empty ones are dropped."""
-    own = df.select(key, "sentences", _packed(limit, drop_empty)("counts").alias("c"))
-    rows = own.select(key, F.posexplode(F.arrays_zip(F.col("sentences").alias("s"), F.col("c").alias("c"))).alias("at", "x")).where("x.c >= 0")
-    texts = rows.groupBy(key, F.col("x.c").alias("c")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("x.s").alias("s")))).alias("l"))
-    texts = texts.select(key, "c", T.extra_whitespace(F.array_join(F.col("l.s"), " ")).alias("text")).where(F.length("text") > 0)
-    return texts.select(key, F.row_number().over(Window.partitionBy(key).orderBy("c")).cast("long").alias("chunk"), "text")
+    longer sentence is its own chunk.  Linear in a document's sentences; nothing is
+    shuffled.  Chunks are numbered from 1 after empty ones are dropped."""
+    return _pack(df, key, [limit]).drop("target_length")
 
 
 def split_sentences(df: DataFrame, key: str) -> DataFrame:
@@ -51,12 +54,11 @@ def split_sentences(df: DataFrame, key: str) -> DataFrame:
 
 
 def pack_sizes(df: DataFrame, key: str, sizes: list[int] = SIZES) -> DataFrame:
-    """(target_length, key, chunk, text) for several limits."""
-    out = None
-    for n in sizes:
-        one = pack(df, key, n, drop_empty=True).select(F.lit(n).cast("long").alias("target_length"), key, "chunk", "text")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(target_length, key, chunk, text) for several limits, from one pass;
+    sentences without words are left out."""
+    some = F.filter(F.arrays_zip("sentences", "counts"), lambda x: x.counts > 0)
+    own = df.select(key, some.alias("some")).select(key, F.col("some.sentences").alias("sentences"), F.col("some.counts").alias("counts"))
+    return _pack(own, key, sizes)
 
 
 def label(author: Column, title: Column, number: Column, size: Column | None = None) -> Column:
@@ -90,18 +92,41 @@ def originals_and_refilled(rows: DataFrame, blacklist: DataFrame | None = None)
 
 
 def row_ids(df: DataFrame, *order: str) -> DataFrame:
-    """``chunk_id`` from 0 in an order that is total.
+    """``chunk_id`` from 0 in an order that is total and begins with a number.
 
     Rows are counted in ranges of the first column, so no task sees all."""
-    spark_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({q for r in df.select(F.percentile_approx(order[0], [i / spark_n for i in range(1, spark_n)], 10_000)).collect() for q in r[0] or []})
-    place = F.lit(0)
-    for i, c in enumerate(cuts):
-        place = F.when(F.col(order[0]) >= c, i + 1).otherwise(place)
-    own = df.withColumn("_range", place)
-    before = own.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = own.join(F.broadcast(before.drop("count")), "_range")  # a row for each range
-    return own.withColumn("chunk_id", (F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).cast("long")).drop("_range", "_before")
+    return placed(df, "chunk_id", F.col(order[0]), *order[1:])
+
+
+def with_book_metadata(rows: DataFrame, books: DataFrame, core: list[str]) -> DataFrame:
+    """Chunks (book_id, ...) with ``author_id`` and ``subject`` of their book in
+    cleaned metadata (book_id, author, subjects): the first subject of the core
+    set.  Books without one have no place, and their chunks drop out."""
+    first = F.get(F.filter("subjects", lambda s: s.isin(core)), F.lit(0))
+    known = books.where("book_id is not null").select("book_id", F.coalesce("author", F.lit("Unknown")).alias("author_id"), first.alias("subject")).where("subject is not null").dropDuplicates(["book_id"])
+    return rows.drop("author_id", "subject").join(known, "book_id")
+
+
+def with_settings(chunks: DataFrame, settings: DataFrame) -> DataFrame:
+    """Chunks (author, ...) enriched from a configured dimension (author, title,
+    genre, ...), which replaces columns of the same name.  A chunk's author counts
+    as it is, or else without white space at its ends; others drop out."""
+    wide = [c for c in settings.columns if c != "author"]
+    known = settings.withColumnRenamed("author", "_author")
+    names = known.select("_author")
+    own = chunks.drop(*wide)
+    exact = own.join(known, own["author"] == known["_author"])
+    rest = own.join(names, own["author"] == names["_author"], "left_anti")
+    stripped = rest.join(known, T.strip(rest["author"]) == known["_author"])
+    return exact.unionByName(stripped).withColumn("author", F.col("_author")).drop("_author")
+
+
+def last_by_text(rows: DataFrame, *keys: str, order: str = "index") -> DataFrame:
+    """Of rows with equal keys the last one, at the place of the first
+    (``order`` becomes the first one's)."""
+    rest = [c for c in rows.columns if c not in keys and c != order]
+    own = rows.groupBy(*keys).agg(F.min(order).alias(order), F.max_by(F.struct(*rest), order).alias("_row"))
+    return own.select(*keys, order, "_row.*").select(*rows.columns)
 
 
 def incomplete_labels(rows: DataFrame, ratios: list[float] = RATIOS) -> DataFrame:

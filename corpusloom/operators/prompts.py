@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import META_TALK, strip
+from ..functions.text import META_TALK, strip, words
+from .ordered import hex_key, placed
+from .pairs import shuffled
 
 # Templates of our own.
 STORY = "Write a story about {plot} in this style.\n\nSample:\n{sample}\n\nClose with the line THE END."
-SFT = "Imitate the style of {author}.\n\nSample:\n{sample}\n\nPlot: {plot}"
+TUNING = "Write a long story in the manner of {author}, known for {title}."
+GENERATION = "Imitate the style of {author} in {title}.\n\nSample:\n{sample}\n\nClose with the line THE END."
 FEW_SHOT = "Examples of the style:\n{shots}\n\n{prompt}"
 JUDGE = "Plot asked for: {plot}\n\nStory:\n{story}\n\nGive one digit from 0 to 9."
 
@@ -36,18 +39,27 @@ def shot_prompt(mode: Column, prompt: Column, shots: Column) -> Column:
     return F.when(mode == "few_shot", filled(FEW_SHOT, shots=shots, prompt=prompt)).otherwise(prompt)
 
 
-def numbered(df: DataFrame, name: str, *order) -> DataFrame:
-    """Rows with their place from 0; for dimension tables of bounded size."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+def seeded_places(df: DataFrame, name: str, key: str, group: str, seed: int = 42) -> DataFrame:
+    """Keys with their place from 0 in a seeded order of each group."""
+    own = df.select(group, key).withColumn("_o", shuffled(seed, key))
+    return own.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy("_o", key)) - 1).cast("long")).drop("_o")
 
 
-def cycle(prompts: DataFrame, chunks: DataFrame, factor: int) -> DataFrame:
-    """(i, prompt, text) for i below factor times the prompts: prompts (p,
-    prompt) and chunks (c, text), numbered from 0, each taken round and round."""
-    spark = prompts.sparkSession
-    p, c = prompts.count(), chunks.count()
-    rows = spark.range(p * factor if c else 0).select(F.col("id").alias("i"), (F.col("id") % max(p, 1)).alias("p"), (F.col("id") % max(c, 1)).alias("c"))
-    return rows.join(prompts, "p").join(chunks, "c").select("i", "prompt", "text")
+def cycle(prompts: DataFrame, chunks: DataFrame, factor: int, by: str) -> DataFrame:
+    """(by, i, prompt, text): for each author (the column ``by``) of the chunks, i
+    runs below factor times the prompts; prompts (p, prompt) and the author's chunks
+    (by, c, text), numbered from 0, are each taken round and round."""
+    n = prompts.agg(F.count("*").alias("n_prompts"))
+    each = chunks.groupBy(by).agg(F.count("*").alias("n_chunks")).join(F.broadcast(n), how="cross")  # one row of totals
+    rows = each.where("n_prompts > 0").select(by, "n_prompts", "n_chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_prompts") * factor - 1)).alias("i"))
+    rows = rows.select(by, "i", (F.col("i") % F.col("n_prompts")).alias("p"), (F.col("i") % F.col("n_chunks")).alias("c"))
+    return rows.join(prompts, "p").join(chunks, [by, "c"]).select(by, "i", "prompt", "text")
+
+
+def zipped(left: DataFrame, right: DataFrame, place: str = "i") -> DataFrame:
+    """Rows of two tables side by side by their place; what the longer one has
+    more is left out."""
+    return left.join(right, place)
 
 
 def repeated(df: DataFrame, factor: int) -> DataFrame:
@@ -77,6 +89,13 @@ def validated(text: Column) -> Column:
     return F.when(F.length(own) == 0, "empty").when(own.rlike(META_TALK), "meta").when(~F.endswith(own, F.lit("THE END.")), "no_end").otherwise("ok")
 
 
+def checked(text: Column) -> Column:
+    """``reason`` (as :func:`validated`) and ``n_words`` of an output; a refused
+    one has 0 words."""
+    reason = validated(text)
+    return F.struct(reason.alias("reason"), F.when(reason == "ok", words(strip(text))).otherwise(F.lit(0).cast("long")).alias("n_words"))
+
+
 def within_quota(candidates: DataFrame, done: DataFrame, quota: int, least: float) -> DataFrame:
     """Candidates (author, arrival, reason, score) that are taken: valid, scored
     high enough, and among the first so many that their author's done rows leave
@@ -87,17 +106,55 @@ def within_quota(candidates: DataFrame, done: DataFrame, quota: int, least: floa
     return good.withColumn("place", place).where(F.col("place") <= quota - F.coalesce("have", F.lit(0))).drop("place", "have")
 
 
+def round_robin(chunks: DataFrame, tasks: DataFrame, key: str, seed: int = 7) -> DataFrame:
+    """Each task's chunk and another chunk to compare with: tasks (author, turn)
+    take their author's chunks (author, key) in order, round and round; the other one
+    is any but the chunk itself, by a hashed offset, or itself where it is alone."""
+    own = Window.partitionBy("author")
+    placed = chunks.select("author", key, (F.row_number().over(own.orderBy(key)) - 1).alias("i"), F.count("*").over(own).alias("n"))
+    sizes = placed.select("author", "n").distinct()
+    jump = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "author", F.col("turn").cast("string"))), 1, 8), 16, 10).cast("long"), F.greatest(F.col("n") - 1, F.lit(1)))
+    aimed = tasks.join(sizes, "author").withColumn("i", F.col("turn") % F.col("n"))
+    aimed = aimed.withColumn("j", F.when(F.col("n") > 1, (F.col("i") + 1 + jump) % F.col("n")).otherwise(F.col("i"))).drop("n")
+    first, second = placed.select("author", "i", key), placed.select("author", F.col("i").alias("j"), F.col(key).alias("reference"))
+    return aimed.join(first, ["author", "i"]).join(second, ["author", "j"]).drop("i", "j")
+
+
 def generate(tasks: DataFrame, author_rows: Callable[[DataFrame, int], DataFrame], quota: int, least: float, rounds: int, done: DataFrame) -> DataFrame:
-    """Rounds of generation (a caller's function of tasks and round), validation,
-    scoring and quota, until the rounds end or every author's quota is met."""
+    """Rounds of generation (a caller's function of the tasks whose authors are
+    below their quota, and the round), validation, scoring and quota, until the
+    rounds end or every author's quota is met.  What a round takes is cut by a
+    checkpoint."""
     for n in range(rounds):
-        taken = within_quota(author_rows(tasks, n), done, quota, least)
-        done = done.unionByName(taken.select(*done.columns)).checkpoint()
-        if not tasks.select("author").distinct().join(done.groupBy("author").count().where(F.col("count") >= quota), "author", "left_anti").take(1):
+        full = done.groupBy("author").count().where(F.col("count") >= quota)
+        open_ = tasks.join(full, "author", "left_anti")
+        if not open_.take(1):
             break
+        taken = within_quota(author_rows(open_, n), done, quota, least)
+        done = done.unionByName(taken.select(*done.columns)).checkpoint()
     return done
 
 
+def until_valid(tasks: DataFrame, ask: Callable[[DataFrame, int], DataFrame], valid: Column, rounds: int) -> DataFrame:
+    """Asks again (a caller's function of the open tasks and the round) until an
+    answer is valid: (task columns, reply, round).  After the last round, tasks without
+    a valid answer have null ones."""
+    keys, out = tasks.columns, None
+    for n in range(rounds):
+        good = ask(tasks, n).where(valid).withColumn("round", F.lit(n)).checkpoint()
+        out = good if out is None else out.unionByName(good)
+        tasks = tasks.join(good, keys, "left_anti").checkpoint()
+        if not tasks.take(1):
+            break
+    return tasks.withColumn("reply", F.lit(None).cast("string")).withColumn("round", F.lit(None).cast("int")).unionByName(out.select(*keys, "reply", "round"))
+
+
+def dataset(done: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """The first rows up to a number, by arrival, in a seeded order: ``place``."""
+    kept = placed(done, "_arrived", F.col("arrival"), "author").where(F.col("_arrived") < most).withColumn("_o", shuffled(seed, "author", "arrival"))
+    return placed(kept, "place", hex_key(F.col("_o")), "_o").drop("_o", "_arrived")
+
+
 def pending(tasks: DataFrame, processed: DataFrame, *keys: str) -> DataFrame:
     """Tasks that no processed row stands for."""
     return tasks.join(processed.select(*keys).distinct(), list(keys), "left_anti")
@@ -109,8 +166,21 @@ def training_authors(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(*names)).alias("author")).where("author is not null").distinct()
 
 
+def without_authors(rows: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Rows of none of the excluded authors; rows without an author stay."""
+    return rows.join(excluded, "author", "left_anti")
+
+
+def step_columns(n: Column, per_device: Column, devices: int, accumulate: int, epochs: int, evaluations: int) -> dict[str, Column]:
+    """Batch and step counts of training runs over n rows."""
+    one = F.lit(1).cast("long")
+    batch = (per_device * devices * accumulate).cast("long")
+    steps = F.greatest(one, F.floor(n / batch))
+    return {"batch": batch, "steps_per_epoch": steps, "total_steps": steps * epochs, "eval_steps": F.greatest(one, F.floor(steps * epochs / evaluations))}
+
+
 def step_schedule(n: int, per_device: int, devices: int, accumulate: int, epochs: int, evaluations: int) -> dict[str, int]:
-    """Batch and step counts of a training run."""
+    """The same of one run."""
     batch = per_device * devices * accumulate
     steps = max(1, n // batch)
     return {"batch": batch, "steps_per_epoch": steps, "total_steps": steps * epochs, "eval_steps": max(1, steps * epochs // evaluations)}

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def _stats(score: str):
     q = lambda p: F.round(F.percentile(score, F.lit(p)), 4)
     return [
-        F.count(score).alias("comparisons"), F.round(F.avg(score), 4).alias("mean"), F.round(F.stddev_samp(score), 4).alias("std"), q(0.5).alias("median"),
+        F.count("*").alias("comparisons"), F.round(F.avg(score), 4).alias("mean"), F.round(F.stddev_samp(score), 4).alias("std"), q(0.5).alias("median"),
         F.round(F.min(score), 4).alias("min"), F.round(F.max(score), 4).alias("max"), q(0.25).alias("q25"), q(0.75).alias("q75"),
     ]
 
 
 def overall(results: DataFrame) -> DataFrame:
     """Statistics by model, split, status and kind of pair, in this order, the
-    base model before the fine-tuned one.  Rows of null keys are left out."""
+    base model before the fine-tuned one and kinds of pairs downwards.  Rows of null
+    keys are left out; comparisons are all rows, scored or not."""
     own = results.dropna(subset=["model", "split", "status", "pair_type"]).groupBy("model", "split", "status", "pair_type").agg(*_stats("score"))
-    return own.orderBy("model", F.col("split").try_cast("long"), "split", F.when(F.col("status") == "Base", 0).otherwise(1), "pair_type")
+    return own.orderBy("model", F.col("split").try_cast("long"), "split", F.when(F.col("status") == "Base", 0).otherwise(1), F.desc("pair_type"))
 
 
 def by_subject(results: DataFrame, least: int = 2) -> DataFrame:
@@ -36,17 +39,32 @@ def box(results: DataFrame) -> DataFrame:
 
 
 def evaluation_summary(rows: DataFrame) -> DataFrame:
-    """Mean and population deviation of raw and scaled scores by model, author
-    (the split without its ``/test``) and shot mode; other modes are skipped."""
-    own = rows.where(F.col("shot_mode").isin("zero_shot", "few_shot")).withColumn("author", F.regexp_replace("split", "(/|_)test$", ""))
+    """Mean and population deviation of raw and scaled scores by model, split and
+    shot mode, beside the split's author (its name without ``_test``); other modes
+    are skipped."""
+    own = rows.where(F.col("shot_mode").isin("zero_shot", "few_shot"))
     r = lambda f, c: F.round(f(c), 6)
-    return own.groupBy("shot_mode", "model", "author").agg(r(F.avg, "raw").alias("mean_raw"), r(F.stddev_pop, "raw").alias("std_raw"), r(F.avg, "scaled").alias("mean_scaled"), r(F.stddev_pop, "scaled").alias("std_scaled"))
+    own = own.groupBy("shot_mode", "model", "split").agg(r(F.avg, "raw").alias("mean_raw"), r(F.stddev_pop, "raw").alias("std_raw"), r(F.avg, "scaled").alias("mean_scaled"), r(F.stddev_pop, "scaled").alias("std_scaled"))
+    return own.withColumn("author", F.replace("split", F.lit("_test"), F.lit("")))
+
+
+def dataset_means(rows: DataFrame) -> DataFrame:
+    """Rows, mean score and mean number of words of a dataset; means of nothing
+    are 0."""
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 9), F.lit(0.0))
+    return rows.agg(F.count("*").alias("n_rows"), mean("score").alias("mean_score"), mean("n_words").alias("mean_words"))
+
+
+def counters(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: how many rows there are, and how many meet each condition."""
+    return df.agg(F.count("*").alias("n_rows"), *(F.count_if(c).alias(name) for name, c in conditions.items()))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, percent) of a column."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return counts.select("value", "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("percent"))
+    total = df.agg(F.count("*").alias("total"))
+    return counts.join(F.broadcast(total), how="cross").select("value", "n", F.round(100 * F.col("n") / F.col("total"), 6).alias("percent"))  # one row of totals
 
 
 def balance(pairs: DataFrame) -> DataFrame:
@@ -58,10 +76,10 @@ def balance(pairs: DataFrame) -> DataFrame:
 
 
 def _ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks: by distinct value, so a window holds values and not rows."""
+    """Average ranks: by distinct value, in ranges of values."""
     counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(column))
-    return df.join(counts.select(column, (upto - (F.col("_n") - 1) / 2).alias(name)), column)
+    upto = running(counts, F.col("_n"), "_upto", F.col(column))
+    return df.join(upto.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), column)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

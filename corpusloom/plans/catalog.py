@@ -144,9 +144,63 @@ def multi_subject_authors(spark, sf):
     return ops.multi_subject_authors(_books(spark, sf))
 
 
-@query(_BOOKS + "SELECT DISTINCT title FROM targets WHERE title NOT IN (SELECT title FROM books WHERE title NOT LIKE 'red%')")
+@query(_BOOKS + "SELECT DISTINCT title FROM (SELECT title FROM targets UNION ALL SELECT title || ' lost' FROM targets WHERE length(title) % 2 = 0) WHERE title NOT IN (SELECT title FROM books)")
 def missing_targets(spark, sf):
-    return ops.missing_targets(targets(spark, sf), _books(spark, sf).where("title not like 'red%'"))
+    wanted = targets(spark, sf)
+    lost = wanted.where("length(title) % 2 = 0").withColumn("title", F.concat("title", F.lit(" lost")))
+    return ops.missing_targets(wanted.unionByName(lost), _books(spark, sf))
+
+
+@query(_BOOKS + f""", {_ALIASES}, names AS (SELECT title, author FROM targets UNION SELECT t.title, a.alias FROM targets t JOIN aliases a USING (author))
+SELECT title, author, array_to_string(list_sort(list(DISTINCT subject)), '|') AS subjects FROM catalog JOIN names USING (title, author) GROUP BY title, author""")
+def target_subjects(spark, sf):
+    return ops.target_subjects(catalog(spark, sf), targets(spark, sf), _aliases(spark, sf)).withColumn("subjects", F.array_join("subjects", "|"))
+
+
+@query(_BOOKS + f", {_ALIASES}, names AS (SELECT title, author FROM targets UNION SELECT t.title, a.alias FROM targets t JOIN aliases a USING (author)) SELECT DISTINCT subject FROM catalog JOIN names USING (title, author)")
+def target_unique_subjects(spark, sf):
+    return ops.unique_subjects(ops.target_subjects(catalog(spark, sf), targets(spark, sf), _aliases(spark, sf)))
+
+
+_ANY = """any_ AS (SELECT b.book_id, b.title, b.author, coalesce(s.subjects, []) AS subjects FROM (SELECT book_id, min(title) AS title, min(author) AS author FROM catalog GROUP BY book_id) b
+  LEFT JOIN (SELECT book_id, list_sort(list(DISTINCT subject)) AS subjects FROM catalog WHERE downloads % 3 <> 0 GROUP BY book_id) s USING (book_id))"""
+
+
+def _subjects(spark, sf):
+    """Subjects of books; a third of the books have none."""
+    return catalog(spark, sf).where("downloads % 3 <> 0").select("book_id", "subject")
+
+
+@query(_BOOKS + f", {_ANY} SELECT book_id, title, author, array_to_string(subjects, '|') AS subjects, len(subjects) AS n_subjects FROM any_")
+def catalog_left_outer_subjects(spark, sf):
+    one = catalog(spark, sf).groupBy("book_id").agg(F.min("title").alias("title"), F.min("author").alias("author"))
+    own = ops.books_with_any_subjects(one, _subjects(spark, sf))
+    return own.select("book_id", "title", "author", F.array_join("subjects", "|").alias("subjects"), F.size("subjects").cast("long").alias("n_subjects"))
+
+
+@query(_BOOKS + _META + _STATUS + f""", {_ANY} SELECT m.book_id, CASE WHEN c.status = 'ok' THEN m.title ELSE r.title END AS title, CASE WHEN c.status = 'ok' THEN m.author ELSE r.author END AS author,
+  CASE WHEN c.status = 'ok' AND m.book_id % 2 = 0 THEN 'kept' ELSE array_to_string(r.subjects, '|') END AS subjects, c.status <> 'ok' AS was_corrected
+  FROM meta m JOIN checked c USING (book_id) JOIN any_ r USING (book_id) WHERE c.status IN ('ok', 'title_mismatch', 'author_mismatch')""")
+def catalog_corrected_metadata(spark, sf):
+    kept = F.when(F.col("book_id") % 2 == 0, F.array(F.lit("kept")))
+    own = ops.corrected(_metadata(spark, sf).withColumn("subjects", kept), catalog(spark, sf), _aliases(spark, sf), _subjects(spark, sf))
+    return own.withColumn("subjects", F.array_join("subjects", "|"))
+
+
+@query(_BOOKS + "SELECT title IN (SELECT title FROM targets) AS is_target, author, count(*) AS n_books, array_to_string(list_sort(list(title)), '|') AS titles FROM books GROUP BY ALL")
+def catalog_full_review(spark, sf):
+    return ops.full_review(_books(spark, sf), targets(spark, sf)).withColumn("titles", F.array_join("titles", "|"))
+
+
+@query(_BOOKS + "SELECT count(*) AS n_books, count(*) FILTER (title IN (SELECT title FROM targets)) AS n_targets, count(*) FILTER (title NOT IN (SELECT title FROM targets)) AS n_others FROM books")
+def catalog_review_counts(spark, sf):
+    return ops.review_counts(_books(spark, sf), targets(spark, sf))
+
+
+@query(_BOOKS + "SELECT book_id, author, title, subject FROM catalog WHERE language = 'en' ORDER BY author, title, subject, book_id")
+def catalog_report_order(spark, sf):
+    """Rows come in the report's order."""
+    return ops.in_report_order(catalog(spark, sf).where("language = 'en'").select("book_id", "author", "title", "subject"))
 
 
 @query(_BOOKS + "SELECT title, max(book_id) AS book_id FROM books GROUP BY title")

@@ -60,9 +60,10 @@ def chunk_labels(spark, sf):
     return own.select("doc_id", ops.label(a, b, n).alias("label"), ops.label(a, b, n, F.lit(1500)).alias("sized_label"))
 
 
-@query(f"WITH {CHUNKS_SQL}, l AS (SELECT label FROM chunks GROUP BY label), seen AS (SELECT label, count(DISTINCT round(mask_ratio, 1)) AS n FROM chunks WHERE mask_ratio > 0 AND length(text) >= 300 GROUP BY label) SELECT label, 9 - coalesce(n, 0) AS n_missing FROM (SELECT DISTINCT label FROM chunks WHERE length(text) >= 300) LEFT JOIN seen USING (label) WHERE coalesce(n, 0) < 9")
+@query(f"WITH {CHUNKS_SQL}, chunks_ AS (SELECT CASE WHEN doc_id % 13 = 5 THEN label || 'x' ELSE label END AS label, mask_ratio FROM chunks), seen AS (SELECT label, count(DISTINCT round(mask_ratio, 1)) AS n FROM chunks_ WHERE mask_ratio > 0 GROUP BY label) SELECT label, 9 - coalesce(n, 0) AS n_missing FROM (SELECT DISTINCT label FROM chunks_) LEFT JOIN seen USING (label) WHERE coalesce(n, 0) < 9")
 def incomplete_labels(spark, sf):
-    return ops.incomplete_labels(chunks(spark, sf).where("length(text) >= 300"))  # short chunks are no candidates
+    split = F.when(F.col("doc_id") % 13 == 5, F.concat("label", F.lit("x"))).otherwise(F.col("label"))
+    return ops.incomplete_labels(chunks(spark, sf).withColumn("label", split))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT round(avg(CASE WHEN trim(text) = trim(refilled) THEN 1 ELSE 0 END) * 100, 6) AS copy_rate FROM chunks WHERE mask_ratio > 0")

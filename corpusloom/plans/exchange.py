@@ -13,8 +13,11 @@ from .views import RESULTS_SQL, catalog, results
 
 
 def scratch(spark) -> str:
-    """A new folder that executors share: under the checkpoint folder."""
+    """A new folder that executors share: under the checkpoint folder.  Only a
+    local session may have none; it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return f"{folder or tempfile.mkdtemp(prefix='corpusloom-')}/{uuid.uuid4().hex}"
 
 
@@ -69,18 +72,72 @@ def model_tasks(spark, sf):
     return io.model_tasks(own.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("family"), F.col("p_name").alias("base_path"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("ft_path")))
 
 
-@query("SELECT doc_id, coalesce(text, '') AS chunk_text, '' AS refilled_text, CASE WHEN lang = 'en' THEN source WHEN lang = 'fr' THEN lang ELSE 'chunk_' || CAST(doc_id AS VARCHAR) END AS label, CASE WHEN lang = 'de' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS mask_ratio FROM documents")
+@query("SELECT doc_id, coalesce(text, '') AS chunk_text, '' AS refilled_text, CASE WHEN lang = 'en' THEN source WHEN lang = 'fr' THEN lang ELSE 'chunk_' || CAST(doc_id AS VARCHAR) END AS label, CASE WHEN lang = 'de' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS mask_ratio, CASE WHEN lang = 'es' THEN NULL ELSE source END AS author, CAST(NULL AS VARCHAR) AS title, CASE WHEN lang = 'en' THEN 'a|b' ELSE '' END AS subjects FROM documents")
 def jsonl_defaults(spark, sf):
-    d = io.table(spark, sf, "documents")
-    raw = d.select(F.col("doc_id").alias("book_id"), F.col("text").alias("chunk_text"), F.when(F.col("lang") == "en", F.col("source")).alias("chunk_label"), F.when(F.col("lang") == "fr", F.col("lang")).alias("label"), F.when(F.col("lang") == "de", 0.5).alias("mask_ratio"), F.col("doc_id").alias("index"))
-    return io.with_defaults(raw).select(F.col("book_id").alias("doc_id"), "chunk_text", "refilled_text", "label", "mask_ratio")
+    """Documents as JSON lines that lack keys here and there, read with defaults."""
+    d, path = io.table(spark, sf, "documents"), scratch(spark)
+    when = lambda lang, c: F.when(F.col("lang") == lang, c)
+    raw = d.select(F.col("doc_id").alias("book_id"), F.col("text").alias("chunk_text"), when("en", F.col("source")).alias("chunk_label"), when("fr", F.col("lang")).alias("label"), when("de", F.lit(0.5)).alias("mask_ratio"), F.col("doc_id").alias("index"), F.when(F.col("lang") != "es", F.col("source")).alias("author"), when("en", F.array(F.lit("a"), F.lit("b"))).alias("subjects"))
+    io.write_lines(raw, path)
+    lines = io.read_lines(spark, path, "book_id long, chunk_text string, chunk_label string, label string, mask_ratio double, index long, author string, subjects array<string>")
+    return io.with_defaults(lines).select(F.col("book_id").alias("doc_id"), "chunk_text", "refilled_text", "label", "mask_ratio", "author", "title", F.array_join("subjects", "|").alias("subjects"))
 
 
 @query("SELECT DISTINCT task FROM (SELECT p_type AS task FROM part WHERE p_size < 3 UNION ALL SELECT p_type FROM part WHERE p_brand = 'Brand#4' UNION ALL SELECT p_brand FROM part WHERE p_size = 7)")
 def resume_state(spark, sf):
-    own = io.table(spark, sf, "part")
+    """Finished names, saved in two steps and read back."""
+    own, path = io.table(spark, sf, "part"), scratch(spark)
     name = lambda c: F.col(c).alias("task")
-    return io.add_completed(own.where("p_size < 3").select(name("p_type")), own.where("p_brand = 'Brand#4'").select(name("p_type")).unionByName(own.where("p_size = 7").select(name("p_brand"))))
+    io.save_completed(own.where("p_size < 3").select(name("p_type")), path)
+    io.save_completed(io.add_completed(own.where("p_brand = 'Brand#4'").select(name("p_type")), own.where("p_size = 7").select(name("p_brand"))), path)
+    return io.completed(spark, path)
+
+
+_FILES = "files AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE coalesce(text, '') END AS text FROM documents)"
+
+
+def _written(spark, sf):
+    """Documents as files, but for some; and all documents' file names."""
+    docs, path = io.table(spark, sf, "documents"), scratch(spark)
+    named = docs.select("doc_id", F.concat(F.lit("book_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
+    io.write_texts(named.where("doc_id % 7 <> 3"), path)
+    return named.drop("text"), path
+
+
+@query(f"WITH {_FILES} SELECT doc_id, md5(text || chr(10)) AS text_md5 FROM files WHERE text IS NOT NULL")
+def text_files_read(spark, sf):
+    """A file for each document, read back by name; a file ends with a line end."""
+    named, path = _written(spark, sf)
+    return io.read_texts(spark, named, path).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {_FILES} SELECT doc_id FROM files WHERE text IS NULL")
+def missing_text_files(spark, sf):
+    named, path = _written(spark, sf)
+    return io.missing_files(spark, named, path).select("doc_id")
+
+
+@query(f"WITH {RESULTS_SQL} SELECT id, model, score FROM results")
+def dataset_write_read(spark, sf):
+    path = scratch(spark)
+    io.write_dataset(results(spark, sf).select("id", "model", "score"), path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {RESULTS_SQL} SELECT model, count(*) AS n FROM results GROUP BY model")
+def report_write_read(spark, sf):
+    path = scratch(spark)
+    io.write_report(results(spark, sf).groupBy("model").agg(F.count("*").alias("n")), path)
+    return io.read_csv(spark, path, "model string, n long")
+
+
+@query("SELECT 'm' || CAST(p_partkey AS VARCHAR) AS family, s AS status, CASE s WHEN 'Base' THEN p_name ELSE p_brand END AS path FROM part, (SELECT unnest(['Base', 'FT']) AS s) WHERE s = 'Base' OR p_size > 25")
+def model_config_file(spark, sf):
+    """Models of a JSON list, as tasks."""
+    own, path = io.table(spark, sf, "part"), scratch(spark)
+    models = own.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("family"), F.col("p_name").alias("base_path"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("ft_path"), F.lit("Short").alias("context"))
+    io.write_list(models, path)
+    return io.model_tasks(io.read_model_config(spark, path)).select("family", "status", "path")
 
 
 @query("""WITH c AS (SELECT source AS author, doc_id, coalesce(text, '') AS text, 0.3::DOUBLE + (doc_id % 70) / 100.0::DOUBLE AS score FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prompts as ops
-from ..operators.pairs import shuffled
+from ..operators.ordered import placed
 from ..operators.splits import prompt_split as split_prompts
 from ..registry import query
 from ..sources.io import table
@@ -15,10 +15,10 @@ from .views import CHUNKS_SQL, chunks
 _SPLIT = """ranked AS (SELECT prompt, row_number() OVER (ORDER BY md5('42:' || prompt), prompt) - 1 AS place FROM (SELECT DISTINCT text AS prompt FROM benchmark)),
 split AS (SELECT prompt, place, CASE WHEN place < floor((SELECT count(*) FROM ranked) * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM ranked)"""
 _CYCLE = f"""WITH {CHUNKS_SQL}, {_SPLIT}, p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY place) - 1 AS p FROM split),
-c AS (SELECT text, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS c FROM chunks WHERE length(text) >= 900 AND author_id = 'src3'),
-n AS (SELECT split, count(*) AS n, count(*) * CASE split WHEN 'train' THEN 45 ELSE 20 END AS total FROM p GROUP BY split),
+c AS (SELECT author_id, text, row_number() OVER (PARTITION BY author_id ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS c, count(*) OVER (PARTITION BY author_id) AS n_chunks FROM chunks WHERE length(text) >= 900),
+n AS (SELECT split, count(*) AS n, count(*) * CASE split WHEN 'train' THEN 4 ELSE 10 END AS total FROM p GROUP BY split),
 i AS (SELECT split, n, unnest(generate_series(0, total - 1)) AS i FROM n)
-SELECT i.split, i.i, prompt, md5(text) AS text_md5 FROM i JOIN p ON p.split = i.split AND p.p = i.i % i.n JOIN c ON c.c = i.i % (SELECT count(*) FROM c)"""
+SELECT i.split, c.author_id, i.i, prompt, md5(text) AS text_md5 FROM i JOIN p ON p.split = i.split AND p.p = i.i % i.n JOIN c ON c.c = i.i % c.n_chunks"""
 
 
 def _prompts(spark, sf):
@@ -32,12 +32,14 @@ def prompt_split_80_20(spark, sf):
 
 @query(_CYCLE)
 def prompt_cycle(spark, sf):
-    own = chunks(spark, sf).where("length(text) >= 900 and author_id = 'src3'")
-    texts = ops.numbered(own, "c", shuffled(42, "doc_id"), "doc_id").select("c", "text")
+    """Every author's prompts with the author's own chunks (of 900 characters at
+    least)."""
+    own = chunks(spark, sf).where("length(text) >= 900")
+    texts = ops.seeded_places(own, "c", "doc_id", "author_id").join(own.select("doc_id", F.md5("text").alias("text")), "doc_id").select("author_id", "c", "text")
     prompts, out = _prompts(spark, sf), []
-    for split, factor in (("train", 45), ("test", 20)):
-        one = ops.numbered(prompts.where(F.col("split") == split), "p", "place").select("p", "prompt")
-        out.append(ops.cycle(one, texts, factor).select(F.lit(split).alias("split"), "i", "prompt", F.md5("text").alias("text_md5")))
+    for split, factor in (("train", 4), ("test", 10)):
+        one = placed(prompts.where(F.col("split") == split), "p", F.col("place")).select("p", "prompt")
+        out.append(ops.cycle(one, texts, factor, "author_id").select(F.lit(split).alias("split"), "author_id", "i", "prompt", F.col("text").alias("text_md5")))
     return out[0].unionByName(out[1])
 
 

@@ -21,5 +21,5 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
-for _name in ("catalog", "cleaning", "chunking", "pairing", "reporting", "prompting", "exchange"):
+for _name in ("catalog", "cleaning", "chunking", "pairing", "reporting", "prompting", "exchange", "assembly"):
     import_module(f"corpusloom.plans.{_name}")

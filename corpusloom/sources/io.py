@@ -6,7 +6,8 @@ reading a split prunes the others.  Rewriting never deletes inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,27 +43,45 @@ def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def with_defaults(raw: DataFrame, index: str = "index", book: str = "book_id") -> DataFrame:
-    """Refilled chunks with defaults for what is missing: label from
-    ``chunk_label``, then ``label``, then ``chunk_`` and the row's index; ratio 0."""
+    """Refilled chunks with defaults for what is missing: empty texts, no
+    subjects, ratio 0, and a label from ``chunk_label``, then ``label``, then
+    ``chunk_`` and the row's index.  Author and title stay null."""
     have = lambda c, kind="string": F.col(c).cast(kind) if c in raw.columns else F.lit(None).cast(kind)
     return raw.select(
-        *(F.coalesce(have(c), F.lit("")).alias(c) for c in ("chunk_text", "refilled_text", "author", "title")),
+        *(F.coalesce(have(c), F.lit("")).alias(c) for c in ("chunk_text", "refilled_text")),
+        *(have(c).alias(c) for c in ("author", "title")),
+        F.coalesce(have("subjects", "array<string>"), F.array().cast("array<string>")).alias("subjects"),
         have(book, "long").alias("book_id"),
         F.coalesce(have("mask_ratio", "double"), F.lit(0.0)).alias("mask_ratio"),
         F.coalesce(have("chunk_label"), have("label"), F.concat(F.lit("chunk_"), have(index))).alias("label"),
     )
 
 
+@F.pandas_udf(T.StringType())
+def _lenient(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+
+def _name(path: Column) -> Column:
+    """A file's name; of a file in a folder ``file=...`` that one."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, "/file=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract(path, "([^/]+)$", 1))
+
+
 def read_texts(spark: SparkSession, metadata: DataFrame, folder: str) -> DataFrame:
     """Metadata rows with their files' whole texts; rows without a file drop
-    out, and bytes that are no UTF-8 become the replacement character."""
-    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("filename"), F.col("value").alias("text"))
-    return metadata.join(files, "filename")
+    out, and bytes that are no UTF-8 are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_name(F.col("path")).alias("filename"), "content")
+    return metadata.join(files, "filename").withColumn("text", _lenient("content")).drop("content")
+
+
+def write_texts(df: DataFrame, folder: str) -> None:
+    """A file for each row (filename, text), in a folder of its name."""
+    df.select(F.col("filename").alias("file"), "text").write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(folder)
 
 
 def missing_files(spark: SparkSession, metadata: DataFrame, folder: str) -> DataFrame:
     """Metadata rows whose file is not there; contents are not read."""
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("filename"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_name(F.col("path")).alias("filename"))
     return metadata.join(files, "filename", "left_anti")
 
 
@@ -87,6 +106,11 @@ def numeric_splits(df: DataFrame) -> DataFrame:
     return kept.select("split", F.row_number().over(Window.orderBy(F.when(F.col("number"), F.col("split").try_cast("long")), "split")).cast("long").alias("place"))
 
 
+def write_dataset(df: DataFrame, path: str) -> None:
+    """A dataset without splits."""
+    df.write.mode("overwrite").parquet(path)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Rows added to a CSV table, each file with its header."""
     df.write.mode("append").csv(path, header=True)
@@ -109,6 +133,26 @@ def model_tasks(config: DataFrame) -> DataFrame:
     return config.select("family", F.explode(tasks).alias("t")).select("family", "t.status", "t.path", F.concat_ws("_", "family", "t.status").alias("task")).where("path is not null")
 
 
+def write_list(df: DataFrame, path: str) -> None:
+    """A small table as one JSON list."""
+    df.agg(F.to_json(F.collect_list(F.struct(*df.columns)))).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_model_config(spark: SparkSession, path: str) -> DataFrame:
+    """Models (family, base_path, ft_path, context) of a JSON list."""
+    return spark.read.schema("family string, base_path string, ft_path string, context string").json(path, multiLine=True)
+
+
+def save_completed(names: DataFrame, path: str) -> None:
+    """Add finished names to a state table, which may hold a name twice."""
+    names.select("task").write.mode("append").parquet(path)
+
+
+def completed(spark: SparkSession, path: str) -> DataFrame:
+    """The finished names of a state table, each once."""
+    return spark.read.schema("task string").parquet(path).distinct()
+
+
 def add_completed(done: DataFrame, names: DataFrame) -> DataFrame:
     """The set of finished names with some more."""
     return done.unionByName(names.select(*done.columns)).distinct()

@@ -12,13 +12,46 @@ from corpusloom.functions import scores, text
 from corpusloom.operators import catalog, chunks, pairs, prompts, reports, splits
 from corpusloom.sources import io
 
+from .conftest import SF
+
 
 def value(spark, expr):
     return spark.range(1).select(expr.alias("x")).first().x
 
 
 def clean(spark, s, **options):
-    return text.clean_books(spark.createDataFrame([(1, s)], "doc_id long, text string"), "doc_id", **options).first().text
+    return text.clean_books(spark.createDataFrame([(1, s)], "doc_id long, text string"), **options).first().text
+
+
+def plain(pattern):
+    """A pattern as Python's engine reads it."""
+    flags = re.match(r"\(\?([A-Za-z]+)\)", pattern)
+    letters = flags[1] if flags else ""
+    return re.compile(pattern[flags.end() if flags else 0 :].replace(r"\z", r"\Z"), sum(getattr(re, x.upper()) for x in letters if x in "ims"))
+
+
+def plain_clean(t):
+    """The rules in order, line by line where they go by lines."""
+    t = text.FOOTNOTE.sub("", t.replace("\u00a0", " ").replace("\u200b", " "))
+    for p in (text.SIDENOTE, text.MARKER, text.CITATION, text.TRANSLATOR, text.SEPARATOR):
+        t = plain(p).sub("", t)
+    for a, b in zip("“”‘’", "\"\"''", strict=True):
+        t = t.replace(a, b)
+    t = plain(text.EMPHASIS).sub(r"\1", t.replace("--", "—"))
+    t = plain(text.STAR_LINE).sub("", re.sub("[❦†‡※]", "", t))
+    for p in (text.ILLUSTRATION, text.ILLUSTRATION_BLOCK, text.ILLUSTRATION_BRACES, text.ILLUSTRATION_LINE, text.CHAPTER, text.CHAPTER_LINE, text.PAGE, text.URL):
+        t = plain(p).sub("", t)
+    kept, skip = [], False
+    for line in t.split("\n"):
+        bare = line.strip()
+        if re.match(r"(?i)(Contents|VOLUME|CHAPTER|List of Illustrations)", bare):
+            skip = True
+        elif skip and bare and not re.match(r"\d+\.?\s", bare):
+            skip = False
+        if not skip:
+            kept.append(line)
+    t = re.sub(r"[ \t]+", " ", re.sub(r"\n\s*\n+", "\n\n", "\n".join(kept)))
+    return t.strip("_").strip()
 
 
 @pytest.mark.parametrize(
@@ -43,11 +76,40 @@ def clean(spark, s, **options):
 )
 def test_cleaning_rules(spark, raw, want):
     got = clean(spark, raw)
+    assert got == plain_clean(raw)
     assert re.sub(r"\n+", "\n", got) == re.sub(r"\n+", "\n", want)
 
 
+def test_blank_lines_become_one(spark):
+    assert clean(spark, "a\n\n \n\n\nb\nc") == "a\n\nb\nc"
+
+
+def test_cleaning_against_pythons_engine(spark):
+    from corpusloom.plans.cleaning import AFTER, BEFORE, TOC
+
+    docs = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    raws = [BEFORE + TOC + t + AFTER for t in docs] + [TOC, "Contents", "1. x\nContents\n2.\n3.  \n 4. y\nText\n5 z", "\nVolume\n\n"]
+    df = spark.createDataFrame([(t,) for t in raws], "text string")
+    assert sorted(r.text for r in text.clean_books(df).collect()) == sorted(map(plain_clean, raws))
+
+
+def test_cleaning_needs_no_key(spark):
+    """Rows that share a key, or have none, keep their own lines."""
+    rows = [(None, "one\ntwo"), (1, "a\nb"), (1, "c\nd"), (None, None)]
+    got = text.clean_books(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.text for r in got) == Counter(["one\ntwo", "a\nb", "c\nd", ""])
+
+
+def test_contents_of_a_very_long_text(spark):
+    raw = "Contents\n" + "1. x\n" * 200_000 + "Body\n" + "line\n" * 200_000
+    got = spark.createDataFrame([(raw,)], "text string").select(text.without_contents(F.col("text")).alias("t")).first().t
+    assert got == "Body\n" + "line\n" * 200_000
+
+
 def test_footnotes_and_options(spark):
-    assert clean(spark, "Lead.\n[1] a long note of words\nmore\n[2] x") == "Lead.\n\nx" or "note" not in clean(spark, "Lead.\n[1] a long note of words\nmore\n[2] x")
+    assert clean(spark, "Lead.\n[1] a long note of words\nmore\n[2] x") == "Lead.\n x"
+    assert clean(spark, "Lead.\n[1] a long note of words to the end") == "Lead."
+    assert clean(spark, "Lead.\n[1] two words.\nBody") == "Lead.\n two words.\nBody"
     assert clean(spark, "“q”", quotes=False) == "“q”"
     long = "{" + "a " * 30_000 + "}" + "word " * 20_000
     assert len(clean(spark, long)) > 90_000
@@ -110,18 +172,39 @@ def test_water_fill(spark):
     def rounds(available, total):
         have, left = dict.fromkeys(sorted(available), 0), total
         while left > 0 and (active := [s for s in have if have[s] < available[s]]):
-            share = max(1, left // len(active))
+            share = -(-left // len(active))
             for s in active:
                 take = min(share, available[s] - have[s], left)
                 have[s] += take
                 left -= take
         return have
 
-    for available, total in (({"a": 5, "b": 100, "c": 100}, 60), ({"a": 1, "b": 2, "c": 3}, 100), ({"a": 10, "b": 10, "c": 10}, 10), ({"a": 0, "b": 7}, 3)):
+    for available, total in (({"a": 5, "b": 100, "c": 100}, 60), ({"a": 1, "b": 2, "c": 3}, 100), ({"a": 10, "b": 10, "c": 10}, 10), ({"a": 0, "b": 7}, 3), ({"a": 3, "b": 50, "c": 9, "d": 50}, 61), ({"a": 1}, 0)):
         got = {r.subject: r.quota for r in pairs.water_fill(spark.createDataFrame(list(available.items()), "subject string, available long"), total).collect()}
         assert sum(got.values()) == min(total, sum(available.values())) and got == rounds(available, total)
 
 
+def test_judged_halves_then_caps(spark):
+    score = lambda base, on, t: value(spark, scores.judged(F.lit(base), F.lit(on), F.lit(t), F.lit("Ann"), F.lit("Tale")))
+    assert score(8, False, "by ann\nTHE END.") == 2 and score(3, False, "by ann\nTHE END.") == 1 and score(8, True, "by ann\nTHE END.\n\n") == 2
+    assert score(9, False, "x\nTHE END.") == 4 and score(9, True, "x\n THE END. \t\n") == 9 and score(9, True, "THE END. x") == 0
+
+
+def test_subjects_of_one_author_give_no_pairs(spark):
+    rows = [("s", "a", "b1", "x"), ("s", "a", "b2", "y"), ("t", "a", "b1", "x"), ("t", "a", "b2", "y"), ("t", "c", "b3", "z")]
+    df = spark.createDataFrame(rows, "subject string, author_id string, book_id string, text string")
+    assert [r.subject for r in pairs.positive_pairs(df).collect()] == ["t"]
+
+
+def test_report_order(spark):
+    rows = [("m", "10", st, k, 0.5) for st in ("FT", "Base") for k in ("cross", "same")] + [("m", "9", "Base", "cross", None), ("a", "x", "Base", "cross", 1.0)]
+    got = reports.overall(spark.createDataFrame(rows, "model string, split string, status string, pair_type string, score double")).collect()
+    assert [(r.model, r.split, r.status, r.pair_type) for r in got] == [("a", "x", "Base", "cross"), ("m", "9", "Base", "cross"), ("m", "10", "Base", "same"), ("m", "10", "Base", "cross"), ("m", "10", "FT", "same"), ("m", "10", "FT", "cross")]
+    assert [r.comparisons for r in got][1] == 1
+    books = spark.createDataFrame([(1, "t", "b", "s"), (2, "u", "a", "s"), (3, "t", "a", "s")], "book_id long, title string, author string, subject string")
+    assert [r.book_id for r in catalog.in_report_order(books).collect()] == [3, 2, 1]
+
+
 def graded(spark):
     rows, n = [], 0
     for s in range(2):
@@ -207,7 +290,8 @@ def test_validation_options(spark):
 
 def test_cycle_of_nothing(spark):
     p, c = spark.createDataFrame([], "p long, prompt string"), spark.createDataFrame([(0, "t")], "c long, text string")
-    assert prompts.cycle(p, c, 3).count() == 0 and prompts.cycle(spark.createDataFrame([(0, "x")], "p long, prompt string"), c.limit(0), 3).count() == 0
+    c = c.withColumn("author", F.lit("a"))
+    assert prompts.cycle(p, c, 3, "author").count() == 0 and prompts.cycle(spark.createDataFrame([(0, "x")], "p long, prompt string"), c.limit(0), 3, "author").count() == 0
 
 
 def test_generation_rounds(spark):
@@ -225,7 +309,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "book_1.txt").write_bytes(b"line\n\xffend")
     meta = spark.createDataFrame([(1, "book_1.txt"), (2, "book_2.txt")], "id long, filename string")
-    assert [r.id for r in io.read_texts(spark, meta, str(tmp_path / "t")).collect()] == [1]
+    assert [(r.id, r.text) for r in io.read_texts(spark, meta, str(tmp_path / "t")).collect()] == [(1, "line\nend")]
     assert [r.id for r in io.missing_files(spark, meta, str(tmp_path / "t")).collect()] == [2]
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n{broken\n{"a": 2}\n')
     assert [r.a for r in io.read_lines(spark, str(tmp_path / "l.jsonl"), "a long").collect()] == [1, 2]
