@@ -107,8 +107,8 @@ def test_contents_of_a_very_long_text(spark):
 
 
 def test_footnotes_and_options(spark):
-    assert clean(spark, "Lead.\n[1] a long note of words\nmore\n[2] x") == "Lead.\n x"
-    assert clean(spark, "Lead.\n[1] a long note of words to the end") == "Lead."
+    assert clean(spark, "Lead.\n[1] a long note of words\nmore\n[2] x") == "Lead.\n\n x"
+    assert clean(spark, "Lead.\n[1] a long note of words to the end\n") == "Lead."
     assert clean(spark, "Lead.\n[1] two words.\nBody") == "Lead.\n two words.\nBody"
     assert clean(spark, "“q”", quotes=False) == "“q”"
     long = "{" + "a " * 30_000 + "}" + "word " * 20_000
