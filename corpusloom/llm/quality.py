@@ -6,10 +6,11 @@ chain.  Forward-backward gives each line's marginal; weighted by line lengths
 they aggregate into the document's, which a two-parameter logistic curve maps to
 the score.
 
-Labels exist for documents only.  A first field is trained with each line under
-its document's label; lines that it gives to the other state for sure are moved
-there (unless they are all of their document), and the field is trained again, so
-its transitions learn how good and bad lines follow each other.
+Labels exist for documents only.  A first field of single lines, without neighbours,
+is trained with each line under its document's label; lines that it gives to the
+other state for sure are moved there (unless they are all of their
+document), and the whole field is trained on these states, so its transitions learn
+how good and bad lines follow each other.
 
 Null counts as empty; an empty text is one empty line, and has a score.  With no
 training rows, or of one class only, every score is that class's share (0.5
@@ -230,8 +231,9 @@ def fit_features(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int])
     x = (x - model.mean) / model.scale
     importance = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
     state = np.repeat(y, lengths)
-    w, b, trans, start = _train(x, state, lengths, importance)
-    good = forward_backward(x @ w + b, lengths, trans * 0, start)[0][:, 1]  # each line by itself
+    own, single = x[:, :_WIDTH], np.ones(len(x), np.int64)  # each line a chain of its own
+    w, b, _, start = _train(own, state, single, np.repeat(importance / lengths, lengths) * len(x) / len(lengths))
+    good = forward_backward(own @ w + b, single, np.zeros((2, 2)), start)[0][:, 1]
     moved = np.where(state == 1, good < 1 - SURE, good > SURE)
     begin = np.cumsum(lengths) - lengths
     moved &= ~np.repeat(np.logical_and.reduceat(moved, begin), lengths)
