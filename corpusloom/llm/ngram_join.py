@@ -267,9 +267,9 @@ def _likely(docs: DataFrame, members: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(6, (members.count() * BITS_EACH).bit_length()))
     place = lambda i, h: F.pmod(F.xxhash64(h, i), F.lit(bits)).alias("place")
-    words = members.select(place("id", "h")).select(F.floor(F.col("place") / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = members.select(place("id", "h")).select(F.floor(F.col("place") / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     there = np.zeros(bits // 64, np.uint64)
-    there[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    there[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(there)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +300,7 @@ def _sets_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = components(candidates).join(nodes.select("node", "set_key", "n", "row"), "node")
     sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / F.least(F.lit(BLOCK_NODES), F.greatest(F.lit(LEAST_BLOCK_NODES), F.count("*") / BLOCKS)))).cast("int").alias("blocks"))
     members = groups.join(sizes, "component").select(F.col("row.doc_id").alias("id"), F.col("row.hash").alias("h"), "node", "set_key", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    members = durable(members)  # it is read three times
     # rows without an id may repeat a text, which is then sent once
     likely = _likely(docs, members)
     one = likely.where("doc_id is not null").unionByName(likely.where("doc_id is null").distinct())
