@@ -215,12 +215,12 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Lang
         return F.aggregate(mine, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))).alias(f"mask{plane}")
 
     planes = -(-len(languages) // 64)
-    kept = by_h.select("h", *map(word, range(planes))).where(" or ".join(f"mask{p} != 0" for p in range(planes))).toPandas()
+    kept = by_h.select("h", *map(word, range(planes))).where(" or ".join(f"mask{p} != 0" for p in range(planes))).toArrow()
     size = 1 << max(6, int(np.ceil(np.log2(max(1, len(kept) * SLOTS_EACH)))))
     slots = np.zeros((planes, size), np.uint64)
-    h = kept["h"].to_numpy(np.int64).view(np.uint64)
+    h = kept["h"].to_numpy().view(np.uint64)
     for plane in range(planes):
-        mask = kept[f"mask{plane}"].to_numpy(np.int64).view(np.uint64)
+        mask = kept[f"mask{plane}"].to_numpy().view(np.uint64)
         for i in range(PROBES):
             np.bitwise_or.at(slots[plane], (h + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1)) & np.uint64(size - 1)).astype(np.int64), mask)
     return LanguageFilter(languages, slots, max(languages, key=lambda k: (sizes[k], k)))
