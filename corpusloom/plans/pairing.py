@@ -114,11 +114,11 @@ def graded_pairs(spark, sf):
 
 
 @query(_UNION + """, s AS (SELECT DISTINCT subject FROM rows_), x AS (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS score)
-SELECT subject, score, CAST(40 AS BIGINT) AS n_pairs, CAST(40 AS BIGINT) AS n_distinct, CAST(40 AS BIGINT) AS n_right FROM s, x""")
+SELECT subject, score, true AS within, true AS distinct_pairs, true AS right_pairs FROM s, x""")
 def graded_pairs_totals(spark, sf):
-    """What holds of the graded pairs whatever the draws: every subject and score
-    has its quota, no pair comes twice, and each obeys its score's rules (authors,
-    books, ratios of the score's bin)."""
+    """What holds of the graded pairs whatever the draws: no subject and score
+    has more than its quota, no pair comes twice, and each obeys its score's rules
+    (authors, books, ratios of the score's bin)."""
     rows, pairs = _graded(spark, sf)
     own = ops.balanced(pairs, 40)
     side = lambda n: rows.select(F.col("chunk_id").alias(f"id{n}"), *(F.col(c).alias(f"{c}{n}") for c in ("author_id", "book_id", "mask_ratio", "is_refilled")), F.col("subject").alias(f"subject{n}"))
@@ -132,7 +132,10 @@ def graded_pairs_totals(spark, sf):
     fits = F.when(ends, ~F.col("is_refilled1") & ~F.col("is_refilled2")).otherwise(F.col("bin") == F.round("score", 1))
     right = fits & (same == (F.col("score") > 0.5)) & (F.col("book_id1") != F.col("book_id2")) & (F.col("subject1") == F.col("subject")) & (F.col("subject2") == F.col("subject"))
     key = F.concat_ws(":", F.least("id1", "id2").cast("string"), F.greatest("id1", "id2").cast("string"))
-    return both.groupBy("subject", "score").agg(F.count("*").alias("n_pairs"), F.countDistinct(key).alias("n_distinct"), F.count_if(right).alias("n_right"))
+    got = both.groupBy("subject", "score").agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_distinct"), F.count_if(right).alias("n_right"))
+    every = rows.select("subject").distinct().withColumn("score", F.explode(F.array(*map(F.lit, [0.0, 0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0]))))
+    yes = lambda c: F.coalesce(c, F.lit(True))
+    return every.join(got, ["subject", "score"], "full").select("subject", "score", yes(F.col("n") <= 40).alias("within"), yes(F.col("n_distinct") == F.col("n")).alias("distinct_pairs"), yes(F.col("n_right") == F.col("n")).alias("right_pairs"))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT subject, mask_ratio, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY subject, mask_ratio ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM chunks) WHERE place <= 7")
