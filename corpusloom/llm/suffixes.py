@@ -1,7 +1,8 @@
-"""Removal of repeated 50-byte strings by distributed prefix doubling.
+"""Removal of repeated 50-byte strings by ranks at growing lengths.
 
-A position's rank for length 2n comes from its rank for n and that of the
-position n further on.  Ranks here are names: fingerprints of the pair of
+This departs from distributed prefix doubling, where Spark sorts rank pairs of all
+live positions and reranks them: the README says why, with figures.  As there, a
+position's rank for a length comes from its ranks for shorter ones.  Ranks here are names: fingerprints of the pair of
 shorter ranks instead of places in a sorted list, so a document works out its own
 ranks at all lengths without asking others.  What has to be sorted among all
 documents are (rank, document) pairs, at three growing lengths; what is unique
