@@ -51,6 +51,13 @@ def partitioned_splits(spark, sf):
     return io.read_split(spark, path, "2", "4").select("id", "model", "split", "score")
 
 
+@query(f"WITH {RESULTS_SQL} SELECT id, model, score FROM results WHERE split = '3'")
+def split_folder(spark, sf):
+    path = scratch(spark)
+    io.write_splits(results(spark, sf), path)
+    return io.read_folder(spark, path, "3").select("id", "model", "score")
+
+
 @query("SELECT split, row_number() OVER (ORDER BY CAST(split AS BIGINT)) AS place FROM (SELECT DISTINCT CAST(p_size AS VARCHAR) AS split FROM part)")
 def numeric_splits(spark, sf):
     own = io.table(spark, sf, "part").select(F.col("p_size").cast("string").alias("split"))

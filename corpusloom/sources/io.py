@@ -96,6 +96,11 @@ def read_split(spark: SparkSession, path: str, *splits: str) -> DataFrame:
     return df.where(F.col("split").isin(*splits)) if splits else df
 
 
+def read_folder(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """One split by its folder alone; the name of the split is no column then."""
+    return spark.read.parquet(f"{path}/split={split}")
+
+
 def numeric_splits(df: DataFrame) -> DataFrame:
     """Names of the all-digit splits in numeric order, or, where there are none,
     of all splits in lexical order, with their place."""
