@@ -97,7 +97,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(n) AS BIGINT) AS formatted_chars FROM r GROUP BY conv_id"""
 
 _OP8 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d)),
+blocks AS (SELECT doc_id, n, pos, substr(h, 2 * pos + 1, 2098) AS g FROM (SELECT *, unnest(range(0, greatest(n - 49, 0), 1000)) AS pos FROM d)),
+w AS (SELECT doc_id, pos + q AS p, hash(substr(g, 2 * q + 1, 100)) AS w FROM (SELECT *, unnest(range(0, least(1000, n - 49 - pos))) AS q FROM blocks)),
 f AS (SELECT w, min(doc_id) AS first FROM w GROUP BY w HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM w JOIN f USING (w) WHERE first < doc_id),
 span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit) GROUP BY doc_id, k),
