@@ -1,7 +1,7 @@
 """The queries of the training-data operators, by name.
 
 Each applies one operator with its production parameters to its whole table.
-Three have an SQL oracle, that is a brute-force version in DuckDB; all are tested
+Some have an SQL oracle, that is a brute-force version in DuckDB; all are tested
 against brute force, round trips, libraries and held-out accuracy in ``tests/llm``.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, merkle, ngram_join, quality, suffixes, token_counts
+from . import bpe, chat, clusters, decontaminate, langid, licenses, merkle, ngram_join, quality, suffixes, token_counts
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_dual_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     """Every query of this subpackage."""
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
@@ -108,6 +112,16 @@ SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_remov
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+_NEAREST = """n{0} AS MATERIALIZED (SELECT rid, CAST(min(d * 16 + c) % 16 AS INTEGER) AS c, CAST(min(d * 16 + c) // 16 AS BIGINT) AS d FROM
+  (SELECT rid, c, CAST(list_sum(list_transform(list_zip(k.v, c{0}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM k, c{0}) GROUP BY rid)"""
+_MOVED = """c{1} AS MATERIALIZED (SELECT c{0}.c, coalesce(m.v, c{0}.v) AS v FROM c{0} LEFT JOIN (SELECT c, list(CAST(floor(s / n) AS BIGINT) ORDER BY p) AS v FROM
+  (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS p FROM n{0} JOIN k USING (rid)) GROUP BY c, p) GROUP BY c) m USING (c))"""
+_OP11 = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM k QUALIFY c < 16),
+{", ".join(_NEAREST.format(i) + (", " + _MOVED.format(i, i + 1) if i < 3 else "") for i in range(4))}
+SELECT vec_id, n3.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n3.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM n3 JOIN k USING (rid) JOIN c3 ON c3.c = n3.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that it can express whole."""
-    return {"op2_ngram_join": _OP2, "op7_chat_format": _OP7, "op8_suffix_dedup": _OP8}
+    return {"op2_ngram_join": _OP2, "op7_chat_format": _OP7, "op8_suffix_dedup": _OP8, "op11_dual_tree_clusters": _OP11}
