@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, clusters, decontaminate, langid, licenses, merkle, ngram_join, quality, suffixes, token_counts
+from . import bpe, chat, clusters, decontaminate, langid, licenses, merkle, ngram_join, quality, shards, suffixes, token_counts
 from .common import table
 
 
@@ -75,6 +75,10 @@ def op11_dual_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shards(table(spark, sf_dir, "documents")).drop("bucket")
+
+
 def queries() -> dict:
     """Every query of this subpackage."""
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
@@ -122,6 +126,44 @@ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(C
 SELECT vec_id, n3.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n3.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM n3 JOIN k USING (rid) JOIN c3 ON c3.c = n3.c"""
 
 
+def _turn(x: str, by: str) -> str:
+    """SQL that turns four bits to the right."""
+    return f"((({x}) >> (({by}) % 4)) | (({x}) << (4 - (({by}) % 4)))) & 15"
+
+
+def _descent(k: int) -> str:
+    """SQL of one level down the curve: from entry, direction and index to the
+    next ones (w: the corner's place, by the inverse Gray code)."""
+    corner = " + ".join(f"((({c}_cell >> {3 - k}) & 1) << {i})" for i, c in enumerate(shards.DIMENSIONS))
+    turned = _turn(f"xor({corner}, e)", "d + 1")
+    entry = "CASE WHEN w = 0 THEN 0 ELSE xor((w - 1) // 2 * 2, (w - 1) // 2) END"
+    return f"""w{k} AS (SELECT *, xor(xor(l, l >> 1), xor(l >> 2, l >> 3)) AS w FROM (SELECT *, {turned} AS l FROM h{k})),
+h{k + 1} AS (SELECT * EXCLUDE (e, d, idx, w, l), xor(e, {_turn(entry, "3 - d")}) AS e, (d + 1 + CASE WHEN w = 0 THEN 0 ELSE [0, 1, 0, 2, 0, 1, 0, 3, 0, 1, 0, 2, 0, 1, 0, 4][CASE WHEN w % 2 = 1 THEN w ELSE w - 1 END + 1] % 4 END) % 4 AS d, idx * 16 + w AS idx FROM w{k})"""
+
+
+def _cells(c: str) -> str:
+    """SQL of a dimension's bins and of the share of rows before each."""
+    return f"""{c}_ends AS (SELECT min({c}_key) AS a, (max({c}_key) - min({c}_key)) // 4096 + 1 AS w FROM keys),
+{c}_bins AS (SELECT rid, coalesce({c}_key // w - a // w, 0) AS bin FROM keys, {c}_ends),
+{c}_cells AS (SELECT rid, CAST(((rank() OVER (ORDER BY bin) - 1) * 16) // (SELECT count(*) FROM rows_) AS INTEGER) AS {c}_cell FROM {c}_bins)"""
+
+
+def _word_key(c: str) -> str:
+    same = f"(SELECT max(i) FROM (SELECT min(hex(encode({c}))) AS a, max(hex(encode({c}))) AS b FROM rows_), range(0, 100000) t(i) WHERE i <= least(length(a), length(b)) // 2 AND left(a, 2 * i) = left(b, 2 * i))"
+    return f"CAST('0x' || rpad(substr(hex(encode({c})), 2 * {same} + 1, 12), 12, '0') AS BIGINT) AS {c}_key"
+
+
+_OP12 = f"""WITH tab AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+rows_ AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, tab),
+keys AS MATERIALIZED (SELECT rid, doc_id, size, text_crc32, {_word_key("source")}, {_word_key("lang")}, 64 * length(bin(size)) + ((size * 64) >> (length(bin(size)) - 1)) AS size_key, doc_id AS doc_id_key FROM rows_),
+{", ".join(map(_cells, shards.DIMENSIONS))},
+h0 AS (SELECT rid, doc_id, size, text_crc32, {", ".join(f"{c}_cell" for c in shards.DIMENSIONS)}, 0 AS e, 0 AS d, CAST(0 AS BIGINT) AS idx FROM keys {" ".join(f"JOIN {c}_cells USING (rid)" for c in shards.DIMENSIONS)}),
+{", ".join(map(_descent, range(4)))},
+p AS (SELECT *, row_number() OVER (ORDER BY idx, CAST('0x' || left(md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(text_crc32 AS VARCHAR))), 8) AS BIGINT) % 4096, doc_id NULLS FIRST, size, text_crc32) - 1 AS place, count(*) OVER () AS n FROM h4)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 16 // n AS INTEGER) AS shard, CAST(place - (place * 16 // n * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(idx AS BIGINT) AS hilbert FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that it can express whole."""
-    return {"op2_ngram_join": _OP2, "op7_chat_format": _OP7, "op8_suffix_dedup": _OP8, "op11_dual_tree_clusters": _OP11}
+    return {"op2_ngram_join": _OP2, "op7_chat_format": _OP7, "op8_suffix_dedup": _OP8, "op11_dual_tree_clusters": _OP11, "op12_hilbert_shards": _OP12}
