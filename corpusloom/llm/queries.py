@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, clusters, decontaminate, langid, licenses, merkle, ngram_join, quality, shards, suffixes, token_counts
+from . import bpe, chat, clusters, decontaminate, langid, licenses, merkle, ngram_join, quality, repair, shards, suffixes, token_counts
 from .common import table
 
 
@@ -79,6 +79,10 @@ def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shards(table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     """Every query of this subpackage."""
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
