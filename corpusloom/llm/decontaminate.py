@@ -3,11 +3,12 @@
 The test items are indexed: for each term the items that have it with their BM25
 impacts, in blocks of items with each block's greatest impact.  An impact is
 divided by the item's score against itself, so a score is the share of an item
-(by BM25 weight) that a passage holds, and one threshold fits all items.  Every
-passage of every document is a query: windows of twice the longest item, moved
-on by half a window, so that an item always lies whole in one of them.  Items of
-more than ``MOST_STEP`` words are indexed apart, by powers of two of their length,
-so that each has windows of its own size.  The tests of WAND come in their order, but
+(by BM25 weight) that a passage holds, and one threshold fits all items.  Items are
+indexed by classes of length: up to ``LEAST_STEP`` words, then by powers of two.  For
+each class every passage of every document is a query: windows of twice the class's
+greatest length, moved on by half a window, so that an item always lies whole in one of
+them, and its windows depend on its own length alone, never on the items beside it.  The
+tests of WAND come in their order, but
 for all passages of a batch at once: first the sum of the terms' greatest impacts,
 then, where that reaches the threshold, the sums of the block bounds; a passage with
 a block at or above the threshold goes through the WAND loop, which returns *all* items
@@ -18,7 +19,8 @@ which then counts as held.
 
 The index is bounded by ``INDEX_BYTES``; a larger benchmark is searched block
 after block of items, with document frequencies of the whole benchmark, and only
-one block's index is held at a time.  Null texts have no passages; null, empty or
+one block's index is held at a time.  Long texts are read in stretches of whole
+windows.  Null texts have no passages; null, empty or
 wordless items match nothing.  One row, the best, comes out for a document (id and
 text, however often it is repeated) and item id, however many texts the id stands on
 and whatever the blocks are.  Items without an id are told apart by their texts, with
@@ -31,9 +33,9 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +48,16 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs; of the question's
 #: five-grams; of the answer's words.
 SCORE, QUESTION, ANSWER, GRAM = 0.6, 0.5, 0.6, 5
-#: Words by which passages move on at least, and at most for items that are no
-#: longer; a passage has twice as many.
-LEAST_STEP, MOST_STEP = 64, 2048
+#: Words of the items of the first class at most, by which its passages move on; a
+#: passage has twice as many.
+LEAST_STEP = 64
 #: Text of the items in one index; blocks of items at most, and items of a block
-#: at least; bounds of all terms and blocks (4 bytes each); words queried at once.
-INDEX_BYTES, BLOCKS, BLOCK, BOUNDS, CHUNK = 8 << 20, 256, 4, 1 << 24, 200_000
+#: at least; bounds of all terms and blocks (4 bytes each); words queried at once;
+#: characters that are cut into words at once.
+INDEX_BYTES, BLOCKS, BLOCK, BOUNDS, CHUNK, CHARS = 8 << 20, 256, 4, 1 << 24, 200_000, 500_000
 
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_SPACE = re.compile(r"[ \t\n\r]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -92,9 +96,9 @@ class Index:
     block: int
 
 
-def build(items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_words: float, parts: int = 1) -> Index:
-    """The index of (id, text) items under a benchmark's statistics; one of so
-    many that share the room for bounds."""
+def build(items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_words: float, parts: int = 1, step: int = LEAST_STEP) -> Index:
+    """The index of a class's (id, text) items under a benchmark's statistics; one
+    of so many that share the room for bounds."""
     kept = [(i, t, w) for i, t in items if t and (w := words_of(t))]
     vocabulary = {w: n for n, w in enumerate(sorted({x for _, _, ws in kept for x in ws}))}
     impacts: list[dict[int, float]] = [{} for _ in vocabulary]
@@ -113,18 +117,17 @@ def build(items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_wo
         for d, x in zip(ds, xs, strict=True):
             bounds[t, d // block] = max(bounds[t, d // block], np.nextafter(np.float32(x), np.float32(2)))
     split = [question_and_answer(t) for _, t, _ in kept]
-    step = max([LEAST_STEP, *(len(ws) for _, _, ws in kept)])
     return Index([i for i, _, _ in kept], [t if i is None else "" for i, t, _ in kept], vocabulary, postings, bounds, [max(xs) for _, xs in postings], own, [grams(q) for q, _ in split], [Counter(a) for _, a in split], step, block)
 
 
-def by_length(items: list[tuple]) -> list[list[tuple]]:
-    """The (id, text) items of up to ``MOST_STEP`` words, and the longer ones by
-    the power of two that holds their length."""
+def by_length(items: list[tuple]) -> dict[int, list[tuple]]:
+    """The (id, text) items by their class: the least of ``LEAST_STEP`` times a
+    power of two that is not under their number of words."""
     classes: dict[int, list[tuple]] = {}
     for i, t in items:
-        n = len(words_of(t or ""))
-        classes.setdefault(0 if n <= MOST_STEP else (n - 1).bit_length(), []).append((i, t))
-    return [classes[c] for c in sorted(classes)]
+        n = -(-len(words_of(t or "")) // LEAST_STEP)
+        classes.setdefault(LEAST_STEP << max(0, n - 1).bit_length(), []).append((i, t))
+    return dict(sorted(classes.items()))
 
 
 def search(index: Index, terms: list[int], threshold: float = SCORE) -> list[tuple[int, float]]:
@@ -193,21 +196,45 @@ def _verified(index: Index, d: int, words: list[bytes], held: set, bag: Counter)
     return question, answer
 
 
+def stretches(text: str, size: int, reach: int) -> Iterator[list[bytes]]:
+    """The words of a text in stretches of ``size`` and the ``reach`` behind it; the
+    text is cut into words part by part, at white space."""
+    held: list[bytes] = []
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + CHARS)
+        end = cut.end() if cut else len(text)
+        held += words_of(text[at:end])
+        at = end
+        while len(held) > size + reach:
+            yield held[: size + reach]
+            del held[:size]
+    if held:
+        yield held
+
+
 def find(group: list[Index], texts: list[str]) -> Iterator[tuple[int, Index, int, float, float, float]]:
     """(text, index, item, score, question, answer): the best passage of each
-    verified pair."""
+    verified pair, once for each stretch of a text that has one."""
+    reach = max((index.step for index in group), default=1)
+    size = -(-CHUNK // reach) * reach  # whole steps of every class
     own: list[tuple[int, list[bytes]]] = []
-    size = 0
+    n = 0
+
+    def search_own() -> Iterator[tuple[int, Index, int, float, float, float]]:
+        for index in group:
+            # a class needs one of its own steps behind the stretch
+            for i, *found in _find_some(index, [(i, words[: size + index.step]) for i, words in own]):
+                yield i, index, *found
+
     for i, text in enumerate(texts):
-        words = words_of(text)
-        if words:
+        for words in stretches(text, size, reach):
             own.append((i, words))
-            size += len(words)
-        if size >= CHUNK or i == len(texts) - 1:
-            for index in group:
-                for i, *found in _find_some(index, own):
-                    yield i, index, *found
-            own, size = [], 0
+            n += len(words)
+            if n >= CHUNK:
+                yield from search_own()
+                own, n = [], 0
+    yield from search_own()
 
 
 def _find_some(index: Index, own: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, int, float, float, float]]:
@@ -289,32 +316,47 @@ def indexes(benchmark: DataFrame) -> Iterator[tuple[list[Index], int]]:
         frequency = {bytes(r.word): r.n for r in by_word.where(F.array_contains("blocks", b)).select("word", "n").collect()}
         rows = sorted({(r.item_id, r.text) for r in items.where(F.col("block") == b).collect()}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         classes = by_length(rows)
-        yield [build(own, frequency, n, mean, len(classes)) for own in classes], blocks
+        yield [build(own, frequency, n, mean, len(classes), step) for step, own in classes.items()], blocks
 
 
 SCHEMA = "doc_id long, item_id long, score double, bm25 double, question_overlap double, answer_overlap double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and test item it holds."""
+_FOUND = "doc_id long, of string, item_id long, item string, score double, bm25 double, question_overlap double, answer_overlap double"
+
+
+def _md5(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _hits(docs: DataFrame, groups: Iterable[tuple[list[Index], int]]) -> DataFrame | None:
+    """A row for each verified pair, with the digests of the text and, where it has
+    no id, of the item.  Of several blocks each is searched and written before the
+    next one is built."""
     docs, out = doc_columns(docs), None
-    for group, blocks in indexes(benchmark):
+    kinds = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in _FOUND.split(", ")]
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    for group, blocks in groups:
 
         def run(batches: Iterator[pa.RecordBatch], group: list[Index] = group) -> Iterator[pa.RecordBatch]:
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()] + [pa.float64()] * 4
-            digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             for batch in slices(batches):
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 rows = []
                 for i, index, d, score, q, a in find(group, texts):
                     item = index.ids[d]
-                    rows.append((ids[i].as_py(), digest(texts[i]), item, digest(index.texts[d]) if item is None else None, score, score * index.own[d], q, a))
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "of", "item_id", "item", "score", "bm25", "question_overlap", "answer_overlap"])
+                    rows.append((ids[i].as_py(), _md5(texts[i]), item, _md5(index.texts[d]) if item is None else None, score, score * index.own[d], q, a))
+                cols = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-        found = docs.mapInArrow(run, "doc_id long, of binary, item_id long, item binary, score double, bm25 double, question_overlap double, answer_overlap double")
+        found = docs.mapInArrow(run, _FOUND)
         found = durable(found) if blocks > 1 else found  # so that the next block's index is the only one
         out = found if out is None else out.unionByName(found)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and test item it holds."""
+    out = _hits(docs, indexes(benchmark))
     if out is None:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     best = F.max(F.struct("score", "bm25", "question_overlap", "answer_overlap")).alias("best")
@@ -324,10 +366,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns.
 
-    The search runs inside the filter, so no rows are shuffled."""
-    for group, _ in indexes(benchmark):
-        docs = where_text(docs, _free_of(group))
-    return docs
+    An index of one block is searched inside the filter, and no rows are shuffled.
+    Of more blocks each writes the ids and digests of the texts that it finds, and
+    the documents are joined against those."""
+    groups = indexes(benchmark)
+    first = next(groups, None)
+    if first is None:
+        return docs
+    if first[1] == 1:
+        return where_text(docs, _free_of(first[0]))
+    found = _hits(docs, chain([first], groups)).select(F.col("doc_id").alias("_id"), F.col("of").alias("_of")).distinct()
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.md5(text.cast("binary")) == found["_of"]), "left_anti")
 
 
 def _free_of(group: list[Index]):

@@ -321,15 +321,57 @@ def test_one_row_for_an_id_of_many_texts(spark, monkeypatch, size):
     assert all(r.score > 0.99 for r in got)
 
 
+@pytest.mark.parametrize("size", [8 << 20, 3000, 60])
+def test_windows_depend_on_an_item_alone(spark, monkeypatch, size):
+    """A short item whose question and answer stand 700 words apart is not found,
+    whatever longer items stand beside it; each length is found whole in its windows."""
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    question, answer = text(22), text(8)
+    bench = [(1, f"{question}. {answer}."), *((n, f"{text(n - 9)}. {text(9)}.") for n in (40, 64, 65, 128, 200, 500, 1600))]
+    rows = [(-1, f"{question}. {text(700)} {answer}."), *((i, f"{text(77)} {t} {text(50)}") for i, t in bench)]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, of string").repartition(3)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in bench} and len(got) == len(bench)
+    kept = decontaminate.decontaminate(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [-1]
+
+
+def test_stretches_of_a_long_text_hold_every_passage(monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    bench = [(n, f"{text(n - 9)}. {text(9)}.") for n in (30, 90, 250)]
+    long = " ".join(f"{text(rng.randint(100, 900))} {bench[k % 3][1]}" for k in range(40))
+    frequency = Counter(w for _, t in bench for w in set(decontaminate.words_of(t)))
+    group = [decontaminate.build(own, frequency, 3, 120.0, 3, step) for step, own in decontaminate.by_length(bench).items()]
+    assert [g.step for g in group] == [64, 128, 256]
+
+    def best():
+        out = {}
+        for i, index, d, *x in decontaminate.find(group, ["", long, long[:5000]]):
+            out[i, index.ids[d]] = max(out.get((i, index.ids[d]), ()), tuple(x))
+        return out
+
+    whole = best()
+    monkeypatch.setattr(decontaminate, "CHUNK", 300)
+    monkeypatch.setattr(decontaminate, "CHARS", 1000)
+    assert max(map(len, decontaminate.stretches(long, 512, 256))) == 768
+    assert best() == whole and {k for _, k in whole} == {30, 90, 250}
+
+
 def plain_contamination(docs, bench):
     """Every passage against every item: BM25 shares, then both overlaps."""
     words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
     kept = [(i, words(t), t) for i, t in bench if words(t)]
     df = Counter(w for _, ws, _ in kept for w in set(ws))
     mean = sum(len(ws) for _, ws, _ in kept) / len(kept)
-    step = max(64, *(len(ws) for _, ws, _ in kept))
     out = {}
     for item, ws, text in kept:
+        step = next(64 << k for k in range(40) if 64 << k >= len(ws))
         norm = 1.2 * (0.25 + 0.75 * len(ws) / mean)
         weight = {w: np.log(1 + (len(kept) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + norm) for w, n in Counter(ws).items()}
         total = sum(weight.values())
