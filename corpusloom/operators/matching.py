@@ -79,13 +79,15 @@ def _settled(state: DataFrame, n_caps: int) -> DataFrame:
     return rows.where(~gone).select(*_EDGE, F.when(ended, left).otherwise(F.col("room")).alias("room"), F.when(ended & ~taken, F.col("k") + 1).otherwise(F.col("k")).alias("k"), new.alias("state"))
 
 
-def fitting(edges: DataFrame, used: DataFrame, cap: Column, scope: Sequence[str], order: Sequence) -> DataFrame:
-    """The edges (ends ``a`` and ``b``) that fit under a cap whatever is done with
-    those before them: used (scope, v, n) and the edges before it leave room at both
-    ends."""
-    end = lambda c: F.struct(F.col(c).alias("v"))
-    ends = edges.withColumn("e", F.explode(F.array(end("a"), end("b")))).withColumn("v", F.col("e.v")).drop("e")
-    place = F.row_number().over(Window.partitionBy(*scope, "v").orderBy(*order))
-    ends = ends.withColumn("place", place).join(used, [*scope, "v"], "left")
-    fits = F.min((F.col("place") + F.coalesce("n", F.lit(0)) <= cap).cast("int")).alias("fits")
-    return ends.groupBy(*edges.columns).agg(fits).where("fits = 1").drop("fits")
+def fitting(edges: DataFrame, used: DataFrame, scope: str, order: Sequence) -> DataFrame:
+    """The edges (ends ``a`` and ``b``) that fit under their ``cap`` whatever is done
+    with those before them: used (scope, v, n) and the edges before it leave room at
+    both ends.  Edges with an end that is used up take no room."""
+    for c in ("a", "b"):
+        edges = edges.join(used.select(scope, F.col("v").alias(c), F.col("n").alias(f"n_{c}")), [scope, c], "left")
+    edges = edges.na.fill(0, ["n_a", "n_b"]).where("greatest(n_a, n_b) < cap")
+    end = lambda c: F.struct(F.col(c).alias("v"), F.col(f"n_{c}").alias("n"))
+    ends = edges.withColumn("e", F.explode(F.array(end("a"), end("b"))))
+    place = F.row_number().over(Window.partitionBy(scope, "e.v").orderBy(*order))
+    ends = ends.withColumn("over", F.col("e.n") + place > F.col("cap"))
+    return ends.groupBy(*edges.columns).agg(F.max("over").alias("over")).where(~F.col("over")).drop("over", "n_a", "n_b")

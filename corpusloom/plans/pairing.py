@@ -75,35 +75,62 @@ def quota_waterfill(spark, sf):
     return _quotas(spark, sf)
 
 
-@query(_QUOTA + """, got AS (SELECT subject, unnest(['positive', 'negative']) AS label, unnest([CAST(least(positives, quota - least(negatives, quota - least(positives, (quota + 1) // 2))) AS BIGINT), CAST(least(negatives, quota - least(positives, (quota + 1) // 2)) AS BIGINT)]) AS n FROM q)
-SELECT subject, label, true AS within, true AS known_once, true AS used_enough FROM got WHERE n > 0""")
+#: Pairs of a size split at most, and the splits that chunks are dealt to.
+_A_SPLIT, _N_SPLITS = 100, 6
+_IN_SPLITS = CHUNKS_SQL.replace("'subject' ||", f"CAST(500 * (1 + doc_id % {_N_SPLITS}) AS VARCHAR) || '|subject' ||")
+# every pair of texts is a candidate once; of each split up to so many, dealt to its subjects in rounds
+_CANDIDATES = f"""pos AS (SELECT DISTINCT subject, key1, key2 FROM ({_POS})), neg AS (SELECT DISTINCT subject, key1, key2 FROM ({_NEG})),
+available AS (SELECT split_part(subject, '|', 1) AS split, split_part(subject, '|', 2) AS subject, sum(p) AS positives, sum(n) AS negatives, sum(p) + sum(n) AS available FROM (SELECT subject, 1 AS p, 0 AS n FROM pos UNION ALL SELECT subject, 0, 1 FROM neg) GROUP BY ALL),
+one AS (SELECT split, list(subject ORDER BY subject) AS s, list(available ORDER BY subject) AS a, count(*) AS k FROM available GROUP BY split),
+step AS (SELECT split, 0 AS i, 1 AS pos, s, a, k, least({_A_SPLIT}, list_sum(a))::BIGINT AS rest, CAST(NULL AS BIGINT) AS share, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS given FROM one
+  UNION ALL SELECT split, i + 1, CASE WHEN pos = k THEN 1 ELSE pos + 1 END, s, a, k, rest - take, now, list_transform(given, lambda x, j: CASE WHEN j = pos THEN x + take ELSE x END)
+  FROM (SELECT *, CASE WHEN a[pos] > given[pos] THEN CAST(least(now, a[pos] - given[pos], rest) AS BIGINT) ELSE 0 END AS take FROM
+    (SELECT *, CASE WHEN pos = 1 THEN CAST(ceil(rest / greatest(1, len(list_filter(range(1, k + 1), lambda j: a[j] > given[j])))) AS BIGINT) ELSE share END AS now FROM step WHERE rest > 0))),
+q AS (SELECT split, subject, positives, negatives, x.quota FROM available JOIN (SELECT split, unnest(s) AS subject, unnest(given) AS quota FROM (SELECT split, s, arg_max(given, i) AS given FROM step GROUP BY split, s)) x USING (split, subject)),
+got AS (SELECT split, subject, unnest(['positive', 'negative']) AS label, unnest([CAST(least(positives, quota - least(negatives, quota - least(positives, (quota + 1) // 2))) AS BIGINT), CAST(least(negatives, quota - least(positives, (quota + 1) // 2)) AS BIGINT)]) AS n FROM q)"""
+_TOTALS = _CANDIDATES.replace(CHUNKS_SQL, _IN_SPLITS)
+
+
+def _split_candidates(spark, sf):
+    """(split, subject, label, sentence1, sentence2): the pairs of six splits of the
+    chunks, each once."""
+    split = (500 * (1 + F.col("doc_id") % _N_SPLITS)).cast("string")
+    own = _eligible(spark, sf).withColumn("subject", F.concat_ws("|", split, "subject"))
+    both = ops.positive_pairs(own).withColumn("label", F.lit("positive")).unionByName(ops.ring_negatives(own).withColumn("label", F.lit("negative")))
+    part = F.split("subject", r"\|")
+    return both.select(part[0].alias("split"), part[1].alias("subject"), "label", "sentence1", "sentence2").distinct()
+
+
+def _split_quotas(candidates):
+    available = candidates.groupBy("split", "subject").agg(F.count_if(F.col("label") == "positive").alias("positives"), F.count_if(F.col("label") == "negative").alias("negatives"), F.count("*").alias("available"))
+    both = ops.water_fill(available, _A_SPLIT, "split").join(available, ["split", "subject"])
+    pos, neg = ops.halves(F.col("quota"), F.col("positives"), F.col("negatives"))
+    return both.select("split", "subject", F.explode(F.create_map(F.lit("positive"), pos.cast("long"), F.lit("negative"), neg.cast("long"))).alias("label", "quota"))
+
+
+@query("WITH RECURSIVE " + _TOTALS + " SELECT split, subject, label, n, true AS known_once FROM got WHERE n > 0")
 def reuse_min_totals(spark, sf):
-    """What holds of the selection whatever its order.  Of each subject and label:
-    no more pairs than the quota; each is a candidate, once; and where the quota is
-    not met, every other candidate has a text that was used in all the passes."""
-    pairs, eligible, q = reuse_min_selection(spark, sf), _eligible(spark, sf), _quotas(spark, sf)
-    key = lambda df: df.select("subject", "label", F.md5("sentence1").alias("a"), F.md5("sentence2").alias("b"))
-    chosen = key(pairs)
-    used = chosen.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    every = key(ops.positive_pairs(eligible).withColumn("label", F.lit("positive")).unionByName(ops.ring_negatives(eligible).withColumn("label", F.lit("negative"))))
-    both = chosen.groupBy("subject", "label", "a", "b").agg(F.count("*").alias("times")).join(every.withColumn("known", F.lit(1)), ["subject", "label", "a", "b"], "full")
-    both = both.join(used.select(F.col("t").alias("a"), F.col("n").alias("n_a")), "a", "left").join(used.select(F.col("t").alias("b"), F.col("n").alias("n_b")), "b", "left")
-    quota = q.select("subject", F.explode(F.create_map(F.lit("positive"), "n_pos", F.lit("negative"), "n_neg")).alias("label", "quota"))
-    got = both.groupBy("subject", "label").agg(F.count("times").alias("n"), F.max("times").alias("most"), F.count_if(F.col("known").isNull()).alias("strange"), F.count_if(F.col("times").isNull() & (F.greatest("n_a", "n_b", F.lit(0)) < 20)).alias("open"))
-    return got.join(quota.where("quota > 0"), ["subject", "label"]).select("subject", "label", (F.col("n") <= F.col("quota")).alias("within"), ((F.col("most") == 1) & (F.col("strange") == 0)).alias("known_once"), ((F.col("n") == F.col("quota")) | (F.col("open") == 0)).alias("used_enough"))
+    """What holds of the selection whatever its order: of each split, subject and
+    label just as many pairs as its quota says, each a candidate, once.  (No quota is out
+    of reach: every pair is a candidate until its texts were used in 20 passes.)"""
+    candidates = _split_candidates(spark, sf).checkpoint()
+    quotas = _split_quotas(candidates).checkpoint()
+    chosen = ops.select_with_least_reuse(candidates, quotas)
+    key = lambda df: df.select("split", "subject", "label", F.md5("sentence1").alias("a"), F.md5("sentence2").alias("b"))
+    pairs = key(chosen).groupBy("split", "subject", "label", "a", "b").agg(F.count("*").alias("times")).join(key(candidates).withColumn("known", F.lit(1)), ["split", "subject", "label", "a", "b"], "left")
+    got = pairs.groupBy("split", "subject", "label").agg(F.count("*").alias("n"), ((F.max("times") == 1) & (F.count("known") == F.count("*"))).alias("known_once"))
+    every = quotas.where("quota > 0").join(got, ["split", "subject", "label"], "left")
+    return every.select("split", "subject", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("known_once", F.lit(False)).alias("known_once"))
 
 
 @query()
 def reuse_min_selection(spark, sf):
-    own = _eligible(spark, sf)
-    both = ops.positive_pairs(own).withColumn("label", F.lit("positive")).unionByName(ops.ring_negatives(own).withColumn("label", F.lit("negative"))).withColumn("split", F.lit("1500"))
-    q = _quotas(spark, sf)
-    quotas = q.select("subject", F.lit("positive").alias("label"), F.col("n_pos").alias("quota")).unionByName(q.select("subject", F.lit("negative").alias("label"), F.col("n_neg").alias("quota")))
-    return ops.select_with_least_reuse(both, quotas)
+    candidates = _split_candidates(spark, sf).checkpoint()
+    return ops.select_with_least_reuse(candidates, _split_quotas(candidates))
 
 
 def _graded(spark, sf, target=60):
-    rows = C.row_ids(rows_of(spark, sf), "index", "is_refilled")
+    rows = C.row_ids(rows_of(spark, sf), "index", "is_refilled").checkpoint()
     return rows, ops.graded_pairs(rows, scores.ratio_bins(spark), target)
 
 
@@ -113,12 +140,23 @@ def graded_pairs(spark, sf):
     return ops.with_texts(ops.balanced(pairs, 40), rows)
 
 
-@query(_UNION + """, s AS (SELECT DISTINCT subject FROM rows_), x AS (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS score)
-SELECT subject, score, true AS within, true AS distinct_pairs, true AS right_pairs FROM s, x""")
+# all pairs that a score may have, counted: those of refilled chunks surely can be drawn, while
+# originals may have gone to the extremes; a score is short only where it has no pairs left
+_GRADED = _UNION + f""", bins AS ({_BINS}), k AS (SELECT subject, author_id, book_id, round(mask_ratio, 1) AS r, is_refilled AS f, count(*) AS n FROM rows_ WHERE (mask_ratio > 0) = is_refilled GROUP BY ALL),
+both_ AS (SELECT a.subject, a.author_id = b.author_id AS same, least(a.r, b.r) AS r1, greatest(a.r, b.r) AS r2, a.f AND b.f AS fresh, NOT a.f AND NOT b.f AS plain, a.n * b.n AS n FROM k a JOIN k b ON a.subject = b.subject AND (a.author_id < b.author_id OR a.author_id = b.author_id AND a.book_id < b.book_id)),
+possible AS (SELECT subject, CASE WHEN same THEN 1.0 ELSE 0.0 END::DOUBLE AS score, n, n AS sure FROM both_ WHERE plain
+  UNION ALL SELECT subject, round(bin, 1), n, CASE WHEN fresh THEN n ELSE 0 END FROM both_ JOIN bins ON kind = CASE WHEN same THEN 'same' ELSE 'cross' END AND abs(bins.r1 - both_.r1) < 0.01 AND abs(bins.r2 - both_.r2) < 0.01 WHERE round(bin, 1) NOT IN (0.0, 0.5, 1.0)),
+s AS (SELECT DISTINCT subject FROM rows_), x AS (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS score),
+n AS (SELECT s.subject, x.score, coalesce(sum(n), 0) AS n, coalesce(sum(sure), 0) AS sure FROM s CROSS JOIN x LEFT JOIN possible p ON p.subject = s.subject AND p.score = x.score GROUP BY ALL)"""
+
+
+@query(_GRADED + " SELECT subject, score, CAST(CASE WHEN least(n, 40) = least(sure, 40) THEN least(n, 40) END AS BIGINT) AS n, true AS enough, n > 0 AS distinct_pairs, n > 0 AS right_pairs FROM n")
 def graded_pairs_totals(spark, sf):
-    """What holds of the graded pairs whatever the draws: no subject and score
-    has more than its quota, no pair comes twice, and each obeys its score's rules
-    (authors, books, ratios of the score's bin)."""
+    """What holds of the graded pairs whatever the draws.  Of each subject and score
+    there are 40 pairs, or all that can be made of its chunks where those are fewer
+    (``n``; null where that depends on which originals the extremes took: then there are
+    at least as many as can be made of refilled chunks, ``enough``).  No pair comes
+    twice, and each obeys its score's rules (authors, books, ratios of the bin)."""
     rows, pairs = _graded(spark, sf)
     own = ops.balanced(pairs, 40)
     side = lambda n: rows.select(F.col("chunk_id").alias(f"id{n}"), *(F.col(c).alias(f"{c}{n}") for c in ("author_id", "book_id", "mask_ratio", "is_refilled")), F.col("subject").alias(f"subject{n}"))
@@ -126,16 +164,32 @@ def graded_pairs_totals(spark, sf):
     same = F.col("author_id1") == F.col("author_id2")
     kind = F.when(F.col("score") > 0.5, "same").otherwise("cross")
     r = lambda f: F.round(f("mask_ratio1", "mask_ratio2"), 1)
-    bins = scores.ratio_bins(spark).select("kind", F.round("r1", 1).alias("r1"), F.round("r2", 1).alias("r2"), F.round("bin", 1).alias("bin"))
-    both = both.withColumn("kind", kind).withColumn("r1", r(F.least)).withColumn("r2", r(F.greatest)).join(F.broadcast(bins), ["kind", "r1", "r2"], "left")  # 100 rows
+    bins = F.broadcast(scores.ratio_bins(spark).select("kind", F.round("r1", 1).alias("r1"), F.round("r2", 1).alias("r2"), F.round("bin", 1).alias("bin")))  # 100 rows
+    both = both.withColumn("kind", kind).withColumn("r1", r(F.least)).withColumn("r2", r(F.greatest)).join(bins, ["kind", "r1", "r2"], "left")
     ends = F.col("score").isin(0.0, 1.0)
     fits = F.when(ends, ~F.col("is_refilled1") & ~F.col("is_refilled2")).otherwise(F.col("bin") == F.round("score", 1))
     right = fits & (same == (F.col("score") > 0.5)) & (F.col("book_id1") != F.col("book_id2")) & (F.col("subject1") == F.col("subject")) & (F.col("subject2") == F.col("subject"))
     key = F.concat_ws(":", F.least("id1", "id2").cast("string"), F.greatest("id1", "id2").cast("string"))
     got = both.groupBy("subject", "score").agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_distinct"), F.count_if(right).alias("n_right"))
+    possible = _possible(rows, bins)
     every = rows.select("subject").distinct().withColumn("score", F.explode(F.array(*map(F.lit, [0.0, 0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0]))))
-    yes = lambda c: F.coalesce(c, F.lit(True))
-    return every.join(got, ["subject", "score"], "full").select("subject", "score", yes(F.col("n") <= 40).alias("within"), yes(F.col("n_distinct") == F.col("n")).alias("distinct_pairs"), yes(F.col("n_right") == F.col("n")).alias("right_pairs"))
+    every = every.join(possible, ["subject", "score"], "left").join(got, ["subject", "score"], "left").na.fill(0, ["n", "most", "sure"])
+    fixed = F.least("most", F.lit(40)) == F.least("sure", F.lit(40))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    enough = (F.col("n") >= F.least("sure", F.lit(40))) & (F.col("n") <= F.least("most", F.lit(40)))
+    return every.select("subject", "score", F.when(fixed, F.col("n")).alias("n"), enough.alias("enough"), no(F.col("n_distinct") == F.col("n")).alias("distinct_pairs"), no(F.col("n_right") == F.col("n")).alias("right_pairs"))
+
+
+def _possible(rows, bins):
+    """(subject, score, most, sure): how many pairs a score can have of all chunks,
+    and of refilled ones alone (the extremes: of originals)."""
+    kinds = rows.where((F.col("mask_ratio") > 0) == F.col("is_refilled")).groupBy("subject", "author_id", "book_id", F.round("mask_ratio", 1).alias("r"), "is_refilled").agg(F.count("*").alias("n"))
+    side = lambda n: kinds.select("subject", F.col("author_id").alias(f"author{n}"), F.col("book_id").alias(f"book{n}"), F.col("r").alias(f"ratio{n}"), F.col("is_refilled").alias(f"f{n}"), F.col("n").alias(f"n{n}"))
+    both = side(1).join(side(2), "subject").where("author1 < author2 or (author1 = author2 and book1 < book2)")
+    both = both.select("subject", F.when(F.col("author1") == F.col("author2"), "same").otherwise("cross").alias("kind"), F.least("ratio1", "ratio2").alias("r1"), F.greatest("ratio1", "ratio2").alias("r2"), (F.col("f1") & F.col("f2")).alias("fresh"), (~F.col("f1") & ~F.col("f2")).alias("plain"), (F.col("n1") * F.col("n2")).alias("n"))
+    ends = both.where("plain").select("subject", F.when(F.col("kind") == "same", 1.0).otherwise(0.0).alias("score"), "n", F.col("n").alias("sure"))
+    between = both.join(bins, ["kind", "r1", "r2"]).where("bin not in (0.0, 0.5, 1.0)").select("subject", F.col("bin").alias("score"), "n", F.when(F.col("fresh"), F.col("n")).otherwise(0).alias("sure"))
+    return ends.unionByName(between).groupBy("subject", "score").agg(F.sum("n").alias("most"), F.sum("sure").alias("sure"))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT subject, mask_ratio, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY subject, mask_ratio ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM chunks) WHERE place <= 7")

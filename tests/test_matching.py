@@ -52,8 +52,20 @@ def test_no_edges(spark):
 def test_fitting_leaves_room(spark):
     edges = spark.createDataFrame([("s", i, f"a{i % 3}", f"b{i % 5}") for i in range(30)], "scope string, o int, a string, b string")
     used = spark.createDataFrame([("s", "a0", 2), ("s", "b1", 1)], "scope string, v string, n int")
-    got = matching.fitting(edges, used, matching.F.lit(4), ["scope"], ["o"]).collect()
+    got = matching.fitting(edges.withColumn("cap", matching.F.lit(4)), used, "scope", ["o"]).collect()
     n = Counter({"a0": 2, "b1": 1})
     for r in got:
         n.update((r.a, r.b))
     assert got and max(n.values()) <= 4
+
+
+def test_totals_of_no_pairs_are_red(spark, monkeypatch):
+    """The queries of totals tell a builder that gives nothing from one that works."""
+    from corpusloom.plans import pairing
+
+    none = spark.createDataFrame([], "subject string, id1 long, id2 long, score double")
+    monkeypatch.setattr(pairing.ops, "graded_pairs", lambda *_: none)
+    monkeypatch.setattr(pairing.ops, "select_with_least_reuse", lambda candidates, *_: candidates.limit(0))
+    graded = pairing.graded_pairs_totals(spark, "/root/testdata/sf0.001").collect()
+    assert len(graded) == 40 and {r.n for r in graded} <= {0, None} and sum(not r.enough for r in graded) >= 30
+    assert {(r.n, r.known_once) for r in pairing.reuse_min_totals(spark, "/root/testdata/sf0.001").collect()} == {(0, False)}
