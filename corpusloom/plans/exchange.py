@@ -106,14 +106,16 @@ _FILES = "files AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE coale
 def _written(spark, sf):
     """Documents as files, but for some; and all documents' file names."""
     docs, path = io.table(spark, sf, "documents"), scratch(spark)
-    named = docs.select("doc_id", F.concat(F.lit("book_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
+    name = F.concat(F.lit("Poe, E_[The Raven]: "), F.coalesce("source", F.lit("none")), F.lit("/100% of %3A book="), F.col("doc_id").cast("string"), F.lit(".txt"))
+    named = docs.select("doc_id", name.alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
     io.write_texts(named.where("doc_id % 7 <> 3"), path)
     return named.drop("text"), path
 
 
-@query(f"WITH {_FILES} SELECT doc_id, md5(text || chr(10)) AS text_md5 FROM files WHERE text IS NOT NULL")
+@query(f"WITH {_FILES} SELECT doc_id, md5(text) AS text_md5 FROM files WHERE text IS NOT NULL")
 def text_files_read(spark, sf):
-    """A file for each document, read back by name; a file ends with a line end."""
+    """A file for each document, of just its text, read back by a name that has
+    brackets, colons, blanks and escapes."""
     named, path = _written(spark, sf)
     return io.read_texts(spark, named, path).select("doc_id", F.md5("text").alias("text_md5"))
 

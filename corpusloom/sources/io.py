@@ -6,30 +6,67 @@ reading a split prunes the others.  Rewriting never deletes inputs.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import HEAD, LIST_HEAD, LIST_TAIL, TAIL, JsonDocument, TextFiles
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records (a column ``value``) of a JSON document with one a line, as
+    :func:`write_metadata` and :func:`write_list` write it, by byte ranges; of another
+    layout none."""
+    lines = spark.read.text(path)
+    first = [r.value for r in lines.limit(2).collect()]
+    rest = lines.where(~F.col("value").isin(HEAD, TAIL, LIST_HEAD, LIST_TAIL, "") & ~F.col("value").startswith('{"summary": '))
+    whole = len(first) == 2 and first[0] == LIST_HEAD and first[1].startswith('{"') and first[1].rstrip(",").endswith("}")
+    return rest.select(F.regexp_replace("value", ",$", "").alias("value")) if whole or first[1:] == [HEAD] else None
+
+
+def _read_document(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
+    records = _records(spark, path)
+    if records is None:
+        return (spark.read.schema(schema) if schema else spark.read).json(path, multiLine=True)
+    if schema:
+        return records.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+    # inferred from all records, in their tasks
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    return DataFrame(spark._jsparkSession.read().json(getattr(records._jdf, "as")(encoder)), spark)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Book records of a JSON document: the ``books`` list of a wrapper object,
-    or the document itself where it is a list of records."""
-    doc = spark.read.json(path, multiLine=True)
+    or the document itself where it is a list of records.  A document with a record
+    a line is read by byte ranges, one of another layout by a single task."""
+    doc = _read_document(spark, path, None)
     return doc.select(F.explode("books").alias("book")).select("book.*") if "books" in doc.columns else doc
 
 
+def _write_document(df: DataFrame, path: str, **options: str) -> None:
+    register(df.sparkSession)
+    records = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    records.write.format("jsondocument").options(**options).mode("overwrite").save(path)
+
+
 def write_metadata(df: DataFrame, path: str, summary: dict) -> None:
-    """Records and a summary as one JSON document; for catalogues of a size
-    that a single document can have."""
-    pairs = [x for k, v in summary.items() for x in (F.lit(v).alias(k),)]
-    books = df.select(F.struct(*df.columns).alias("book")).agg(F.collect_list("book").alias("books"))
-    books.select(F.struct(*pairs).alias("summary"), "books").coalesce(1).write.mode("overwrite").json(path)
+    """Records and a summary as one JSON document, put together from the tasks'
+    parts; rows keep their order."""
+    _write_document(df, path, summary=json.dumps(summary, ensure_ascii=False))
+
+
+def register(spark: SparkSession) -> None:
+    """Make this library's file formats known to a session."""
+    for source in (TextFiles, JsonDocument):
+        spark.dataSource.register(source)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = False) -> DataFrame:
@@ -62,27 +99,27 @@ def _lenient(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
 
-def _name(path: Column) -> Column:
-    """A file's name; of a file in a folder ``file=...`` that one."""
-    return F.coalesce(F.nullif(F.regexp_extract(path, "/file=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract(path, "([^/]+)$", 1))
+def _files(spark: SparkSession, folder: str, contents: bool) -> DataFrame:
+    register(spark)
+    return spark.read.format("textfiles").option("contents", "yes" if contents else "no").load(folder)
 
 
 def read_texts(spark: SparkSession, metadata: DataFrame, folder: str) -> DataFrame:
     """Metadata rows with their files' whole texts; rows without a file drop
     out, and bytes that are no UTF-8 are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_name(F.col("path")).alias("filename"), "content")
-    return metadata.join(files, "filename").withColumn("text", _lenient("content")).drop("content")
+    return metadata.join(_files(spark, folder, True), "filename").withColumn("text", _lenient("content")).drop("content")
 
 
 def write_texts(df: DataFrame, folder: str) -> None:
-    """A file for each row (filename, text), in a folder of its name."""
-    df.select(F.col("filename").alias("file"), "text").write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(folder)
+    """A file for each row (filename, text), of just the text's bytes; names may be
+    paths below the folder and are kept as they are."""
+    register(df.sparkSession)
+    df.select("filename", "text").write.format("textfiles").mode("overwrite").save(folder)
 
 
 def missing_files(spark: SparkSession, metadata: DataFrame, folder: str) -> DataFrame:
     """Metadata rows whose file is not there; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_name(F.col("path")).alias("filename"))
-    return metadata.join(files, "filename", "left_anti")
+    return metadata.join(_files(spark, folder, False).select("filename"), "filename", "left_anti")
 
 
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -139,13 +176,13 @@ def model_tasks(config: DataFrame) -> DataFrame:
 
 
 def write_list(df: DataFrame, path: str) -> None:
-    """A small table as one JSON list."""
-    df.agg(F.to_json(F.collect_list(F.struct(*df.columns)))).coalesce(1).write.mode("overwrite").text(path)
+    """A table as one JSON list, put together from the tasks' parts."""
+    _write_document(df, path)
 
 
 def read_model_config(spark: SparkSession, path: str) -> DataFrame:
     """Models (family, base_path, ft_path, context) of a JSON list."""
-    return spark.read.schema("family string, base_path string, ft_path string, context string").json(path, multiLine=True)
+    return _read_document(spark, path, "family string, base_path string, ft_path string, context string")
 
 
 def save_completed(names: DataFrame, path: str) -> None:
