@@ -28,10 +28,10 @@ def to_bin(score: Column) -> Column:
     return F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.bround(score * 10) / 10))
 
 
-def ratio_bins(spark) -> DataFrame:
-    """(kind, r1, r2, bin) of all unordered pairs of the ten ratios; pairs of two
-    authors have both ratios above 0."""
-    r = spark.range(10).select((F.col("id") / 10).alias("r"))
+def ratio_bins(spark, ratios: DataFrame | None = None) -> DataFrame:
+    """(kind, r1, r2, bin) of all unordered pairs of ratios (``r``, ten tenths where
+    none are given); pairs of two authors have both ratios above 0."""
+    r = spark.range(10).select((F.col("id") / 10).alias("r")) if ratios is None else ratios
     pairs = r.select(F.col("r").alias("r1")).join(r.select(F.col("r").alias("r2")), F.col("r1") <= F.col("r2"))
     value = F.round(integrity(F.col("r1"), F.col("r2")), 12)
     bins = lambda kind, own, same: own.select(F.lit(kind).alias("kind"), "r1", "r2", to_bin(F.round(zoned(value, same), 9)).alias("bin"))
@@ -63,8 +63,9 @@ def completeness(n_words: Column, text: Column) -> Column:
     """Reward of a story's length, 0 unless it ends with its end mark."""
     over = 1 - F.sqrt(F.greatest(n_words - 1600, F.lit(0)) / 1500.0)
     text = strip(text)
+    end = F.right(F.rtrim(text, F.lit(".!")), F.lit(len("THE END")))
     length = F.when((F.length(text) == 0) | (n_words < 500), 0.0).when(n_words < 1200, n_words / 1200.0).when(n_words <= 1600, 1.0).otherwise(F.greatest(F.lit(0.0), over))
-    return F.when(text.rlike(r"(?Ui)THE\s?END[.!]*\z"), length).otherwise(0.0)
+    return F.when(end.rlike(r"(?Ui)THE\s?END\z"), length).otherwise(0.0)
 
 
 def weighted(style: Column, content: Column, complete: Column) -> Column:

@@ -46,14 +46,18 @@ def _drop(text: Column, *patterns: str) -> Column:
     return text
 
 
+#: White space of Unicode (fixed values).
+WHITE = " \t\n\v\f\r\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def plain_spaces(text: Column) -> Column:
     """No-break and zero-width spaces as blanks."""
-    return F.translate(text, " ​", "  ")
+    return F.translate(text, "\u00a0\u200b", "  ")
 
 
 def drop_footnotes(column: str) -> Column:
@@ -95,7 +99,7 @@ def tidy(text: Column) -> Column:
 
 def extra_whitespace(text: Column) -> Column:
     """Line ends and no-break spaces as blanks, runs of blanks as one."""
-    return strip(F.regexp_replace(F.translate(text, " \n\r", "   "), " +", " "))
+    return strip(F.regexp_replace(F.translate(text, "\u00a0\n\r", "   "), " +", " "))
 
 
 def clean_title(title: Column, empty: str | None = None) -> Column:
@@ -123,7 +127,9 @@ def without_contents(text: Column) -> Column:
 def clean_books(df: DataFrame, quotes: bool = True, lone_illustrations: bool = True) -> DataFrame:
     """All rules in order on the ``text`` of the rows; null counts as empty."""
     df = df.withColumn("text", plain_spaces(F.coalesce("text", F.lit("")))).withColumn("text", drop_footnotes("text"))
-    return df.withColumn("text", tidy(without_contents(drop_metadata(normal_format(drop_annotations(F.col("text")), quotes), lone_illustrations))))
+    # a column of its own, as what follows uses it twice
+    df = df.withColumn("text", drop_metadata(normal_format(drop_annotations(F.col("text")), quotes), lone_illustrations))
+    return df.withColumn("text", tidy(without_contents(F.col("text"))))
 
 
 def hygiene(text: Column, *kinds: str) -> Column:

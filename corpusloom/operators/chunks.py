@@ -121,6 +121,14 @@ def with_settings(chunks: DataFrame, settings: DataFrame) -> DataFrame:
     return exact.unionByName(stripped).withColumn("author", F.col("_author")).drop("_author")
 
 
+def with_titled_settings(chunks: DataFrame, settings: DataFrame) -> DataFrame:
+    """Chunks (author, title, ...) with the other columns of the settings whose
+    author and title are theirs, letter by letter; others drop out.  Chunks' columns of
+    those names are replaced, and a setting that comes twice counts once."""
+    more = [c for c in settings.columns if c not in ("author", "title")]
+    return chunks.drop(*more).join(settings.dropDuplicates(["author", "title"]), ["author", "title"])
+
+
 def last_by_text(rows: DataFrame, *keys: str, order: str = "index") -> DataFrame:
     """Of rows with equal keys the last one, at the place of the first
     (``order`` becomes the first one's)."""

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 _OPEN, _PUT_OFF, _WON, _TAKEN = range(4)
 _EDGE = ["scope", "g", "o", "a", "b"]
 _GROUP = ["scope", "g"]
@@ -31,9 +33,9 @@ def in_order(edges: DataFrame, quotas: DataFrame, caps: Sequence[int]) -> DataFr
     Edges are distinct (scope, g, o, a, b): groups are taken in the order of ``g``,
     edges of a group in that of ``o``, hexadecimal digests; quotas are (scope, g,
     quota).  ``caps`` grow.  An edge whose ends are the same uses it twice."""
-    state = edges.join(quotas.where("quota > 0"), _GROUP).select(*_EDGE, F.col("quota").cast("long").alias("room"), F.lit(0).alias("k"), F.lit(_OPEN).alias("state")).checkpoint()
+    state = cut(edges.join(quotas.where("quota > 0"), _GROUP).select(*_EDGE, F.col("quota").cast("long").alias("room"), F.lit(0).alias("k"), F.lit(_OPEN).alias("state")))
     while state.where(F.col("state") != _TAKEN).take(1):
-        state = _settled(_decided(state, caps), len(caps)).checkpoint()
+        state = cut(_settled(_decided(state, caps), len(caps)))
     return state.select(*_EDGE)
 
 

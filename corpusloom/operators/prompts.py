@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import META_TALK, strip, words
+from .lineage import cut
 from .ordered import hex_key, placed
 from .pairs import shuffled
 
@@ -15,6 +16,8 @@ from .pairs import shuffled
 STORY = "Write a story about {plot} in this style.\n\nSample:\n{sample}\n\nClose with the line THE END."
 TUNING = "Write a long story in the manner of {author}, known for {title}."
 GENERATION = "Imitate the style of {author} in {title}.\n\nSample:\n{sample}\n\nClose with the line THE END."
+TARGET = "Author of the style: {author}\nBook: {title}\n\nWrite a polished short story about {plot} in this style.\nName neither author nor book.\nClose with the line THE END."
+PREMISE = "Premise, not to be quoted:\n{plot}\n\nWrite one whole story that grows out of the premise.\nClose with the line THE END."
 FEW_SHOT = "Examples of the style:\n{shots}\n\n{prompt}"
 JUDGE = "Plot asked for: {plot}\n\nStory:\n{story}\n\nGive one digit from 0 to 9."
 
@@ -131,24 +134,10 @@ def generate(tasks: DataFrame, author_rows: Callable[[DataFrame, int], DataFrame
         if not open_.take(1):
             break
         taken = within_quota(author_rows(open_, n), done, quota, least)
-        done = done.unionByName(taken.select(*done.columns)).checkpoint()
+        done = done.unionByName(cut(taken.select(*done.columns)))
     return done
 
 
-def until_valid(tasks: DataFrame, ask: Callable[[DataFrame, int], DataFrame], valid: Column, rounds: int) -> DataFrame:
-    """Asks again (a caller's function of the open tasks and the round) until an
-    answer is valid: (task columns, reply, round).  After the last round, tasks without
-    a valid answer have null ones."""
-    keys, out = tasks.columns, None
-    for n in range(rounds):
-        good = ask(tasks, n).where(valid).withColumn("round", F.lit(n)).checkpoint()
-        out = good if out is None else out.unionByName(good)
-        tasks = tasks.join(good, keys, "left_anti").checkpoint()
-        if not tasks.take(1):
-            break
-    return tasks.withColumn("reply", F.lit(None).cast("string")).withColumn("round", F.lit(None).cast("int")).unionByName(out.select(*keys, "reply", "round"))
-
-
 def dataset(done: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """The first rows up to a number, by arrival, in a seeded order: ``place``."""
     kept = placed(done, "_arrived", F.col("arrival"), "author").where(F.col("_arrived") < most).withColumn("_o", shuffled(seed, "author", "arrival"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .ordered import running
 
 
@@ -77,14 +78,14 @@ def balance(pairs: DataFrame) -> DataFrame:
 
 def _ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """Average ranks: by distinct value, in ranges of values."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
+    counts = cut(df.groupBy(column).agg(F.count("*").alias("_n")))
     upto = running(counts, F.col("_n"), "_upto", F.col(column))
     return df.join(upto.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), column)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation; null where a side is constant."""
-    own = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+    own = cut(df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna())
     own = _ranks(_ranks(own, "x", "rx"), "y", "ry")
     moments = own.agg(F.count("*").alias("n"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"), F.covar_pop("rx", "ry").alias("c"))
     return moments.select("n", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.round(F.col("c") / F.sqrt(F.col("vx") * F.col("vy")), 9)).alias("spearman"))

@@ -3,16 +3,21 @@ embeddings, and what is counted on the way."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import chunks as C
 from ..operators import embeddings as E
+from ..operators import calls, rewards
 from ..operators import prompts as P
 from ..operators import reports as R
+from ..operators.lineage import scratch
 from ..operators.pairs import shuffled
 from ..registry import query
 from ..sources.io import table
+from ..streaming import state
 from .views import CHUNKS_SQL, chunks
 
 _META = """books AS (SELECT source || '/' || lang AS book_id, CASE WHEN lang = 'de' THEN NULL ELSE source END AS author,
@@ -117,14 +122,80 @@ g AS (SELECT item_id, min(r) AS r FROM a WHERE x < 10 GROUP BY item_id)
 SELECT b.item_id, CAST(a.x AS VARCHAR) AS reply, CAST(g.r AS INTEGER) AS round FROM benchmark b LEFT JOIN g USING (item_id) LEFT JOIN a ON a.item_id = g.item_id AND a.r = g.r""")
 def retry_until_valid(spark, sf):
     """Asks a stub judge again, up to six times, until it answers one digit."""
-    ask = lambda tasks, n: tasks.withColumn("reply", (_hash(F.col("item_id").cast("string"), F.lit(str(n))) % 25).cast("string"))
-    return _with_checkpoints(spark, lambda: P.until_valid(table(spark, sf, "benchmark").select("item_id"), ask, scores.digit(F.col("reply")).isNotNull(), 6))
+    return _judged(spark, sf).select("item_id", "reply", F.when(F.col("reply").isNotNull(), F.col("tries") - 1).cast("int").alias("round"))
+
+
+def _judged(spark, sf):
+    items = table(spark, sf, "benchmark").select("item_id", F.col("item_id").cast("string").alias("request"))
+    return calls.called(items, "request", _stub_judge, lambda reply: len(reply) == 1, 6)
+
+
+def _stub_judge():
+    """Answers some number; on every seventh request of a kind the line is down."""
+
+    async def ask(request: str, n: int) -> str:
+        x = int(hashlib.md5(f"{request}:{n}".encode()).hexdigest()[:7], 16)
+        if x % 25 == 24:
+            raise ConnectionError("no line")
+        return str(x % 25)
+
+    return ask
+
+
+@query(f"""WITH a AS (SELECT item_id, r, {_HASH.format("CAST(item_id AS VARCHAR) || ':' || CAST(r AS VARCHAR)")} % 25 AS x FROM benchmark, (SELECT unnest(generate_series(0, 2)) AS r))
+SELECT item_id, CAST(3 AS INTEGER) AS tries, CASE max(x) FILTER (r = 2) WHEN 24 THEN 'ConnectionError: no line' ELSE 'invalid reply' END AS error FROM a GROUP BY item_id HAVING min(x) >= 10""")
+def unanswered_requests(spark, sf):
+    """Requests that three tries did not answer, with their last error."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("item_id").cast("string").alias("request"))
+    return calls.dead_letters(calls.called(items, "request", _stub_judge, lambda reply: len(reply) == 1, 3)).select("item_id", "tries", "error")
+
+
+@query("""WITH r AS (SELECT source AS prompt, doc_id, round(0.6::DOUBLE * CASE WHEN length(trim(translate(coalesce(text, ''), chr(10) || chr(9) || chr(13), '   '))) = 0 THEN 0 ELSE (length(text) % 100) / 100.0::DOUBLE END + 0.3::DOUBLE * (doc_id % 10) / 10.0::DOUBLE, 9) AS reward FROM documents),
+g AS (SELECT prompt, avg(reward) AS m, coalesce(stddev_samp(reward), 0) AS s FROM r GROUP BY prompt)
+SELECT doc_id, reward, round(m, 9) AS group_mean, round(s, 9) AS group_std, round((reward - m) / (s + 0.0001::DOUBLE), 6) AS advantage FROM r JOIN g ON g.prompt IS NOT DISTINCT FROM r.prompt""")
+def group_rewards(spark, sf):
+    """Documents as completions of their source's prompt: a style reward in batches,
+    a judge's digit, and how each lies among those of its prompt."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("prompt"), F.col("text").alias("completion"))
+    own = rewards.with_rewards(docs, {"style": lambda: lambda prompts, texts, _: [len(t) % 100 / 100 for t in texts]}, 7)
+    both = rewards.advantages(own, F.round(0.6 * F.col("style") + 0.3 * (F.col("doc_id") % 10) / 10, 9), "prompt")
+    return both.select("doc_id", "reward", F.round("group_mean", 9).alias("group_mean"), F.round("group_std", 9).alias("group_std"), F.round("advantage", 6).alias("advantage"))
+
+
+@query("SELECT doc_id, source AS author, lang AS title, 'genre ' || source || ' ' || lang AS genre FROM documents WHERE (source, lang) IN (SELECT (source, lang) FROM documents WHERE doc_id % 50 = 0)")
+def titled_settings(spark, sf):
+    """Chunks of the configured books, with their genre; an author's other books drop
+    out."""
+    own = table(spark, sf, "documents").select("doc_id", F.col("source").alias("author"), F.col("lang").alias("title"), F.lit("old").alias("genre"))
+    settings = own.where("doc_id % 50 = 0").select("author", "title", F.concat_ws(" ", F.lit("genre"), "author", "title").alias("genre"))
+    return C.with_titled_settings(own, settings).select("doc_id", "author", "title", "genre")
+
+
+@query("""SELECT item_id, 'Author of the style: A' || chr(10) || 'Book: T' || chr(10) || chr(10) || 'Write a polished short story about ' || text || ' in this style.' || chr(10) || 'Name neither author nor book.' || chr(10) || 'Close with the line THE END.' AS target,
+  'Premise, not to be quoted:' || chr(10) || text || chr(10) || chr(10) || 'Write one whole story that grows out of the premise.' || chr(10) || 'Close with the line THE END.' AS premise, trim(text) AS asked FROM benchmark""")
+def target_prompts(spark, sf):
+    """The templates for an author's style and for a dataset, and the plot that the
+    first one asks for."""
+    own = table(spark, sf, "benchmark").select("item_id", P.filled(P.TARGET, author=F.lit("A"), title=F.lit("T"), plot=F.col("text")).alias("target"), P.filled(P.PREMISE, plot=F.col("text")).alias("premise"))
+    return own.withColumn("asked", P.asked_plot(F.col("target")))
+
+
+@query("SELECT DISTINCT p_type AS task FROM part")
+def resumed_stream(spark, sf):
+    """Tasks of a stream that is stopped and started again, and whose first batch is
+    replayed: each is finished once."""
+    folder = scratch(spark)
+    own = table(spark, sf, "part").select(F.col("p_type").alias("task"), "p_size")
+    start = lambda: state.resumed(spark.readStream.schema("task string, p_size int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), lambda df: df, f"{folder}/out", f"{folder}/state", f"{folder}/log", "task", compact_every=3).awaitTermination()
+    for part in range(3):
+        own.where(F.col("p_size") % 3 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        start()
+    state.save(own.limit(0), 0, f"{folder}/state", "task")  # a batch that the base holds is left alone
+    return state.written(spark, f"{folder}/out").select("task")
 
 
 def _with_checkpoints(spark, work):
     """Work that cuts its lineage: the session needs a checkpoint folder."""
-    from .exchange import scratch
-
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch(spark))
     return work()
@@ -173,9 +244,11 @@ def generated_means(spark, sf):
     return R.dataset_means(_generated(spark, sf))
 
 
-@query("SELECT 0::BIGINT AS n_rows, 0.0::DOUBLE AS mean_score, 0.0::DOUBLE AS mean_words")
+@query("SELECT count(*) AS n_rows, coalesce(avg(n_chars), 0.0::DOUBLE) AS mean_score, 0.0::DOUBLE AS mean_words FROM documents WHERE length(text) < 0")
 def means_of_nothing(spark, sf):
-    return R.dataset_means(spark.createDataFrame([], "score double, n_words long"))
+    """Means over the documents that are shorter than nothing."""
+    none = table(spark, sf, "documents").where(F.length("text") < 0)
+    return R.dataset_means(none.select(F.col("n_chars").cast("double").alias("score"), F.col("n_chars").alias("n_words")))
 
 
 @query(f"""WITH {CHUNKS_SQL}, o AS (SELECT author_id AS author, doc_id, row_number() OVER (PARTITION BY author_id ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY author_id) AS n FROM chunks),

@@ -3,6 +3,8 @@ around the documents' texts."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as ops
@@ -11,7 +13,7 @@ from ..sources.io import table
 
 BEFORE = "[Sidenote: x y]  (3) {cite {a} b}{7} -- [2]\n*   *   *\n------\n_stress_ and *bold*\n ***\n“q” "
 AFTER = " ❦†\n[Illustration: a]\n illustration \nChapter IV. The end\nA line with chapter inside\n 12 \n[pg 4] left\nsee http://a.b/c?d=1 and www.x.y here\n\n \n\nend  of\t\ttext_"
-_lit = lambda s: " || ".join("chr(10)" if p == "\n" else "'" + p.replace("'", "''") + "'" for p in __import__("re").split("(\n)", s) if p)
+_lit = lambda s: " || ".join("chr(10)" if p == "\n" else "'" + p.replace("'", "''") + "'" for p in re.split("(\n)", s) if p)
 DIRTY_SQL = f"dirty AS (SELECT doc_id, {_lit(BEFORE)} || coalesce(text, '') || {_lit(AFTER)} AS text FROM documents)"
 TOC = "Contents\n1. One\n\n2 Two\nList of illustrations\nBody starts\nVOLUME I\n3. skipped\nText\nchapter one\n"
 

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..operators.lineage import scratch
 from ..registry import query
 from ..sources import io
 from .views import RESULTS_SQL, catalog, results
 
 
-def scratch(spark) -> str:
-    """A new folder that executors share: under the checkpoint folder.  Only a
-    local session may have none; it gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return f"{folder or tempfile.mkdtemp(prefix='corpusloom-')}/{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, text, lang FROM documents")
 def json_roundtrip(spark, sf):
     own = io.table(spark, sf, "documents").select("doc_id", F.to_json(F.struct("text", "lang")).alias("j"))

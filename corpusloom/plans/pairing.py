@@ -8,6 +8,7 @@ from ..functions import scores
 from ..operators import chunks as C
 from ..operators import pairs as ops
 from ..operators import splits
+from ..operators.lineage import cut
 from ..registry import query
 from .chunking import _UNION, rows_of
 from .views import CHUNKS_SQL, chunks
@@ -18,9 +19,24 @@ z AS (SELECT 'same' AS kind, r1, r2, round(0.5::DOUBLE + 0.5::DOUBLE * ((greates
 SELECT kind, r1, r2, greatest(0.1::DOUBLE, least(0.9::DOUBLE, round_even(s * 10, 0) / 10)) AS bin FROM z"""
 
 
-@query(_BINS)
+@query(_BINS.replace(_R, f"""{CHUNKS_SQL}, r AS (SELECT DISTINCT round(mask_ratio, 1) AS r FROM chunks)"""))
 def ratio_bins(spark, sf):
-    return scores.ratio_bins(spark)
+    """The bins of all pairs of ratios that the chunks have."""
+    own = chunks(spark, sf).select(F.round("mask_ratio", 1).alias("r")).distinct()
+    return scores.ratio_bins(spark, own)
+
+
+@query(f"""WITH {CHUNKS_SQL}, p AS (SELECT a.doc_id, b.doc_id AS other, a.author_id = b.author_id AS same, sqrt((1 - a.mask_ratio * a.mask_ratio) * (1 - b.mask_ratio * b.mask_ratio)) AS v FROM chunks a JOIN chunks b ON b.doc_id = a.doc_id + 1),
+z AS (SELECT *, CASE WHEN same THEN 0.5::DOUBLE + 0.5::DOUBLE * (greatest(v, 0.19::DOUBLE) - 0.19::DOUBLE) / 0.81::DOUBLE ELSE 0.5::DOUBLE * (1 - (greatest(v, 0.19::DOUBLE) - 0.19::DOUBLE) / 0.81::DOUBLE) END AS s FROM p)
+SELECT doc_id, other, round(v, 9) AS integrity, round(s, 9) AS score, greatest(0.1::DOUBLE, least(0.9::DOUBLE, round_even(round(s, 9) * 10, 0) / 10)) AS bin FROM z""")
+def chunk_pair_scores(spark, sf):
+    """Each chunk and the next one: what their ratios leave in common, the graded
+    score of one author or of two, and its bin."""
+    own = chunks(spark, sf).select("doc_id", "author_id", "mask_ratio")
+    other = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("author_id").alias("author2"), F.col("mask_ratio").alias("ratio2"))
+    v = scores.integrity(F.col("mask_ratio"), F.col("ratio2"))
+    score = F.round(F.when(F.col("author_id") == F.col("author2"), scores.zoned(v, True)).otherwise(scores.zoned(v, False)), 9)
+    return own.join(other, "doc_id").select("doc_id", "other", F.round(v, 9).alias("integrity"), score.alias("score"), scores.to_bin(score).alias("bin"))
 
 
 _POS = f"""WITH {CHUNKS_SQL}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, author_id, book_id ORDER BY text) AS place FROM (SELECT DISTINCT subject, author_id, book_id, text FROM chunks WHERE length(text) >= 50)) WHERE place <= 50)
@@ -113,8 +129,8 @@ def reuse_min_totals(spark, sf):
     """What holds of the selection whatever its order: of each split, subject and
     label just as many pairs as its quota says, each a candidate, once.  (No quota is out
     of reach: every pair is a candidate until its texts were used in 20 passes.)"""
-    candidates = _split_candidates(spark, sf).checkpoint()
-    quotas = _split_quotas(candidates).checkpoint()
+    candidates = cut(_split_candidates(spark, sf))
+    quotas = cut(_split_quotas(candidates))
     chosen = ops.select_with_least_reuse(candidates, quotas)
     key = lambda df: df.select("split", "subject", "label", F.md5("sentence1").alias("a"), F.md5("sentence2").alias("b"))
     pairs = key(chosen).groupBy("split", "subject", "label", "a", "b").agg(F.count("*").alias("times")).join(key(candidates).withColumn("known", F.lit(1)), ["split", "subject", "label", "a", "b"], "left")
@@ -125,12 +141,12 @@ def reuse_min_totals(spark, sf):
 
 @query()
 def reuse_min_selection(spark, sf):
-    candidates = _split_candidates(spark, sf).checkpoint()
+    candidates = cut(_split_candidates(spark, sf))
     return ops.select_with_least_reuse(candidates, _split_quotas(candidates))
 
 
 def _graded(spark, sf, target=60):
-    rows = C.row_ids(rows_of(spark, sf), "index", "is_refilled").checkpoint()
+    rows = cut(C.row_ids(rows_of(spark, sf), "index", "is_refilled"))
     return rows, ops.graded_pairs(rows, scores.ratio_bins(spark), target)
 
 

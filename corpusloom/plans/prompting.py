@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prompts as ops
-from ..operators.ordered import placed
+from ..operators.lineage import cut
 from ..operators.splits import prompt_split as split_prompts
 from ..registry import query
 from ..sources.io import table
@@ -36,9 +36,11 @@ def prompt_cycle(spark, sf):
     least)."""
     own = chunks(spark, sf).where("length(text) >= 900")
     texts = ops.seeded_places(own, "c", "doc_id", "author_id").join(own.select("doc_id", F.md5("text").alias("text")), "doc_id").select("author_id", "c", "text")
-    prompts, out = _prompts(spark, sf), []
+    prompts, out = cut(_prompts(spark, sf)), []
+    first = prompts.groupBy("split").agg(F.min("place").alias("first"))  # two rows
+    prompts = prompts.join(F.broadcast(first), "split").withColumn("p", F.col("place") - F.col("first"))
     for split, factor in (("train", 4), ("test", 10)):
-        one = placed(prompts.where(F.col("split") == split), "p", F.col("place")).select("p", "prompt")
+        one = prompts.where(F.col("split") == split).select("p", "prompt")
         out.append(ops.cycle(one, texts, factor, "author_id").select(F.lit(split).alias("split"), "author_id", "i", "prompt", F.col("text").alias("text_md5")))
     return out[0].unionByName(out[1])
 
