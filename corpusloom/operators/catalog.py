@@ -61,6 +61,24 @@ def select_books(catalog: DataFrame, targets: DataFrame, links: DataFrame, subje
     return own.withColumn("chosen", F.max(chosen).over(book)).where("chosen").select("book_id", "title", "author", "subject").distinct()
 
 
+#: The same selection as one statement, over tables that are filled in, with named
+#: parameters.
+SELECTION = """
+WITH own AS (SELECT DISTINCT book_id, title, author, subject, downloads FROM {books} LEFT SEMI JOIN {texts} USING (book_id) WHERE language = :language),
+wanted AS (SELECT DISTINCT book_id FROM own LEFT SEMI JOIN {targets} USING (title, author)),
+ranked AS (SELECT book_id, author, subject, dense_rank() OVER (PARTITION BY author, subject ORDER BY downloads DESC, book_id) AS place
+  FROM own LEFT ANTI JOIN wanted USING (book_id) WHERE array_contains(:subjects, subject)),
+chosen AS (SELECT book_id FROM (SELECT *, max(place) OVER (PARTITION BY author, subject) AS n FROM ranked) WHERE n >= :top AND place <= :top UNION SELECT book_id FROM wanted)
+SELECT DISTINCT book_id, title, author, subject FROM own LEFT SEMI JOIN chosen USING (book_id)
+"""
+
+
+def selected_by_sql(catalog: DataFrame, targets: DataFrame, links: DataFrame, subjects: list[str], top: int = 2, language: str = "en") -> DataFrame:
+    """:func:`select_books` as a parameterised statement."""
+    args = {"language": language, "subjects": F.array(*map(F.lit, subjects)), "top": top}
+    return catalog.sparkSession.sql(SELECTION, args, books=catalog, texts=text_books(links), targets=targets)
+
+
 def in_report_order(books: DataFrame) -> DataFrame:
     """Books by author, then title (ties: subject, id)."""
     return books.orderBy("author", "title", "subject", "book_id")

@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .ordered import placed
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -69,12 +70,23 @@ def scored(pairs: DataFrame, factory: Callable[[], Encoder], batch: int = 32) ->
     return own.withColumn("score", scores.cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def fan_out(tasks: DataFrame, workers: int, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Tasks dealt evenly to so many workers, each of which takes them in
-    batches; a lost worker's tasks are done again."""
+def dealt(tasks: DataFrame, workers: int, cost: Column, *order: str) -> DataFrame:
+    """Tasks with the ``worker`` that takes them: by falling cost (ties by the order
+    given) to the workers to and fro, so that each has the same number of dear ones."""
+    own = placed(tasks.withColumn("_cost", -cost), "_at", F.col("_cost"), *order)
+    turn = F.col("_at") % (2 * workers)
+    return own.withColumn("worker", F.least(turn, 2 * workers - 1 - turn).cast("int")).drop("_cost", "_at")
+
+
+def fan_out(tasks: DataFrame, workers: int, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, cost: Column | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Tasks dealt to so many workers, evenly or by their cost, each of which takes
+    them in batches; a lost worker's tasks are done again."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield work(part)
 
-    return tasks.repartition(workers).mapInPandas(run, schema)
+    if cost is None:
+        return tasks.repartition(workers).mapInPandas(run, schema)
+    own = dealt(tasks, workers, cost, *order)
+    return own.repartitionById(workers, F.col("worker")).mapInPandas(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -17,7 +18,8 @@ from ..operators.lineage import scratch
 from ..operators.pairs import shuffled
 from ..registry import query
 from ..sources.io import table
-from ..streaming import state
+from ..streaming import generation, state
+from ..streaming.quota import accepted
 from .views import CHUNKS_SQL, chunks
 
 _META = """books AS (SELECT source || '/' || lang AS book_id, CASE WHEN lang = 'de' THEN NULL ELSE source END AS author,
@@ -233,6 +235,46 @@ def generation_loop(spark, sf):
     return _generated(spark, sf)
 
 
+@query(f"""WITH {_LOOP.replace("k <= " + str(QUOTA) + " - coalesce(have, 0)", "k <= " + str(QUOTA))} SELECT author, arrival, score FROM taken""")
+def streamed_generation(spark, sf):
+    """The loop as a stream of tasks, a round a file, stopped after two rounds and
+    started again: the stub writer's line is down now and then, and every fifth story is
+    refused."""
+    folder = scratch(spark)
+    authors = table(spark, sf, "documents").where("source is not null").select(F.col("source").alias("author")).distinct()
+    schema = "author string, arrival long, request string"
+    tasks = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for n in range(ROUNDS):
+        turns = authors.withColumn("arrival", F.explode(F.sequence(F.lit(n * EACH).cast("long"), F.lit(n * EACH + EACH - 1).cast("long"))))
+        turns.withColumn("request", F.concat_ws(":", "author", F.col("arrival").cast("string"))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if n in (1, ROUNDS - 1):
+            generation.generated(tasks(), _stub_writer, _stub_critic, lambda reply: reply[:2] == "0.", f"{folder}/out", f"{folder}/log", QUOTA, 0.4697, tries=4).awaitTermination()
+    return accepted(spark, f"{folder}/out", "author string, arrival long, text string, score double").select("author", "arrival", "score")
+
+
+def _number(request: str) -> int:
+    return int(hashlib.md5(request.encode()).hexdigest()[:7], 16)
+
+
+def _stub_writer():
+    async def ask(request: str, n: int) -> str:
+        h = _number(request)
+        if n < h % 3:
+            raise ConnectionError("no line")
+        return "As an AI, no" if h % 5 == 0 else f"A story of {h} words.\nTHE END."
+
+    return ask
+
+
+def _stub_critic():
+    """Answers nonsense first, then the score of the request."""
+
+    async def ask(request: str, n: int) -> str:
+        return f"{_number(request.partition(chr(10))[0]) % 1000 / 1000:.3f}" if n else "what?"
+
+    return ask
+
+
 @query(f"WITH {_LOOP}, kept AS (SELECT *, row_number() OVER (ORDER BY arrival, author) AS n FROM taken), o AS (SELECT *, md5('42:' || author || ':' || CAST(arrival AS VARCHAR)) AS o FROM kept WHERE n <= 50) SELECT author, arrival, score, n_words, row_number() OVER (ORDER BY o) - 1 AS place FROM o")
 def generated_dataset(spark, sf):
     """The first fifty rows that arrived, shuffled."""
@@ -287,11 +329,31 @@ def reference_scores(spark, sf):
     return E.scored(pairs, E.hashed_words).select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT p_partkey AS id, length(p_name) AS n FROM part")
+#: Workers that documents are encoded by.
+WORKERS = 16
+
+
+@query("SELECT doc_id AS id, len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS n FROM documents")
 def fanned_out_tasks(spark, sf):
-    """Tasks dealt to workers."""
-    own = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
-    return E.fan_out(own, 4, lambda part: part.assign(n=part.p_name.str.len())[["id", "n"]], "id long, n long")
+    """Documents dealt to workers by their length; each worker encodes its own with
+    the stub encoder, once loaded, and returns the words that it saw."""
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def work(part):
+        part["n"] = [int(v.sum()) for v in E.hashed_words()(part.text.tolist())] if len(part) else []
+        return part[["id", "n"]]
+
+    return E.fan_out(own, WORKERS, work, "id long, n long", F.length("text"), ("id",))
+
+
+@query(f"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS cost FROM documents), p AS (SELECT *, (row_number() OVER (ORDER BY cost DESC, doc_id) - 1) % {2 * WORKERS} AS t FROM d),
+w AS (SELECT CAST(least(t, {2 * WORKERS - 1} - t) AS INTEGER) AS worker, count(*) AS n_tasks, CAST(sum(cost) AS BIGINT) AS cost FROM p GROUP BY 1)
+SELECT worker, n_tasks, cost, cost <= 1.3::DOUBLE * avg(cost) OVER () AS even FROM w""")
+def dealt_costs(spark, sf):
+    """What each worker has to do, and whether it is within 1.3 of the mean."""
+    own = table(spark, sf, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("cost"))
+    sums = E.dealt(own, WORKERS, F.col("cost"), "doc_id").groupBy("worker").agg(F.count("*").alias("n_tasks"), F.sum("cost").alias("cost"))
+    return sums.withColumn("even", F.col("cost") <= 1.3 * F.avg("cost").over(Window.partitionBy()))  # a row for each worker
 
 
 @query("""SELECT item_id, 'Write a long story in the manner of A, known for T.' AS tuning, 'Imitate the style of A in T.' || chr(10) || chr(10) || 'Sample:' || chr(10) || text || chr(10) || chr(10) || 'Close with the line THE END.' AS generation,

@@ -37,13 +37,22 @@ def _aliases(spark, sf):
 _ALIASES = "aliases AS (SELECT DISTINCT regexp_replace(author, '7$', '1') AS author, author AS alias FROM catalog WHERE author LIKE '%7')"
 
 
-@query(_ELIGIBLE + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY author, subject ORDER BY downloads DESC, book_id) AS place FROM eligible SEMI JOIN counted USING (author, subject))
+_SELECTED = _ELIGIBLE + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY author, subject ORDER BY downloads DESC, book_id) AS place FROM eligible SEMI JOIN counted USING (author, subject))
 SELECT DISTINCT book_id, title, author, subject FROM catalog WHERE language = 'en' AND book_id IN (SELECT book_id FROM text_ids)
-  AND (book_id IN (SELECT book_id FROM target_ids) OR book_id IN (SELECT book_id FROM ranked WHERE place <= 2))""")
+  AND (book_id IN (SELECT book_id FROM target_ids) OR book_id IN (SELECT book_id FROM ranked WHERE place <= 2))"""
+
+
+@query(_SELECTED)
 def catalog_top2_per_author_subject(spark, sf):
     return ops.select_books(catalog(spark, sf), targets(spark, sf), links(spark, sf), SUBJECTS)
 
 
+@query(_SELECTED)
+def catalog_selection_sql(spark, sf):
+    """The same selection as one statement with parameters."""
+    return ops.selected_by_sql(catalog(spark, sf), targets(spark, sf), links(spark, sf), SUBJECTS)
+
+
 @query(_ELIGIBLE + "SELECT author, subject, n_books FROM counted")
 def catalog_group_counts_having(spark, sf):
     return ops.group_counts(catalog(spark, sf), targets(spark, sf), links(spark, sf), SUBJECTS)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks as ops
+from ..operators import segments
 from ..registry import query
 from ..sources.io import table
 from .views import CHUNKS_SQL, chunks
@@ -25,6 +26,12 @@ def sentences(spark, sf):
     return own.select("doc_id", F.posexplode(F.arrays_zip("sentences", "counts")).alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.sentences").alias("sentence"), F.col("x.counts").alias("n_words"))
 
 
+@query("WITH s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[\\s]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents), f AS (SELECT doc_id, unnest(list_filter(s, lambda x: length(regexp_replace(x, '\\s', '', 'g')) > 0)) AS sentence, unnest(range(len(list_filter(s, lambda x: length(regexp_replace(x, '\\s', '', 'g')) > 0)))) AS pos FROM s) SELECT doc_id, pos, sentence FROM f")
+def windowed_sentences(spark, sf):
+    """Sentences by a segmenter that reads texts in windows of 300 characters."""
+    return segments.segmented(table(spark, sf, "documents"), "doc_id", segments.by_marks, 300)
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) AS n_words FROM documents")
 def word_count(spark, sf):
     return _docs(spark, sf).select("doc_id", T.words(F.col("text")).alias("n_words"))

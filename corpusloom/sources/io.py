@@ -43,6 +43,37 @@ def _read_document(spark: SparkSession, path: str, schema: str | None) -> DataFr
     return DataFrame(spark._jsparkSession.read().json(getattr(records._jdf, "as")(encoder)), spark)
 
 
+def read_jdbc(spark: SparkSession, url: str, relation: str, key: str, parts: int, properties: dict[str, str] | None = None) -> DataFrame:
+    """A database's table, or query in brackets with a name, in parts of about as many
+    rows: the database counts an integer key in ranges, and the parts' bounds follow the
+    counts, so a key with gaps and hot ranges is cut evenly.  Rows without a key are a
+    part of their own; every part is read by one task, with its bounds in the query."""
+    ask = lambda sql: spark.read.jdbc(url, f"({sql}) q", properties=properties)
+    least, most = ask(f"SELECT MIN({key}) AS a, MAX({key}) AS b FROM {relation}").first()
+    if least is None:
+        return spark.read.jdbc(url, relation, properties=properties)
+
+    def counted(start: int, end: int) -> list[tuple[int, int, int]]:
+        """(start, end, rows) of ranges of the keys, 64 for each part at most."""
+        width = (end - start) // (64 * parts) + 1
+        rows = ask(f"SELECT r, COUNT(*) AS n FROM (SELECT ({key} - ({start})) / {width} AS r FROM {relation} WHERE {key} >= {start} AND {key} < {end}) x GROUP BY r").collect()
+        return sorted((start + int(r) * width, min(end, start + (int(r) + 1) * width), n) for r, n in rows)
+
+    ranges = counted(least, most + 1)
+    share = sum(n for *_, n in ranges) / parts
+    while any(n > share and b - a > 1 for a, b, n in ranges):  # a hot range is counted again, finer
+        ranges = [x for a, b, n in ranges for x in (counted(a, b) if n > share and b - a > 1 else [(a, b, n)])]
+    cuts, n, whole = [], 0, 0
+    for start, _, more in ranges:
+        if n and whole + more / 2 >= share * (len(cuts) + 1) and len(cuts) < parts - 1:
+            cuts.append(start)
+            n = 0
+        n, whole = n + more, whole + more
+    bounds = [None, *cuts, None]
+    where = [" AND ".join(f"{key} {op} {x}" for op, x in ((">=", a), ("<", b)) if x is not None) or f"{key} IS NOT NULL" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return spark.read.jdbc(url, relation, predicates=[*where, f"{key} IS NULL"], properties=properties)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Book records of a JSON document: the ``books`` list of a wrapper object,
     or the document itself where it is a list of records.  A document with a record
