@@ -74,14 +74,31 @@ def primary_subject(subjects: Column, default: str = "") -> Column:
     return F.coalesce(F.get(subjects, F.lit(0)), F.lit(default))
 
 
+def cleaned(text: Column) -> Column:
+    """A chunk's text without stars and white space at its ends; null is empty."""
+    return T.strip(F.translate(F.coalesce(text, F.lit("")), "*", ""))
+
+
+def digested(rows: DataFrame) -> DataFrame:
+    """Rows whose texts stand for themselves by their digests, where only their
+    equality matters: what is worked out of them shuffles no texts.  Empty texts stay."""
+    digest = lambda c: F.when(F.length(cleaned(F.col(c))) > 0, F.md5(cleaned(F.col(c)))).otherwise("").alias(c)
+    return rows.select(*[c for c in rows.columns if c not in ("text", "refilled")], digest("text"), digest("refilled"))
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """(index, is_refilled, text): both cleaned texts of each row."""
+    one = lambda c, refilled: F.struct(F.lit(refilled).alias("is_refilled"), cleaned(F.col(c)).alias("text"))
+    return rows.select("index", F.explode(F.array(one("text", False), one("refilled", True))).alias("x")).select("index", "x.*")
+
+
 def originals_and_refilled(rows: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
     """Of (index, book_id, author_id, subject, text, refilled, mask_ratio, label)
     rows: an original where the book's cleaned text comes for the first time
     (ratio 0), and a refilled row for each ratio above 0."""
     if blacklist is not None:
         rows = rows.join(blacklist.select("label").distinct(), "label", "left_anti")
-    clean = lambda c: T.strip(F.translate(F.coalesce(c, F.lit("")), "*", ""))
-    rows = rows.withColumn("text", clean("text")).withColumn("refilled", clean("refilled"))
+    rows = rows.withColumn("text", cleaned(F.col("text"))).withColumn("refilled", cleaned(F.col("refilled")))
     keep = ["index", "book_id", "author_id", "subject", "text", "mask_ratio", "is_refilled", "label"]
     first = Window.partitionBy("book_id", "text").orderBy("index")
     original = rows.where(F.length("text") > 0).withColumn("n", F.row_number().over(first)).where("n = 1")

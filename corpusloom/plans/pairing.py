@@ -51,17 +51,17 @@ def _eligible(spark, sf):
 
 
 def _keys(pairs):
-    return pairs.select("subject", "author1", "author2", F.md5("sentence1").alias("key1"), F.md5("sentence2").alias("key2"))
+    return pairs.select("subject", "author1", "author2", F.col("sentence1").alias("key1"), F.col("sentence2").alias("key2"))
 
 
 @query(_POS)
 def eval_positive_pairs(spark, sf):
-    return _keys(ops.positive_pairs(_eligible(spark, sf)))
+    return _keys(ops.positive_pairs(_eligible(spark, sf), digests=True))
 
 
 @query(_NEG)
 def eval_ring_negatives(spark, sf):
-    return _keys(ops.ring_negatives(_eligible(spark, sf)))
+    return _keys(ops.ring_negatives(_eligible(spark, sf), digests=True))
 
 
 _QUOTA = f"""WITH RECURSIVE pos AS ({_POS}), neg AS ({_NEG}), available AS (SELECT subject, sum(p) AS positives, sum(n) AS negatives, sum(p) + sum(n) AS available FROM (SELECT subject, 1 AS p, 0 AS n FROM pos UNION ALL SELECT subject, 0, 1 FROM neg) GROUP BY subject),
@@ -109,10 +109,10 @@ _TOTALS = _CANDIDATES.replace(CHUNKS_SQL, _IN_SPLITS)
 
 def _split_candidates(spark, sf):
     """(split, subject, label, sentence1, sentence2): the pairs of six splits of the
-    chunks, each once."""
+    chunks, each once, by the texts' digests."""
     split = (500 * (1 + F.col("doc_id") % _N_SPLITS)).cast("string")
     own = _eligible(spark, sf).withColumn("subject", F.concat_ws("|", split, "subject"))
-    both = ops.positive_pairs(own).withColumn("label", F.lit("positive")).unionByName(ops.ring_negatives(own).withColumn("label", F.lit("negative")))
+    both = ops.positive_pairs(own, digests=True).withColumn("label", F.lit("positive")).unionByName(ops.ring_negatives(own, digests=True).withColumn("label", F.lit("negative")))
     part = F.split("subject", r"\|")
     return both.select(part[0].alias("split"), part[1].alias("subject"), "label", "sentence1", "sentence2").distinct()
 
@@ -132,7 +132,7 @@ def reuse_min_totals(spark, sf):
     candidates = cut(_split_candidates(spark, sf))
     quotas = cut(_split_quotas(candidates))
     chosen = ops.select_with_least_reuse(candidates, quotas)
-    key = lambda df: df.select("split", "subject", "label", F.md5("sentence1").alias("a"), F.md5("sentence2").alias("b"))
+    key = lambda df: df.select("split", "subject", "label", F.col("sentence1").alias("a"), F.col("sentence2").alias("b"))
     pairs = key(chosen).groupBy("split", "subject", "label", "a", "b").agg(F.count("*").alias("times")).join(key(candidates).withColumn("known", F.lit(1)), ["split", "subject", "label", "a", "b"], "left")
     got = pairs.groupBy("split", "subject", "label").agg(F.count("*").alias("n"), ((F.max("times") == 1) & (F.count("known") == F.count("*"))).alias("known_once"))
     every = quotas.where("quota > 0").join(got, ["split", "subject", "label"], "left")
@@ -142,18 +142,28 @@ def reuse_min_totals(spark, sf):
 @query()
 def reuse_min_selection(spark, sf):
     candidates = cut(_split_candidates(spark, sf))
-    return ops.select_with_least_reuse(candidates, _split_quotas(candidates))
+    chosen = ops.select_with_least_reuse(candidates, _split_quotas(candidates))
+    for n in ("sentence1", "sentence2"):  # the few chosen texts come back by their digest
+        texts = _eligible(spark, sf).select(F.md5("text").alias(n), "text")
+        texts = texts.join(chosen.select(n).distinct(), n, "left_semi").groupBy(n).agg(F.any_value("text").alias(f"{n}_"))
+        chosen = chosen.join(texts, n).drop(n).withColumnRenamed(f"{n}_", n)
+    return chosen
 
 
 def _graded(spark, sf, target=60):
-    rows = cut(C.row_ids(rows_of(spark, sf), "index", "is_refilled"))
+    """Chunks, by their texts' digests, and their graded pairs."""
+    own = C.originals_and_refilled(C.digested(chunks(spark, sf).withColumnRenamed("doc_id", "index")))
+    rows = cut(C.row_ids(own, "index", "is_refilled"))
     return rows, ops.graded_pairs(rows, scores.ratio_bins(spark), target)
 
 
 @query()
 def graded_pairs(spark, sf):
     rows, pairs = _graded(spark, sf)
-    return ops.with_texts(ops.balanced(pairs, 40), rows)
+    own = ops.balanced(pairs, 40)
+    ids = own.select(F.explode(F.array("id1", "id2")).alias("chunk_id")).distinct()
+    texts = C.texts_of(chunks(spark, sf).withColumnRenamed("doc_id", "index"))
+    return ops.with_texts(own, rows.join(ids, "chunk_id", "left_semi").drop("text").join(texts, ["index", "is_refilled"]))
 
 
 # all pairs that a score may have, counted: those of refilled chunks surely can be drawn, while
