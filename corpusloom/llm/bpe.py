@@ -145,6 +145,7 @@ class BytePairCodec:
         for key, rank in ranks.items():
             self.pieces[rank] = key
         self.decimal = [str(r) for r in range(len(self.pieces))]
+        self.number = list(range(len(self.pieces)))  # one object for an id, however often it is remembered
         self.byte = [ranks.get(bytes([b])) for b in range(256)]
         self.bits = max(ranks.values(), default=0).bit_length()
         self.merged = {}  # ids of two neighbours -> the id of both together
@@ -200,10 +201,13 @@ class BytePairCodec:
         raw = token.encode()
         rank = self.whole(raw)
         self.hits[rank is None] += 1
-        return (rank,) if rank is not None else tuple(self.merge(raw))
+        return (self.number[rank],) if rank is not None else tuple(map(self.number.__getitem__, self.merge(raw)))
 
     def _stretch(self, stretch: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.find(stretch))))
+        found = self.find(stretch)
+        if len(found) == 1:  # remembered in both memos, held once
+            return self.pretokens[found[0]]
+        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, found)))
 
     def _behind_blank(self, stretch: str) -> tuple[int, ...]:
         return self._stretch(" " + stretch)
