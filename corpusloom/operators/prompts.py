@@ -138,6 +138,21 @@ def generate(tasks: DataFrame, author_rows: Callable[[DataFrame, int], DataFrame
     return done
 
 
+def until_valid(tasks: DataFrame, ask: Callable[[DataFrame, int], DataFrame], valid: Column, rounds: int) -> DataFrame:
+    """Asks again (a caller's function of the open tasks and the round) until an
+    answer is valid: (task columns, reply, round).  After the last round, tasks without
+    a valid answer have null ones.  For answers that are joins; services are asked by
+    :func:`.calls.called`, inside the tasks."""
+    keys, out = tasks.columns, None
+    for n in range(rounds):
+        good = cut(ask(tasks, n).where(valid).withColumn("round", F.lit(n)))
+        out = good if out is None else out.unionByName(good)
+        tasks = cut(tasks.join(good, keys, "left_anti"))
+        if not tasks.take(1):
+            break
+    return tasks.withColumn("reply", F.lit(None).cast("string")).withColumn("round", F.lit(None).cast("int")).unionByName(out.select(*keys, "reply", "round"))
+
+
 def dataset(done: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """The first rows up to a number, by arrival, in a seeded order: ``place``."""
     kept = placed(done, "_arrived", F.col("arrival"), "author").where(F.col("_arrived") < most).withColumn("_o", shuffled(seed, "author", "arrival"))
