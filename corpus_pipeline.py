@@ -37,12 +37,14 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item."""
+    """Drops documents that hold a test item.  Null and empty texts hold none and
+    stay, as do all documents where the benchmark is empty."""
     return decontaminate.decontaminate(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text, with the digest of what decoding gives back."""
+    """Encodes every text, with the digest of what decoding gives back.  Null and
+    empty texts have no tokens and the digest of nothing."""
     return bpe.encode_with_digest(docs.select("doc_id", "text"), queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.tokenizer_pattern())
 
 
